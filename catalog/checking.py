@@ -167,7 +167,7 @@ k AS (SELECT *, median(PRES) OVER (PARTITION BY platform_number, profile_index)
  count(PRES) OVER (PARTITION BY platform_number, profile_index) AS n FROM e),
 r AS (SELECT *,
  row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY PRES NULLS LAST, level_index) AS a,
- row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY abs(PRES - med) NULLS LAST, level_index) AS b,
+ row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY round(abs(PRES - med), 9) NULLS LAST, level_index) AS b,
  row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY PRES DESC NULLS LAST, level_index) AS c,
  row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY level_index) AS f,
  row_number() OVER (PARTITION BY platform_number, profile_index ORDER BY level_index DESC) AS l FROM k)
@@ -212,6 +212,12 @@ def _store_months(spark, d):
     return f"{root}/csv", f"{root}/tables"
 
 
+def _converted(outcome):
+    failed = [o for o in outcome if o[1] != "OK"]
+    if failed:
+        raise RuntimeError(f"layers not converted: {failed}")
+
+
 @query("layer_ingest", """WITH p AS (SELECT c_custkey AS PLATFORM_NUMBER,
  c_custkey % 50 AS profile_index,
  CASE WHEN c_mktsegment <> 'BUILDING' THEN (c_custkey * 37 % 18000) / 100E0 - 90E0 END AS LATITUDE,
@@ -221,7 +227,7 @@ def _store_months(spark, d):
 SELECT * FROM p""")
 def layer_ingest(spark, d):
     csv_root, table_root = _store_months(spark, d)
-    tables.convert_layers(spark, csv_root, table_root, ["time_location"])
+    _converted(tables.convert_layers(spark, csv_root, table_root, ["time_location"]))
     rows = tables.read_table(spark, f"{table_root}/time_location", "time_location")
     return ntz(rows.select("profile_index", "LATITUDE", "LONGITUDE", "JULD", "REFERENCE_DATE_TIME", "PLATFORM_NUMBER",
                            "PROJECT_NAME", "PI_NAME", "year", "month"))
@@ -232,7 +238,7 @@ def layer_ingest(spark, d):
 def reconcile(spark, d):
     csv_root, table_root = _store_months(spark, d)
     layer = "time_location"
-    tables.convert_layers(spark, csv_root, table_root, [layer])
+    _converted(tables.convert_layers(spark, csv_root, table_root, [layer]))
     loaded = tables.read_table(spark, f"{table_root}/{layer}", layer)
     counted = quality.partition_counts(loaded, layer).withColumnRenamed("row_count", "parquet_rows")
     report = quality.reconcile(layer_csv.source_counts(spark, csv_root, layer), counted)

@@ -119,7 +119,8 @@ def surface_median_deep(df: DataFrame, keys: Sequence[str] = PROFILE, value: str
         same = eq if same is None else same & eq
     with_median = df.join(med, same, "left")
     has = F.col(value).isNotNull()
-    gap = F.abs(F.col(value) - F.col("_median"))
+    # two middle values are equally far from their mean: do not let rounding noise choose
+    gap = F.round(F.abs(F.col(value) - F.col("_median")), 9)
     # min_by skips null orderings: rows without a value never win the first three
     picks = with_median.groupBy(*keys).agg(
         F.min_by(row, F.when(has, F.struct(F.col(value).alias("_v"), *order))).alias("_surface"),

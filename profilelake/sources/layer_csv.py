@@ -76,7 +76,7 @@ def _plain_gz(spark: SparkSession, root: str, layer: str) -> DataFrame:
         .where(wanted_file(F.col("path"))).select("path", "content")
     )
     plain = files.where(F.substring("content", 1, 2) != F.lit(b"\x1f\x8b"))
-    lines = F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")
+    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
     # an odd number of quotes on a line means that a quoted value goes on
     quoted_break = F.exists("_lines", lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"')))) % 2 == 1)
     return plain.select("path", lines.alias("_lines")).withColumn("_quoted_break", quoted_break)
