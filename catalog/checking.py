@@ -192,23 +192,24 @@ def _csv_rows(spark, d):
         F.format_string("%02d", (F.col("PLATFORM_NUMBER") % 12 + 1).cast("int")).alias("mm"))
 
 
+def place_files(spark, rows, root, month, layer):
+    """Write rows as CSV files named like layer files under <root>/csv/2025/<month>/."""
+    staged = f"{root}/staged-{month}"
+    rows.write.option("header", True).csv(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    source = path(staged)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = f"{root}/csv/2025/{month}"
+    fs.mkdirs(path(target))
+    for i, status in enumerate(fs.listStatus(source)):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), path(f"{target}/{LAYER_FILE_PREFIX}{layer}_{i}.csv"))
+
+
 def _store_months(spark, d):
-    """Write each month's CSV under <root>/2025/<month>/ with layer file names."""
     root, rows = scratch_path(spark, "layer-csv"), _csv_rows(spark, d)
-    staged = f"{root}/staged"
-    rows.hint("rebalance", "mm").write.partitionBy("mm").option("header", True).csv(staged)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    for m in (f"{i:02d}" for i in range(1, 13)):
-        source = fs_path(f"{staged}/mm={m}")
-        fs = source.getFileSystem(conf)
-        if not fs.exists(source):
-            continue
-        target = f"{root}/csv/2025/{m}"
-        fs.mkdirs(fs_path(target))
-        for i, status in enumerate(fs.listStatus(source)):
-            if status.getPath().getName().startswith("part-"):
-                fs.rename(status.getPath(), fs_path(f"{target}/{LAYER_FILE_PREFIX}time_location_{i}.csv"))
+    for month in (f"{i:02d}" for i in range(1, 13)):
+        place_files(spark, rows.where(F.col("mm") == month).drop("mm"), root, month, "time_location")
     return f"{root}/csv", f"{root}/tables"
 
 

@@ -36,19 +36,29 @@ def text_column(df: DataFrame, name: str) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Double, with unparseable text and NaN both as null."""
-    return F.nullif(c.try_cast("double"), F.lit(float("nan")))
+    """Numeric column as double, NaN as null."""
+    return F.nullif(c.cast("double"), F.lit(float("nan")))
+
+
+# Texts that are read as numbers.
+NUMBER_PATTERN = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))$"
+INTEGER_PATTERN = r"^[+-]?\d{1,19}$"
+
+
+def text_number(c: Column) -> Column:
+    """Number written in a text, else null. The pattern comes first because a
+    failing cast is far dearer than a failing match."""
+    s = strip(c.cast("string"))
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
 def number_value(c: Column, dtype: T.DataType) -> Column:
     """Number of a scalar, of the first element of a numeric array, or of a character array."""
-    if isinstance(dtype, T.ArrayType):
-        if isinstance(dtype.elementType, T.NumericType):
-            return number(F.get(c, F.lit(0)))
-        return number(text_value(c, dtype))
-    if isinstance(dtype, T.BinaryType):
-        return number(text_value(c, dtype))
-    return number(c)
+    if isinstance(dtype, T.NumericType):
+        return number(c)
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.NumericType):
+        return number(F.get(c, F.lit(0)))
+    return text_number(text_value(c, dtype))
 
 
 def number_column(df: DataFrame, name: str) -> Column:
@@ -60,7 +70,7 @@ def number_column(df: DataFrame, name: str) -> Column:
 def integer(c: Column) -> Column:
     """'5906527' and '5906527.0' both give 5906527; anything else null."""
     s = strip(c.cast("string"))
-    return F.coalesce(s.try_cast("bigint"), number(s).try_cast("bigint"))
+    return F.when(s.rlike(INTEGER_PATTERN), s.try_cast("bigint")).otherwise(text_number(s).try_cast("bigint"))
 
 
 def null_if_blank(c: Column) -> Column:
@@ -91,7 +101,7 @@ def metadata_matches(m: Column, wanted: dict[str, object]) -> Column:
     for key, value in wanted.items():
         found = strip(lookup(m, [key]))
         if isinstance(value, (int, float)) and not isinstance(value, bool):
-            same = found.try_cast("double") == F.lit(float(value))
+            same = text_number(found) == F.lit(float(value))
         else:
             same = (F.lower(found) == F.lower(strip(F.lit(str(value))))) & (found != "")
         result = result & F.coalesce(same, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilelake.functions.text import integer, number
+from profilelake.functions.text import integer, text_number
 from profilelake.operators.ranking import HOT_KEY_ROWS, first_per_key, top_n_per_key
 from profilelake.schemas import FETCH_CAP, FETCH_COLUMNS, METADATA_ALIASES
 
@@ -157,7 +157,7 @@ def fetch_metadata(sources: Sequence[DataFrame], platforms: DataFrame) -> DataFr
         typed = named.select(
             integer(F.col("platform_number")).alias("platform_number"),
             *[F.col(c).cast("string").alias(c) for c in ("project_name", "pi_name", "float_serial_no", "firmware_version")],
-            *[number(F.col(c)).alias(c) for c in ("wmo_inst_type", "format_version", "handbook_version", "config_mission_number")],
+            *[text_number(F.col(c)).alias(c) for c in ("wmo_inst_type", "format_version", "handbook_version", "config_mission_number")],
             F.col("reference_date_time").cast("string").try_cast("timestamp").alias("reference_date_time"),
             F.col("_year").cast("string").alias("_year"), F.col("_month").cast("string").alias("_month"),
             F.col("_row_ordinal").cast("bigint").alias("_row_ordinal"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilelake.functions.text import number, number_column, text_column, text_value
+from profilelake.functions.text import number_column, number_value, text_column, text_value
 from profilelake.functions.times import (
     history_timestamp,
     reference_timestamp,
@@ -84,10 +84,9 @@ def _explode_levels(df: DataFrame, time_column: str, with_errors: bool) -> DataF
         if name not in df.columns:
             return F.lit("") if is_text else F.lit(None).cast("double")
         c = F.col(f"_level.{name}") if name in arrays else F.col(name)
-        if not is_text:
-            return number(c)
         dtype = df.schema[name].dataType
-        return text_value(c, dtype.elementType if name in arrays else dtype)
+        dtype = dtype.elementType if name in arrays else dtype
+        return text_value(c, dtype) if is_text else number_value(c, dtype)
 
     return grid.select(
         "source_file", "profile_index", "platform_number", "juld",
@@ -167,7 +166,7 @@ def history(df: DataFrame) -> DataFrame:
         if name == "HISTORY_DATE":
             return history_timestamp(text_value(c, dtype))
         if name in HISTORY_NUMBERS:
-            return number(c)
+            return number_value(c, dtype)
         return text_value(c, dtype)
 
     return grid.select(

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilelake.functions.text import integer, number, strip
+from profilelake.functions.text import integer, strip, text_number
 from profilelake.functions.times import reference_timestamp
 from profilelake.schemas import LAYER_FILE_PREFIX, LAYERS
 
 # Layers whose columns differ from file to file; they are read by header name.
 OPEN_LAYERS = {"qc_profile": "profile_qc", "metadata_full": "extra"}
-MAX_COLUMNS = 512
 CORRUPT = "_corrupt"
 
 # File names that are never layer data.
@@ -43,18 +42,24 @@ def text_schema(layer: str) -> T.StructType:
                         + [T.StructField(CORRUPT, T.StringType())])
 
 
-def _named_values(lines: DataFrame) -> DataFrame:
-    """(…, line, header) to a map column ``values`` by header name."""
-    wide = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
+# One field after its comma, plain or quoted with doubled inner quotes.
+FIELD_PATTERN = r',("(?:[^"]++|"")*+"|[^,]*+)'
+
 
-    def cells(c: Column) -> Column:
-        parsed = F.from_csv(c, F.lit(wide))
-        return F.array(*[parsed[f"c{i}"] for i in range(MAX_COLUMNS)])
+def csv_fields(line: Column) -> Column:
+    """Fields of one CSV line as an array of texts."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD_PATTERN), F.lit(1))
+    inner = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(fields, lambda x: F.when(x.startswith('"') & (F.length(x) > 1), inner(x)).otherwise(x))
 
-    names = lines.withColumn("_names", F.array_compact(cells(F.col("header"))))
-    width = F.size("_names")
-    values = F.map_from_arrays(F.transform("_names", strip), F.slice(cells(F.col("line")), F.lit(1), width))
-    return names.withColumn("values", values).drop("_names", "line", "header")
+
+def _named_values(lines: DataFrame) -> DataFrame:
+    """(…, line, header) to a map column ``values`` by header name."""
+    split = lines.withColumns({"_names": csv_fields(F.col("header")), "_cells": csv_fields(F.col("line"))})
+    width = F.least(F.size("_names"), F.size("_cells"))
+    values = F.map_from_arrays(
+        F.slice(F.transform("_names", strip), F.lit(1), width), F.slice("_cells", F.lit(1), width))
+    return split.withColumn("values", values).drop("_names", "_cells", "line", "header")
 
 
 def mislabelled_lines(spark: SparkSession, root: str, layer: str) -> DataFrame:
@@ -127,7 +132,7 @@ def _text(c: Column) -> Column:
 
 def _typed(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DoubleType):
-        return number(c)
+        return text_number(c)
     if isinstance(dtype, T.LongType):
         return integer(c)
     if isinstance(dtype, T.TimestampType):
@@ -165,10 +170,11 @@ def rejected_rows(spark: SparkSession, root: str, layer: str) -> DataFrame:
 def source_counts(spark: SparkSession, root: str, layer: str) -> DataFrame:
     """Rows per month in the CSV files, rejected ones apart."""
     raw = raw_layer(spark, root, layer)
-    # the parser fills the corrupt column only when another column is asked for
-    filled = raw.select("year", "month", F.col(CORRUPT), F.struct(*[c for c in raw.columns if c != CORRUPT]).alias("_row"))
-    return filled.groupBy("year", "month").agg(
-        F.count("_row").alias("csv_rows"), F.count(CORRUPT).alias("rejected_rows")
+    # the parser fills the corrupt column only when the others are read as well
+    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file", "year", "month")]
+    size = F.length(F.to_json(F.struct(*fields)))
+    return raw.groupBy("year", "month").agg(
+        F.count_if(size >= 0).alias("csv_rows"), F.count(CORRUPT).alias("rejected_rows")
     ).withColumn("layer", F.lit(layer))
 
 
@@ -193,7 +199,7 @@ def normalize_types(df: DataFrame) -> DataFrame:
         checks = []
         for i, name in enumerate(names):
             text = _text(F.col(name).cast("string"))
-            value = number(text)
+            value = text_number(text)
             checks += [
                 F.count(text).alias(f"n{i}"), F.count(value).alias(f"d{i}"),
                 F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias(f"w{i}")]
@@ -206,6 +212,6 @@ def normalize_types(df: DataFrame) -> DataFrame:
         else:
             i = names.index(name)
             numeric = profile[f"n{i}"] and profile[f"n{i}"] == profile[f"d{i}"]
-            c = (integer(text) if profile[f"w{i}"] else number(text)) if numeric else text
+            c = (integer(text) if profile[f"w{i}"] else text_number(text)) if numeric else text
         columns.append(c.alias(name))
     return df.select(*columns)
