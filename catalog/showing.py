@@ -135,10 +135,10 @@ def context_rows(spark, d):
 
 
 @query("metadata_only_contexts", f"""WITH {MD} SELECT r_name AS query_id, least(10, (SELECT count(*) FROM md WHERE project_name = r_name)) AS n_lines
-FROM region WHERE r_name NOT IN (SELECT project_name FROM md WHERE platform_number IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 6))""")
+FROM region WHERE r_name NOT IN (SELECT project_name FROM md WHERE platform_number IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3))""")
 def metadata_only(spark, d):
     asked, hits, _, _ = _project_inputs(spark, d)
-    marked = table(spark, d, "customer").where("c_mktsegment = 'BUILDING' AND c_nationkey < 6").select(F.col("c_custkey").alias("platform_number"))
+    marked = table(spark, d, "customer").where("c_mktsegment = 'BUILDING' AND c_nationkey = 3").select(F.col("c_custkey").alias("platform_number"))
     cand = hits.select("query_id", "platform_number").join(marked, "platform_number", "left_semi")
     alone = context.metadata_only_context(asked, hits, cand)
     return alone.select("query_id", (F.size(F.split("context", "DOC_ID=")) - 1).cast("bigint").alias("n_lines"))

@@ -164,7 +164,7 @@ def final(spark, d):
 
 # --- gate -----------------------------------------------------------------------
 
-@query("region_hits", f"""WITH {ANALYZED}, {P} SELECT query_id, count(PLATFORM_NUMBER) AS region_hits
+@query("region_hits", f"""WITH {ANALYZED}, {P} SELECT query_id, count(p.PLATFORM_NUMBER) AS region_hits
 FROM (SELECT * FROM an WHERE lat_min IS NOT NULL) LEFT JOIN p ON LATITUDE BETWEEN lat_min AND lat_max AND LONGITUDE BETWEEN lon_min AND lon_max GROUP BY query_id""")
 def region_hits(spark, d):
     boxes = _analyzed(spark, d).where("bbox IS NOT NULL").select("query_id", "bbox")
@@ -180,7 +180,7 @@ def _core(spark, d):
 
 @query("data_gate", f"""WITH {ANALYZED}, {P}, core AS (SELECT l_suppkey * 10 + 1000 AS platform_number, l_partkey AS profile_index FROM lineitem),
 rate AS (SELECT 1 - avg(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS psal FROM lineitem),
-h AS (SELECT query_id, count(PLATFORM_NUMBER) AS hits FROM (SELECT * FROM an WHERE lat_min IS NOT NULL)
+h AS (SELECT query_id, count(p.PLATFORM_NUMBER) AS hits FROM (SELECT * FROM an WHERE lat_min IS NOT NULL)
  LEFT JOIN p ON LATITUDE BETWEEN lat_min AND lat_max AND LONGITUDE BETWEEN lon_min AND lon_max GROUP BY query_id)
 SELECT an.query_id, intent, CASE
  WHEN intent IN ('measurement', 'compare', 'nearest', 'qc_query') AND h.hits = 0 THEN 'INSUFFICIENT_DATA_REGION'

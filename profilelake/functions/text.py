@@ -89,10 +89,11 @@ def _first_value(entries: Column) -> Column:
 def lookup(m: Column, names: Sequence[str]) -> Column:
     """Map value under the first of ``names`` that is present, ignoring case."""
     entries = F.map_entries(m)
-    return F.coalesce(*[
-        _first_value(F.filter(entries, lambda e, n=n: F.lower(e["key"]) == F.lit(n)))
-        for n in dict.fromkeys(name.lower() for name in names)
-    ])
+
+    def under(name: str) -> Column:
+        return _first_value(F.filter(entries, lambda e: F.lower(e["key"]) == name))
+
+    return F.coalesce(*[under(n) for n in dict.fromkeys(name.lower() for name in names)])
 
 
 def metadata_matches(m: Column, wanted: dict[str, object]) -> Column:

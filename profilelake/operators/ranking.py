@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilelake.session import checkpointed
+from profilelake.session import materialized
 
 HOT_KEY_ROWS = 2_000_000   # rows of one key that a single task should still sort
 MAX_HOT_KEYS = 1_000       # a key outside the 1000 largest holds under 0.1 % of the rows
@@ -82,10 +82,10 @@ def evenly_spaced(total: int, points: int) -> list[int]:
 def pick_evenly(df: DataFrame, order: Sequence[Column], points: int, *, ordinal: str = "ordinal") -> tuple[DataFrame, int]:
     """At most ``points`` evenly spaced rows of the ordered frame, and its row count.
 
-    The sorted frame is checkpointed once. Row ids then hold (partition, offset),
+    The sorted frame is written once. Row ids then hold (partition, offset),
     and the driver only sees one count per partition to place the ordinals.
     """
-    ordered = checkpointed(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
+    ordered = materialized(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
     sizes = sorted(
         (r["_pid"], r["_n"])
         for r in ordered.groupBy(F.shiftright("_rid", 33).alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).collect()
@@ -108,7 +108,7 @@ def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float =
     """Exact linearly interpolated quantile of ``value`` per group.
 
     ``percentile`` gathers all distinct values of a group in one buffer. Here
-    they are counted, range-sorted by (group, value) and checkpointed; block
+    they are counted, range-sorted by (group, value) and written once; block
     totals locate the one or two sorted blocks that hold the wanted ranks, and
     only those blocks are scanned in order.
     """
@@ -118,7 +118,7 @@ def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float =
     if not keys:
         keys, renamed = ["_g"], renamed.withColumn("_g", F.lit(0))
     counted = renamed.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = checkpointed(counted.orderBy(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
+    ordered = materialized(counted.orderBy(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
 
     per_group = Window.partitionBy(*keys)
     blocks = ordered.groupBy(*keys, "_pid").agg(F.sum("_n").alias("_size"))

@@ -14,6 +14,7 @@ from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
 from profilelake.schemas import FETCH_CAP
+from profilelake.session import materialized
 
 
 @dataclass
@@ -47,15 +48,16 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
     (``doc_platform``: the documents' numeric platform column).
     """
     queries = questions.withColumn("_platform", platform_filter(F.col("text")))
-    hits = retrieve(docs, queries, top_k, match=(doc_platform, "_platform") if doc_platform else None)
-    candidates = ranked_candidates(build_candidates(hits, [KEY]), [KEY])
+    # hits, candidates and fetched rows each feed several branches below
+    hits = materialized(retrieve(docs, queries, top_k, match=(doc_platform, "_platform") if doc_platform else None))
+    candidates = materialized(ranked_candidates(build_candidates(hits, [KEY]), [KEY]))
     serials = metadata[0]
     for m in metadata[1:]:
         serials = serials.unionByName(m, allowMissingColumns=True)
-    wanted = question_platforms(candidates, serials)
+    wanted = materialized(question_platforms(candidates, serials))
     platforms = wanted.select("platform_number").distinct()
     capped = fetch_measurements(core, platforms, months=months, date_from=date_from, date_to=date_to, cap=cap).drop("rank")
-    rows = capped.join(wanted, "platform_number")
+    rows = materialized(capped.join(wanted, "platform_number"))
     about = fetch_metadata(metadata, platforms).join(wanted, "platform_number")
     texts = questions.select(KEY, "text")
     full = assemble(texts.join(candidates.select(KEY), KEY, "left_semi"), hits, rows, about)
