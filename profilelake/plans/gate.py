@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.quality import null_rates, profile_exists
+from profilelake.session import materialized
 
 # Intents whose region and platform are checked, and the missing-rate limit.
 CHECKED_INTENTS = ("measurement", "compare", "nearest", "qc_query")
@@ -25,6 +26,7 @@ def region_hits(boxes: DataFrame, positions: DataFrame, key: str = "query_id") -
     whole; only cells that the border crosses are looked up again, by equality
     on the cell. No box is compared with every position.
     """
+    boxes = materialized(boxes.select(key, "bbox.*"))   # read by three branches
     known = _cells(positions.select(F.col("LATITUDE").cast("double"), F.col("LONGITUDE").cast("double")).where(
         F.col("LATITUDE").between(-90, 90) & F.col("LONGITUDE").between(-360, 360)))
     cells = known.groupBy("_lat_cell", "_lon_cell").agg(
@@ -32,7 +34,7 @@ def region_hits(boxes: DataFrame, positions: DataFrame, key: str = "query_id") -
         F.min("LATITUDE").alias("_y0"), F.max("LATITUDE").alias("_y1"),
         F.min("LONGITUDE").alias("_x0"), F.max("LONGITUDE").alias("_x1"))
     # NaN bounds would make the degree list endless; such a box holds nothing
-    flat = boxes.select(key, "bbox.*").where(
+    flat = boxes.where(
         ~F.isnan("lat_min") & ~F.isnan("lat_max") & ~F.isnan("lon_min") & ~F.isnan("lon_max"))
     south, north = F.greatest("lat_min", F.lit(-90.0)), F.least("lat_max", F.lit(90.0))
     bands = flat.where(south <= north).withColumn(
@@ -59,6 +61,7 @@ def gate(questions: DataFrame, positions: DataFrame, core: DataFrame, key: str =
 
     Coverage and missing rates are computed once for the whole batch.
     """
+    questions = materialized(questions)   # read by every check
     checked = F.col("intent").isin(*CHECKED_INTENTS)
     boxes = questions.where(checked & F.col("bbox").isNotNull()).select(key, "bbox")
     regions = region_hits(boxes, positions, key)

@@ -17,15 +17,15 @@ VARIABLE_WORDS = {
     "NITRATE": ("nitrate", "no3"),
 }
 
-# Intent -> patterns, tried in this order on the lower-cased text.
-INTENT_PATTERNS = {
-    "compare": (r"\bcompare\b", r"\bvs\b", r"\bversus\b"),
-    "measurement": (r"\bshow me\b", r"\bplot\b", r"\bdisplay\b", r"\bprofile\b", r"\btime series\b"),
-    "nearest": (r"\bnearest\b", r"\bclosest\b", r"\bnear this location\b"),
-    "float_detail": (r"\bfloat\b", r"\bserial\b", r"\bplatform\b", r"\bfloat number\b"),
-    "project_info": (r"\bproject\b", r"\bPI\b", r"\bprincipal investigator\b", r"\bresearcher\b"),
-    "qc_query": (r"\bQC\b", r"\bquality flags?\b", r"\bprofile quality\b"),
-    "history": (r"\bhistory\b", r"\bprocessed\b", r"\badjusted\b"),
+# Intent -> whole words or phrases, tried in this order on the lower-cased text.
+INTENT_PHRASES = {
+    "compare": ("compare", "vs", "versus"),
+    "measurement": ("show me", "plot", "display", "profile", "time series"),
+    "nearest": ("nearest", "closest", "near this location"),
+    "float_detail": ("float", "serial", "platform", "float number"),
+    "project_info": ("project", "PI", "principal investigator", "researcher"),
+    "qc_query": ("QC", "quality flag", "quality flags", "profile quality"),
+    "history": ("history", "processed", "adjusted"),
 }
 NEAREST_WORDS = ("where", "lat", "lon", "nearest")
 MEASUREMENT_WORDS = ("temp", "salin", "pres", "profile")
@@ -53,81 +53,83 @@ VISUAL_WORDS = {
 }
 
 
-def intent(text: Column, *, fix_case: bool = False) -> Column:
-    """First intent with a matching pattern, then two word rules, else unknown.
+def intent(low: Column, *, fix_case: bool = False) -> Column:
+    """First intent with a phrase in the lower-cased text, then two word rules, else unknown.
 
-    The text is lower-cased but two patterns hold capitals and so never match;
-    ``fix_case`` lower-cases the patterns too.
+    Two phrases hold capitals and so never match; ``fix_case`` lower-cases them.
     """
-    low = F.lower(text)
     result = None
-    for name, patterns in INTENT_PATTERNS.items():
-        joined = "|".join(p.replace("PI", "pi").replace("QC", "qc") if fix_case else p for p in patterns)
-        hit = low.rlike(f"(?U)(?:{joined})")
+    for name, phrases in INTENT_PHRASES.items():
+        known = [p.lower() if fix_case else p for p in phrases]
+        hit = low.rlike(rf"(?U)\b(?:{'|'.join(known)})\b")
         result = F.when(hit, name) if result is None else result.when(hit, name)
     return (
-        result.when(contains_any(text, NEAREST_WORDS), "nearest")
-        .when(contains_any(text, MEASUREMENT_WORDS), "measurement")
+        result.when(contains_any(low, NEAREST_WORDS), "nearest")
+        .when(contains_any(low, MEASUREMENT_WORDS), "measurement")
         .otherwise("unknown")
     )
 
 
-def variables(text: Column) -> Column:
-    """Sorted names of the variables mentioned."""
+def variables(low: Column) -> Column:
+    """Sorted names of the variables mentioned in the lower-cased text."""
     return F.array_compact(F.array(*[
-        F.when(contains_any(text, VARIABLE_WORDS[name]), F.lit(name)) for name in sorted(VARIABLE_WORDS)
+        F.when(contains_any(low, VARIABLE_WORDS[name]), F.lit(name)) for name in sorted(VARIABLE_WORDS)
     ]))
 
 
-def bounding_box(text: Column) -> Column:
-    """Box of "lat a to b ... lon c to d", or one degree around "near x, y"; else null."""
-    a, b, c, d = (matched(text, BOX_PATTERN, i).try_cast("double") for i in (1, 2, 3, 4))
-    x, y = (matched(text, NEAR_PATTERN, i).try_cast("double") for i in (1, 2))
+def _groups(df: DataFrame, text: str, pattern: str, names: dict[str, int], dtype: str) -> DataFrame:
+    """Typed groups of a pattern. The match is cut out in a step of its own, so
+    that the text is searched once and groups are read from a short string."""
+    found = df.withColumn("_found", F.regexp_substr(F.col(text), F.lit(pattern)))
+    parts = {n: matched(F.col("_found"), pattern, i).try_cast(dtype) for n, i in names.items()}
+    return found.withColumns(parts)
+
+
+def with_bounding_box(df: DataFrame, text: str) -> DataFrame:
+    """Add ``bbox``: "lat a to b ... lon c to d", or one degree around "near x, y"; else null."""
+    df = _groups(df, text, BOX_PATTERN, {"_a": 1, "_b": 2, "_c": 3, "_d": 4}, "double").withColumnRenamed("_found", "_boxed")
+    df = _groups(df, text, NEAR_PATTERN, {"_x": 1, "_y": 2}, "double").drop("_found")
+    a, b, c, d, x, y = (F.col(n) for n in ("_a", "_b", "_c", "_d", "_x", "_y"))
 
     def box(lat_min, lat_max, lon_min, lon_max):
         return F.struct(lat_min.alias("lat_min"), lat_max.alias("lat_max"),
                         lon_min.alias("lon_min"), lon_max.alias("lon_max"))
 
     whole = a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull()
-    return (
+    bbox = (
         F.when(whole, box(F.least(a, b), F.greatest(a, b), F.least(c, d), F.greatest(c, d)))
-        .when(matched(text, BOX_PATTERN, 1).isNotNull(), F.lit(None))
+        .when(F.col("_boxed").isNotNull(), F.lit(None))
         .when(x.isNotNull() & y.isNotNull(), box(x - 1, x + 1, y - 1, y + 1))
     )
+    return df.withColumn("bbox", bbox).drop("_a", "_b", "_c", "_d", "_x", "_y", "_boxed")
 
 
-def date_range(text: Column, as_of: Column) -> Column:
-    """(date_from, date_to) of an ISO pair, a named month, or "last n months" before ``as_of``."""
-    def dates(start, end):
-        return F.struct(start.alias("date_from"), end.alias("date_to"))
-
-    iso_from, iso_to = (matched(text, DATES_PATTERN, i) for i in (1, 2))
-    name, year = (matched(text, MONTH_PATTERN, i) for i in (1, 2))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name))
-    first = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lit("01")).try_cast("date")
-    n = matched(text, LAST_MONTHS_PATTERN, 1).try_cast("int")
-    return (
-        F.when(iso_from.isNotNull(), dates(iso_from.try_cast("date"), iso_to.try_cast("date")))
-        .when(name.isNotNull(), dates(first, F.last_day(first)))
-        .when(n.isNotNull(), dates(F.add_months(as_of, -n), as_of))
-    )
+def with_date_range(df: DataFrame, text: str, as_of: Column) -> DataFrame:
+    """Add ``date_from``, ``date_to`` of an ISO pair, a named month, or "last n
+    months" before ``as_of``."""
+    df = _groups(df, text, DATES_PATTERN, {"_from": 1, "_to": 2}, "date").withColumnRenamed("_found", "_iso")
+    df = _groups(df, text, MONTH_PATTERN, {"_month": 1, "_year": 2}, "string").drop("_found")
+    df = df.withColumn("_n", matched(F.col(text), LAST_MONTHS_PATTERN, 1).try_cast("int"))
+    number_of = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower("_month"))
+    first = F.concat_ws("-", "_year", F.lpad(number_of.cast("string"), 2, "0"), F.lit("01")).try_cast("date")
+    df = df.withColumn("_first", F.when(F.col("_month").isNotNull(), first))
+    iso, named, n = F.col("_iso").isNotNull(), F.col("_month").isNotNull(), F.col("_n")
+    return df.withColumns({
+        "date_from": F.when(iso, F.col("_from")).when(named, F.col("_first")).when(n.isNotNull(), F.add_months(as_of, -n)),
+        "date_to": F.when(iso, F.col("_to")).when(named, F.last_day("_first")).when(n.isNotNull(), as_of),
+    }).drop("_from", "_to", "_iso", "_month", "_year", "_n", "_first")
 
 
 def platform_number(text: Column) -> Column:
     return matched(text, PLATFORM_PATTERN, 1).try_cast("bigint")
 
 
-def profile_index(text: Column) -> Column:
-    """Profile number, looked for only when no platform is named."""
-    return F.when(platform_number(text).isNull(), matched(text, PROFILE_PATTERN, 1).try_cast("bigint"))
-
-
 def platform_filter(text: Column) -> Column:
     """Platform number that restricts the search itself."""
     return matched(text, PLATFORM_FILTER_PATTERN, 2).try_cast("bigint")
 
 
-def missing_fields(text: Column) -> Column:
+def missing_fields(low: Column) -> Column:
     """Texts naming what the question lacks; reads the columns of :func:`analyze`."""
     no_vars = F.size("variables") == 0
     no_box = F.col("bbox").isNull()
@@ -144,7 +146,7 @@ def missing_fields(text: Column) -> Column:
         reason("measurement", nowhere, "spatial or temporal constraint (lat/lon or date range or platform)"),
         reason("compare", no_vars, "variables to compare (e.g., TEMP, PSAL)"),
         reason("compare", nowhere, "time range or region"),
-        reason("nearest", no_box & ~F.lower(text).contains("near"), "a location (lat,lon) or bounding box"),
+        reason("nearest", no_box & ~low.contains("near"), "a location (lat,lon) or bounding box"),
         reason("float_detail", no_platform, "platform number or float identifier"),
         reason("qc_query", no_platform & no_box, "platform number or region"),
     ))
@@ -152,27 +154,34 @@ def missing_fields(text: Column) -> Column:
 
 def analyze(questions: DataFrame, text: str = "text", *, as_of: Column | None = None,
             fix_case: bool = False) -> DataFrame:
-    """Question log with intent, variables, box, dates, ids and missing fields."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    dates = date_range(t, F.current_date() if as_of is None else as_of)
-    fields = questions.withColumns({
-        "intent": intent(t, fix_case=fix_case), "variables": variables(t), "bbox": bounding_box(t),
-        "_dates": dates, "platform_number": platform_number(t), "profile_index": profile_index(t),
-        "platform_filter": platform_filter(t),
-    }).withColumns({"date_from": F.col("_dates.date_from"), "date_to": F.col("_dates.date_to")}).drop("_dates")
-    return fields.withColumn("missing", missing_fields(t))
+    """Question log with intent, variables, box, dates, ids and missing fields.
+
+    Built in steps: a step read more than once stays a projection of its own,
+    so no pattern runs twice over a text.
+    """
+    low = F.col("_low")
+    df = questions.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_text"))
+    df = with_date_range(with_bounding_box(df, "_text"), "_text", F.current_date() if as_of is None else as_of)
+    t = F.col("_text")
+    df = df.withColumns({"intent": intent(low, fix_case=fix_case), "variables": variables(low),
+                         "platform_number": platform_number(t), "platform_filter": platform_filter(t)})
+    df = df.withColumn("profile_index", F.when(
+        F.col("platform_number").isNull(), matched(t, PROFILE_PATTERN, 1).try_cast("bigint")))
+    return df.withColumn("missing", missing_fields(low)).drop("_text", "_low")
 
 
 def demand(analyzed: DataFrame, column: str, name: str) -> DataFrame:
     """How many questions hold each element of an array column."""
-    return analyzed.select(F.explode(column).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("questions"))
+    # the outer form keeps the optimizer from testing the array in a filter first
+    elements = analyzed.select(F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+    return elements.groupBy(name).agg(F.count(F.lit(1)).alias("questions"))
 
 
 def visual_intent(text: Column) -> Column:
     """Kind of visual asked for, by the first word group that occurs."""
-    result = None
+    low, result = F.lower(text), None
     for name, words in VISUAL_WORDS.items():
-        hit = contains_any(text, words)
+        hit = contains_any(low, words)
         result = F.when(hit, name) if result is None else result.when(hit, name)
     return result.otherwise("time_series")
 

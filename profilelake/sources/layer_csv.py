@@ -194,24 +194,25 @@ def normalize_types(df: DataFrame) -> DataFrame:
     """Types for all-text columns: times by name, whole numbers as BIGINT, other
     numbers as DOUBLE, the rest trimmed text. One aggregate looks at all columns."""
     names = [c for c in df.columns if not is_time_name(c)]
+    clean = df.select(*[_text(F.col(c).cast("string")).alias(c) for c in df.columns])
     profile = {}
     if names:
         checks = []
+        values = clean.select(*names, *[text_number(F.col(c)).alias(f"{c}#") for c in names])
         for i, name in enumerate(names):
-            text = _text(F.col(name).cast("string"))
-            value = text_number(text)
+            value = F.col(f"{name}#")
             checks += [
-                F.count(text).alias(f"n{i}"), F.count(value).alias(f"d{i}"),
+                F.count(name).alias(f"n{i}"), F.count(value).alias(f"d{i}"),
                 F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias(f"w{i}")]
-        profile = df.agg(*checks).first().asDict()
+        profile = values.agg(*checks).first().asDict()
     columns = []
     for name in df.columns:
-        text = _text(F.col(name).cast("string"))
+        c = F.col(name)
         if is_time_name(name):
-            c = reference_timestamp(text)
+            c = reference_timestamp(c)
         else:
             i = names.index(name)
-            numeric = profile[f"n{i}"] and profile[f"n{i}"] == profile[f"d{i}"]
-            c = (integer(text) if profile[f"w{i}"] else text_number(text)) if numeric else text
+            if profile[f"n{i}"] and profile[f"n{i}"] == profile[f"d{i}"]:
+                c = integer(c) if profile[f"w{i}"] else text_number(c)
         columns.append(c.alias(name))
-    return df.select(*columns)
+    return clean.select(*columns)
