@@ -15,14 +15,19 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def utf8(c: Column) -> Column:
+    """Text of bytes; what is not UTF-8 is dropped."""
+    return F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def text_value(c: Column, dtype: T.DataType) -> Column:
     """Readable string of a scalar, byte string or character array; null gives ''."""
     if isinstance(dtype, T.ArrayType):
         if isinstance(dtype.elementType, T.BinaryType):
-            c = F.transform(c, lambda x: F.decode(x, "UTF-8"))
+            c = F.transform(c, utf8)
         c = F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "")
     elif isinstance(dtype, T.BinaryType):
-        c = F.decode(c, "UTF-8")
+        c = utf8(c)
     else:
         c = c.cast("string")
     return F.coalesce(strip(F.translate(c, "\x00", "")), F.lit(""))

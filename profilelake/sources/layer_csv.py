@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilelake.functions.text import integer, strip, text_number
+from profilelake.functions.text import integer, strip, text_number, utf8
 from profilelake.functions.times import reference_timestamp
 from profilelake.schemas import LAYER_FILE_PREFIX, LAYERS
 
@@ -80,11 +80,12 @@ def _plain_gz(spark: SparkSession, root: str, layer: str) -> DataFrame:
         .option("pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root)
         .where(wanted_file(F.col("path"))).select("path", "content")
     )
-    plain = files.where(F.substring("content", 1, 2) != F.lit(b"\x1f\x8b"))
-    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
+    is_plain = F.substring("content", 1, 2) != F.lit(b"\x1f\x8b")
+    lines = F.when(is_plain, F.split(utf8(F.col("content")), "\r?\n"))
     # an odd number of quotes on a line means that a quoted value goes on
     quoted_break = F.exists("_lines", lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"')))) % 2 == 1)
-    return plain.select("path", lines.alias("_lines")).withColumn("_quoted_break", quoted_break)
+    plain = files.select("path", lines.alias("_lines")).where(F.col("_lines").isNotNull())
+    return plain.withColumn("_quoted_break", quoted_break)
 
 
 def unsplittable_files(spark: SparkSession, root: str, layer: str) -> DataFrame:
@@ -140,6 +141,13 @@ def _typed(c: Column, dtype: T.DataType) -> Column:
     return _text(c)
 
 
+def _fully_read(raw: DataFrame) -> Column:
+    """Always true, but reads every field: the parser judges a row only by the
+    fields that are asked for."""
+    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file", "year", "month")]
+    return F.hash(*[F.size(c) if c == "values" else F.col(c) for c in fields]) >= F.lit(-(2**31))
+
+
 def typed_layer(raw: DataFrame, layer: str, *, ordinal: bool = True) -> DataFrame:
     """Raw text rows in the layer's schema, with lineage and partition columns.
     Rejected rows are left out (see :func:`rejected_rows`). Streams have no
@@ -155,7 +163,7 @@ def typed_layer(raw: DataFrame, layer: str, *, ordinal: bool = True) -> DataFram
             source = F.col("values")[f.name] if open_column else F.col(f.name)
             columns.append(_typed(source, f.dataType).alias(f.name))
     position = [F.monotonically_increasing_id().alias("row_ordinal")] if ordinal else []
-    return raw.where(F.col(CORRUPT).isNull()).select(*columns, "source_file", *position, "year", "month")
+    return raw.where(F.col(CORRUPT).isNull() & _fully_read(raw)).select(*columns, "source_file", *position, "year", "month")
 
 
 def read_layer(spark: SparkSession, root: str, layer: str) -> DataFrame:
@@ -164,17 +172,14 @@ def read_layer(spark: SparkSession, root: str, layer: str) -> DataFrame:
 
 def rejected_rows(spark: SparkSession, root: str, layer: str) -> DataFrame:
     raw = raw_layer(spark, root, layer)
-    return raw.where(F.col(CORRUPT).isNotNull()).select("source_file", "year", "month", F.col(CORRUPT).alias("line"))
+    return raw.where(F.col(CORRUPT).isNotNull() & _fully_read(raw)).select("source_file", "year", "month", F.col(CORRUPT).alias("line"))
 
 
 def source_counts(spark: SparkSession, root: str, layer: str) -> DataFrame:
     """Rows per month in the CSV files, rejected ones apart."""
     raw = raw_layer(spark, root, layer)
-    # the parser fills the corrupt column only when the others are read as well
-    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file", "year", "month")]
-    size = F.length(F.to_json(F.struct(*fields)))
     return raw.groupBy("year", "month").agg(
-        F.count_if(size >= 0).alias("csv_rows"), F.count(CORRUPT).alias("rejected_rows")
+        F.count_if(_fully_read(raw)).alias("csv_rows"), F.count(CORRUPT).alias("rejected_rows")
     ).withColumn("layer", F.lit(layer))
 
 
