@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +53,14 @@ def upsert_partitions(path: str, incoming: DataFrame, id_col: str = "id", versio
     """Upsert into a (year, month) Parquet store, rewriting only touched months.
 
     A document keeps its month (it is part of the id), so other folders cannot
-    hold the same id. The join on the month keeps the scan to those folders.
+    hold the same id. The list of months is as long as the batch's calendar; as
+    literals they prune the folders read.
     """
-    spark = incoming.sparkSession
-    months = incoming.select("year", "month").distinct()
-    stored = spark.read.schema(incoming.schema).parquet(path).join(months, ["year", "month"], "left_semi")
+    months = incoming.select("year", "month").distinct().collect()
+    touched = F.lit(False)
+    for m in months:
+        touched = touched | ((F.col("year") == m["year"]) & (F.col("month") == m["month"]))
+    stored = incoming.sparkSession.read.schema(incoming.schema).parquet(path).where(touched)
     merged = upsert(stored.select(*incoming.columns), incoming, id_col, version)
     merged.hint("rebalance", "year", "month").write.partitionBy("year", "month").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").parquet(path)
@@ -267,7 +268,3 @@ def retrieve(docs: DataFrame, queries: DataFrame, top_k: int, *, metadata_filter
         docs = docs.where(metadata_matches(F.col("metadata"), metadata_filter))
     near = nearest_documents(docs, queries, top_k, query_id=query_id, match=match)
     return hit_list(near, docs, top_k, query_id=query_id)
-
-
-def first_hits(hits: DataFrame, n: int) -> DataFrame:
-    return hits.where(F.col("hit_rank") <= n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.quality import null_rates, profile_exists
@@ -13,32 +13,38 @@ CHECKED_INTENTS = ("measurement", "compare", "nearest", "qc_query")
 MAX_NULL_RATE = 0.8
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "_lat_cell": F.floor("LATITUDE").cast("int"), "_lon_cell": F.floor("LONGITUDE").cast("int")})
+# Cells beyond the globe gather whatever lies outside it; bounds are kept per
+# cell, so odd positions are still compared exactly.
+LAT_CELLS, LON_CELLS = (-91, 91), (-361, 361)
+
+
+def _cell(c: Column, limits: tuple[int, int]) -> Column:
+    low, high = limits
+    return F.floor(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))).cast("int")
 
 
 def region_hits(boxes: DataFrame, positions: DataFrame, key: str = "query_id") -> DataFrame:
     """Positions inside each box (columns key, bbox), zero included.
 
-    Positions are first reduced to one row per whole degree (at most 360 x 180
+    Positions are first reduced to one row per whole degree (at most 183 x 723
     rows) with its count and tight bounds. A cell inside the box counts as a
     whole; only cells that the border crosses are looked up again, by equality
     on the cell. No box is compared with every position.
     """
     boxes = materialized(boxes.select(key, "bbox.*"))   # read by three branches
-    known = _cells(positions.select(F.col("LATITUDE").cast("double"), F.col("LONGITUDE").cast("double")).where(
-        F.col("LATITUDE").between(-90, 90) & F.col("LONGITUDE").between(-360, 360)))
+    lat, lon = F.col("LATITUDE").cast("double"), F.col("LONGITUDE").cast("double")
+    known = positions.select(lat.alias("LATITUDE"), lon.alias("LONGITUDE")).where(
+        F.col("LATITUDE").isNotNull() & F.col("LONGITUDE").isNotNull()
+        & ~F.isnan("LATITUDE") & ~F.isnan("LONGITUDE"))
+    known = known.withColumns({
+        "_lat_cell": _cell(F.col("LATITUDE"), LAT_CELLS), "_lon_cell": _cell(F.col("LONGITUDE"), LON_CELLS)})
     cells = known.groupBy("_lat_cell", "_lon_cell").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("LATITUDE").alias("_y0"), F.max("LATITUDE").alias("_y1"),
         F.min("LONGITUDE").alias("_x0"), F.max("LONGITUDE").alias("_x1"))
-    # NaN bounds would make the degree list endless; such a box holds nothing
-    flat = boxes.where(
-        ~F.isnan("lat_min") & ~F.isnan("lat_max") & ~F.isnan("lon_min") & ~F.isnan("lon_max"))
-    south, north = F.greatest("lat_min", F.lit(-90.0)), F.least("lat_max", F.lit(90.0))
-    bands = flat.where(south <= north).withColumn(
-        "_lat_cell", F.explode(F.sequence(F.floor(south).cast("int"), F.floor(north).cast("int"))))
+    real = boxes.where(F.col("lat_min") <= F.col("lat_max")).where(~F.isnan("lat_max") & ~F.isnan("lon_max"))
+    bands = real.withColumn("_lat_cell", F.explode(F.sequence(
+        _cell(F.col("lat_min"), LAT_CELLS), _cell(F.col("lat_max"), LAT_CELLS))))
     touched = bands.join(cells, "_lat_cell").where(
         (F.col("_y1") >= F.col("lat_min")) & (F.col("_y0") <= F.col("lat_max"))
         & (F.col("_x1") >= F.col("lon_min")) & (F.col("_x0") <= F.col("lon_max")))

@@ -13,6 +13,7 @@ from profilelake.operators.fetch import fetch_measurements, fetch_metadata
 from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
+from profilelake.plans.visuals import Visual, build_visual, resolve_intent
 from profilelake.schemas import FETCH_CAP
 from profilelake.session import materialized
 
@@ -66,6 +67,16 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
     return Retrieval(hits, candidates, rows, about, contexts)
 
 
+def visual_for(run: Retrieval, query_id, text: str, positions: DataFrame | None = None) -> Visual:
+    """The visual of one question of the batch, from its own rows and metadata."""
+    def own(df):
+        part = df.where(F.col(KEY) == query_id).drop(KEY)
+        return None if part.isEmpty() else part
+
+    return build_visual(resolve_intent(run.rows.sparkSession, text), own(run.rows), own(run.metadata), positions,
+                        ties=("platform_number", "profile_index", "level_index"))
+
+
 def result_rows(run: Retrieval) -> DataFrame:
     """One JSON document per question for the result sink."""
     counts = run.candidates.groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates_count"))

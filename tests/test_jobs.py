@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from profilelake.operators import fetch, quality, ranking, stats, vectors
 from profilelake.plans import context, visuals
+from profilelake.plans.gate import region_hits
+from profilelake.plans.retrieval import visual_for
 from profilelake.schemas import CRITICAL_COLUMNS, LAYERS
 from profilelake.sources import layer_csv, tables
 from profilelake.streaming import ingest
@@ -232,3 +234,20 @@ def test_run_questions(spark):
     assert run.contexts.count() == searching._questions(spark, SF).count()
     caps = run.rows.groupBy("query_id", "year", "month", "platform_number", "profile_index").count()
     assert caps.where("count > 1").count() == 0
+    asked = run.rows.first()["query_id"]
+    chart = visual_for(run, asked, "temperature over time")
+    assert chart.kind == "chart" and chart.data.count() == min(200, run.rows.where(F.col("query_id") == asked).count())
+    assert visual_for(run, -1, "temperature over time").kind == "none"
+
+
+def test_region_hits_against_brute_force(spark):
+    rng = random.Random(5)
+    points = [(rng.choice([rng.uniform(-90, 90), 10.0, 95.0, None, float("nan"), float("inf")]),
+               rng.choice([rng.uniform(-180, 180), 20.0, 500.0])) for _ in range(800)]
+    boxes = [(i, (a := rng.uniform(-100, 90), a + rng.choice([0, 1, 30, 1e9]), b := rng.uniform(-200, 180), b + rng.choice([0, 1, 90, 1e9])))
+             for i in range(60)] + [(60, (10.0, 10.0, 20.0, 20.0)), (61, (5.0, -5.0, 0.0, 1.0))]
+    p = spark.createDataFrame(points, "LATITUDE double, LONGITUDE double")
+    q = spark.createDataFrame(boxes, "query_id int, bbox struct<lat_min double, lat_max double, lon_min double, lon_max double>")
+    got = {r["query_id"]: r["region_hits"] for r in region_hits(q, p).collect()}
+    want = {i: sum(1 for y, x in points if y is not None and a <= y <= b and c <= x <= d) for i, (a, b, c, d) in boxes}
+    assert got == want
