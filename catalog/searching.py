@@ -89,13 +89,19 @@ def upsert(spark, d):
     return vectors.upsert(vectors.upsert(stored, batch), batch)
 
 
-@query("store_check", "SELECT doc_id AS id, substring(text, 1, 200) AS document, count(*) OVER () AS documents FROM documents ORDER BY doc_id LIMIT 5")
-def store_check(spark, d):
-    docs = table(spark, d, "documents").select(
+def _stored(spark, d):
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("document"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
-    count, peek = vectors.store_check(docs)
-    one = F.lit(1).alias("_one")
-    return peek.select("id", "document", one).join(count.select("*", one), "_one").drop("_one")
+
+
+@query("store_check", "SELECT doc_id AS id, substring(text, 1, 200) AS document, lang FROM documents ORDER BY doc_id LIMIT 5")
+def store_check(spark, d):
+    return vectors.store_check(_stored(spark, d))[1].select("id", "document", F.col("metadata")["lang"].alias("lang"))
+
+
+@query("store_count", "SELECT count(*) AS documents FROM documents")
+def store_count(spark, d):
+    return vectors.store_check(_stored(spark, d))[0]
 
 
 # hits of every event: metadata in the even rows' spelling, text in the others'

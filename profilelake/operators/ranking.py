@@ -34,7 +34,8 @@ def _hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
     return top.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+def ranked_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+    """Top n per key with one shuffle, for keys known to have few rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
@@ -48,8 +49,8 @@ def salted_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     and task.
     """
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    local = _ranked(salted, [*keys, "_salt"], order, n, rank).drop("_salt", rank)
-    return _ranked(local, keys, order, n, rank)
+    local = ranked_top_n(salted, [*keys, "_salt"], order, n, rank).drop("_salt", rank)
+    return ranked_top_n(local, keys, order, n, rank)
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *,
@@ -65,7 +66,7 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     for k in keys:
         eq = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
         same_key = eq if same_key is None else same_key & eq
-    cold = _ranked(df.join(hot, same_key, "left_anti"), keys, order, n, rank)
+    cold = ranked_top_n(df.join(hot, same_key, "left_anti"), keys, order, n, rank)
     heavy = salted_top_n(df.join(hot, same_key, "left_semi"), keys, order, n, rank)
     return cold.unionByName(heavy)
 
@@ -150,6 +151,14 @@ def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float =
     return found.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], result.alias(out))
 
 
+def merged_row(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row frames (no cross join)."""
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def salts_for(rows: int, per_task: int) -> int:
     """Number of blocks that keeps each below ``per_task`` rows."""
     return max(1, math.ceil(rows / per_task))

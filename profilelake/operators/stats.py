@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.operators.fetch import find_column
-from profilelake.operators.ranking import exact_quantile
+from profilelake.operators.ranking import exact_quantile, merged_row
 
 # Variables summarised, in this order.
 STAT_VARIABLES = ("TEMP", "PSAL", "PRES", "TEMP_ADJUSTED", "PSAL_ADJUSTED", "PRES_ADJUSTED")
@@ -73,9 +73,7 @@ def coverage_summary(df: DataFrame, hits: DataFrame | None = None) -> DataFrame:
         column = next((c for n in names if (c := find_column(df, n, contains=False))), None)
         if column:
             ranges += [F.min(column).alias(f"{short}_min"), F.max(column).alias(f"{short}_max")]
-    # both sides are single rows
-    one = F.lit(1).alias("_one")
-    return distinct.select("*", one).join(df.agg(*ranges).select("*", one), "_one").drop("_one")
+    return merged_row(distinct, df.agg(*ranges))
 
 
 def first_variable(df: DataFrame, names: Sequence[str] = AGGREGATE_VARIABLES) -> str | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.functions.text import integer, lookup, metadata_matches, row_map, row_text
-from profilelake.operators.ranking import first_per_key, salted_top_n, salts_for, top_n_per_key
+from profilelake.operators.ranking import first_per_key, ranked_top_n, salted_top_n, salts_for
 
 LOCAL_QUERIES = 4_096        # queries one task may hold as a matrix ...
 LOCAL_VALUES = 8_000_000     # ... and the numbers in it (64 MB)
@@ -254,7 +254,7 @@ def hit_list(near: DataFrame, docs: DataFrame, top_k: int, *, query_id: str = "q
     best = first_per_key(hits, [query_id, "platform_number", "profile_index"],
                          [-F.coalesce(F.col("score"), F.lit(-1.0)), far, F.col("id")])
     order = [F.col("score").desc_nulls_last(), F.col("distance").asc_nulls_last(), F.col("id")]
-    return top_n_per_key(best, [query_id], order, top_k, rank="hit_rank")
+    return ranked_top_n(best, [query_id], order, top_k, "hit_rank")   # at most k rows per query
 
 
 def retrieve(docs: DataFrame, queries: DataFrame, top_k: int, *, metadata_filter: dict[str, object] | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from profilelake.functions.text import json_safe
 from profilelake.operators.fetch import find_column
-from profilelake.operators.ranking import pick_evenly
+from profilelake.operators.ranking import merged_row, pick_evenly
 from profilelake.operators.stats import aggregate_table, first_variable
 from profilelake.plans.triage import visual_intent
 from profilelake.schemas import MAX_CHART_POINTS, MAX_TABLE_ROWS
@@ -94,11 +94,10 @@ def map_points(df: DataFrame | None, title: str = "", *, lat: str = "LATITUDE",
     checked = checked.withColumn("reason", reason)
     data = checked.where(F.col("reason").isNull()).select("row_index", "lat", "lon", "label")
     omitted = checked.where(F.col("reason").isNotNull()).select("row_index", "reason")
-    total = df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(1).alias("_one"))
+    total = df.agg(F.count(F.lit(1)).alias("row_count"))
     counts = checked.agg(
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("returned_count"),
-        F.count("reason").alias("omitted_count"), F.lit(1).alias("_one"))
-    return Visual("map", title, data=data, summary=total.join(counts, "_one").drop("_one"), omitted=omitted)
+        F.count(F.when(F.col("reason").isNull(), 1)).alias("returned_count"), F.count("reason").alias("omitted_count"))
+    return Visual("map", title, data=data, summary=merged_row(total, counts), omitted=omitted)
 
 
 def _first_column(df: DataFrame, names: Sequence[str]) -> str | None:
