@@ -57,11 +57,13 @@ def intent(low: Column, *, fix_case: bool = False) -> Column:
     """First intent with a phrase in the lower-cased text, then two word rules, else unknown.
 
     Two phrases hold capitals and so never match; ``fix_case`` lower-cases them.
+    A plain substring test comes first: few texts then need the dearer search
+    for word boundaries.
     """
     result = None
     for name, phrases in INTENT_PHRASES.items():
         known = [p.lower() if fix_case else p for p in phrases]
-        hit = low.rlike(rf"(?U)\b(?:{'|'.join(known)})\b")
+        hit = contains_any(low, known) & low.rlike(rf"(?U)\b(?:{'|'.join(known)})\b")
         result = F.when(hit, name) if result is None else result.when(hit, name)
     return (
         result.when(contains_any(low, NEAREST_WORDS), "nearest")
@@ -77,18 +79,21 @@ def variables(low: Column) -> Column:
     ]))
 
 
-def _groups(df: DataFrame, text: str, pattern: str, names: dict[str, int], dtype: str) -> DataFrame:
+def _groups(df: DataFrame, text: str, pattern: str, names: dict[str, int], dtype: str,
+            word: str | None = None) -> DataFrame:
     """Typed groups of a pattern. The match is cut out in a step of its own, so
-    that the text is searched once and groups are read from a short string."""
-    found = df.withColumn("_found", F.regexp_substr(F.col(text), F.lit(pattern)))
+    that the text is searched once and groups are read from a short string; a
+    text without ``word``, which every match holds, is not searched at all."""
+    match = F.regexp_substr(F.col(text), F.lit(pattern))
+    found = df.withColumn("_found", F.when(F.col("_low").contains(word), match) if word else match)
     parts = {n: matched(F.col("_found"), pattern, i).try_cast(dtype) for n, i in names.items()}
     return found.withColumns(parts)
 
 
 def with_bounding_box(df: DataFrame, text: str) -> DataFrame:
-    """Add ``bbox``: "lat a to b ... lon c to d", or one degree around "near x, y"; else null."""
-    df = _groups(df, text, BOX_PATTERN, {"_a": 1, "_b": 2, "_c": 3, "_d": 4}, "double").withColumnRenamed("_found", "_boxed")
-    df = _groups(df, text, NEAR_PATTERN, {"_x": 1, "_y": 2}, "double").drop("_found")
+    """Add ``bbox`` (reads ``_low``, the lower-cased text): "lat a to b ... lon c to d", or one degree around "near x, y"; else null."""
+    df = _groups(df, text, BOX_PATTERN, {"_a": 1, "_b": 2, "_c": 3, "_d": 4}, "double", "lat").withColumnRenamed("_found", "_boxed")
+    df = _groups(df, text, NEAR_PATTERN, {"_x": 1, "_y": 2}, "double", "near").drop("_found")
     a, b, c, d, x, y = (F.col(n) for n in ("_a", "_b", "_c", "_d", "_x", "_y"))
 
     def box(lat_min, lat_max, lon_min, lon_max):
@@ -109,7 +114,8 @@ def with_date_range(df: DataFrame, text: str, as_of: Column) -> DataFrame:
     months" before ``as_of``."""
     df = _groups(df, text, DATES_PATTERN, {"_from": 1, "_to": 2}, "date").withColumnRenamed("_found", "_iso")
     df = _groups(df, text, MONTH_PATTERN, {"_month": 1, "_year": 2}, "string").drop("_found")
-    df = df.withColumn("_n", matched(F.col(text), LAST_MONTHS_PATTERN, 1).try_cast("int"))
+    last = F.when(F.col("_low").contains("last"), matched(F.col(text), LAST_MONTHS_PATTERN, 1))
+    df = df.withColumn("_n", last.try_cast("int"))
     number_of = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower("_month"))
     first = F.concat_ws("-", "_year", F.lpad(number_of.cast("string"), 2, "0"), F.lit("01")).try_cast("date")
     df = df.withColumn("_first", F.when(F.col("_month").isNotNull(), first))
