@@ -28,10 +28,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id.
 
-    Of repeated rows with one id one stays; rows with a null id all stay.
+    Of repeated rows with one id and text one stays; rows with a null id all stay.
     """
     groups = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id__")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("kept_id__"), "left_semi")
+    with_id = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("kept_id__"), "left_semi").dropDuplicates(["doc_id", "text"])
     return with_id.unionByName(docs.where("doc_id IS NULL"))
 
 
