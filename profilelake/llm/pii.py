@@ -53,35 +53,44 @@ FEATURES = ("length", "digits", "letters", "spaces", "dots", "dashes", "brackets
 SPAN = "struct<start:int,end:int,kind:string>"
 
 
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def running_sums(numbers: Column) -> Column:
     """Sums of an array's numbers before each place; blocks keep it near linear in the array's length."""
     zero = F.lit(0)
-    blocks = F.sequence(zero, F.floor((F.size(numbers) - 1) / BLOCK).cast("int"))
 
     def total(a):
         return F.aggregate(a, zero, lambda s, x: s + x)
 
-    totals = F.transform(blocks, lambda b: total(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
-
-    def inner(b):
-        start = total(F.slice(totals, F.lit(1), b))
+    def inner(a, block, start):
         state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
-        return F.aggregate(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)), state, lambda s, x: F.struct(
+        return F.aggregate(F.slice(a, block * BLOCK + 1, F.lit(BLOCK)), state, lambda s, x: F.struct(
             (s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
 
-    return F.when(F.size(numbers) > 0, F.flatten(F.transform(blocks, inner))).otherwise(F.array().cast("array<int>"))
+    def over(a):
+        blocks = F.sequence(zero, F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: total(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+        return bound(totals, lambda t: F.flatten(F.transform(t, lambda x, b: inner(a, b, total(F.slice(t, F.lit(1), b))))))
+
+    return bound(numbers, lambda a: F.when(F.size(a) > 0, over(a)).otherwise(F.array().cast("array<int>")))
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Matches of a pattern from left to right: array of (start, end, kind, value), in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.length(g) + F.length(v))
-    placed = F.arrays_zip(running_sums(lengths).alias("before"), F.transform(gaps, lambda g: F.length(g)).alias("gap"), values.alias("value"))
-    placed = F.slice(placed, F.lit(1), F.size(values))
-    return F.transform(placed, lambda m: F.struct(
-        (m["before"] + m["gap"]).alias("start"), (m["before"] + m["gap"] + F.length(m["value"])).alias("end"),
-        F.lit(kind).alias("kind"), m["value"].alias("value")))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"),
+                     F.transform(F.split(text, pattern), lambda g: F.length(g)).alias("gaps"))
+
+    def placed(m):
+        gaps = F.slice(m["gaps"], F.lit(1), F.size(m["values"]))
+        before = running_sums(F.zip_with(gaps, m["values"], lambda g, v: g + F.length(v)))
+        return F.transform(F.arrays_zip(before.alias("before"), gaps.alias("gap"), m["values"].alias("value")), lambda x: F.struct(
+            (x["before"] + x["gap"]).alias("start"), (x["before"] + x["gap"] + F.length(x["value"])).alias("end"),
+            F.lit(kind).alias("kind"), x["value"].alias("value")))
+
+    return bound(found, placed)
 
 
 def luhn(digits: Column) -> Column:
