@@ -377,7 +377,7 @@ def test_quality(spark, docs, rows, empty):
     got = quality.score(docs.withColumn("score", F.lit("x")), model, column="q").collect()
     assert len(got) == len(rows) and all(0 <= r["q"] <= 1 for r in got)
     assert {r["q"] for r in got if not r["text"]} == {model.prior}
-    assert all(r["q"] == 0.5 for r in quality.score(docs, quality.fit(empty, labels)).limit(5).collect() if (r["score"], 1))
+    assert all(r["score"] == 0.5 for r in quality.score(docs, quality.fit(empty, labels)).limit(5).collect())
     assert quality.score(empty, model).count() == 0
     assert quality.fit(docs, labels.limit(0)) is None
 
@@ -431,7 +431,7 @@ def test_suffix_array(values):
     order = repeats.suffix_array(np.array(values, np.int64))
     assert order.tolist() == sorted(range(n), key=lambda i: values[i:])
     if n > 1:
-        common_prefix = repeats.permuted_prefixes(np.array(values), order, 8)
+        common_prefix = repeats.permuted_prefixes(np.array(values) + 1, order, 8)
         for a, b in zip(order, order[1:]):
             true = next((k for k in range(8) if values[a + k:a + k + 1] != values[b + k:b + k + 1] or a + k >= n or b + k >= n), 8)
             assert common_prefix[b] in (true // 4 * 4, true)
