@@ -1,6 +1,7 @@
 """Counts, coverage, missing rates, statistics and reconciliation."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.inputs import M, P, measurements, ntz, positions, table
 from catalog.registry import query
@@ -89,11 +90,15 @@ def exists(spark, d):
     return quality.profile_exists(requests, measurements(spark, d))
 
 
-@query("schema_listing", """SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name
+@query("schema_listing", """SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name,
+ CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS data_type,
+ CASE WHEN table_name = 'supplier' THEN column_name <> 's_name' END AS as_expected
 FROM information_schema.columns WHERE table_name IN ('lineitem', 'supplier', 'embeddings')""")
 def schema_listing(spark, d):
-    names = ("lineitem", "supplier", "embeddings")
-    return quality.schema_rows({t: table(spark, d, t) for t in names}).select("table_name", "position", "column_name")
+    """Types of three tables; one is checked against a schema that differs in a column."""
+    found = {t: table(spark, d, t) for t in ("lineitem", "supplier", "embeddings")}
+    expected = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "s_name" else f.dataType) for f in found["supplier"].schema.fields])
+    return quality.schema_rows(found, {"supplier": expected})
 
 
 @query("sample_heads", """SELECT 'orders' AS table_name, o_orderkey AS key FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 3
@@ -192,24 +197,26 @@ def _csv_rows(spark, d):
         F.format_string("%02d", (F.col("PLATFORM_NUMBER") % 12 + 1).cast("int")).alias("mm"))
 
 
-def place_files(spark, rows, root, month, layer):
-    """Write rows as CSV files named like layer files under <root>/csv/2025/<month>/."""
-    staged = f"{root}/staged-{month}"
-    rows.write.option("header", True).csv(staged)
+def place_files(spark, rows, staged, root, layer):
+    """Write rows (column ``month``) as CSV files named like layer files under <root>/2025/<month>/.
+
+    One write makes all months; only the files' names are then changed, as the
+    writer has no option for them.
+    """
+    rows.hint("rebalance", "month").write.partitionBy("month").option("header", True).csv(staged)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    source = path(staged)
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    target = f"{root}/csv/2025/{month}"
-    fs.mkdirs(path(target))
-    for i, status in enumerate(fs.listStatus(source)):
-        if status.getPath().getName().startswith("part-"):
-            fs.rename(status.getPath(), path(f"{target}/{LAYER_FILE_PREFIX}{layer}_{i}.csv"))
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path(staged)):
+        month = folder.getPath().getName().removeprefix("month=")
+        if folder.isDirectory():
+            fs.mkdirs(path(f"{root}/2025/{month}"))
+            for i, status in enumerate(fs.listStatus(folder.getPath())):
+                fs.rename(status.getPath(), path(f"{root}/2025/{month}/{LAYER_FILE_PREFIX}{layer}_{i}.csv"))
 
 
 def _store_months(spark, d):
     root, rows = scratch_path(spark, "layer-csv"), _csv_rows(spark, d)
-    for month in (f"{i:02d}" for i in range(1, 13)):
-        place_files(spark, rows.where(F.col("mm") == month).drop("mm"), root, month, "time_location")
+    place_files(spark, rows.withColumnRenamed("mm", "month"), f"{root}/staged", f"{root}/csv", "time_location")
     return f"{root}/csv", f"{root}/tables"
 
 
@@ -244,3 +251,4 @@ def reconcile(spark, d):
     counted = quality.partition_counts(loaded, layer).withColumnRenamed("row_count", "parquet_rows")
     report = quality.reconcile(layer_csv.source_counts(spark, csv_root, layer), counted)
     return report.withColumn("issues", F.array_join("issues", ","))
+

@@ -53,7 +53,7 @@ def capped_events(spark, d):
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 50""")
 def capped_hot(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "event_type")
-    return top_n_per_key(e, ["event_type"], [F.col("ts").desc(), F.col("event_id")], 50, hot_rows=100)
+    return top_n_per_key(e, ["event_type"], [F.col("ts").desc(), F.col("event_id")], 50)
 
 
 @query("pruned_projection", """SELECT l_suppkey AS platform_number, l_partkey AS profile_index, l_shipdate AS juld, l_quantity AS PRES

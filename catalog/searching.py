@@ -141,11 +141,11 @@ def _questions(spark, d):
 
 def _run(spark, d):
     return run_questions(_questions(spark, d), vector_documents(spark, d), measurements(spark, d), [metadata(spark, d)],
-                         top_k=40, months=["01", "02", "03"], cap=1)
+                         top_k=40)
 
 
-_CAPPED = f"""{M}, capped AS (SELECT * FROM m WHERE month IN ('01', '02', '03') QUALIFY row_number() OVER (
- PARTITION BY year, month, platform_number, profile_index ORDER BY juld DESC, level_index, row_ordinal, PRES, TEMP, PSAL, PRES_QC, PSAL_QC) = 1)"""
+_CAPPED = f"""{M}, capped AS (SELECT * FROM m QUALIFY row_number() OVER (
+ PARTITION BY year, month, platform_number, profile_index ORDER BY juld DESC, level_index, row_ordinal, PRES, TEMP, PSAL, PRES_QC, PSAL_QC) <= 500)"""
 
 
 @query("retrieval_job", f"""WITH {_HITS}, {_CAPPED},

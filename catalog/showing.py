@@ -53,7 +53,7 @@ def map_summary(spark, d):
     return visuals.map_points(positions(spark, d), order=["PLATFORM_NUMBER"]).summary
 
 
-@query("table_preview", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderstatus
+@query("table_preview", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderstatus
 FROM orders ORDER BY orders.o_orderkey LIMIT 200""")
 def table_preview(spark, d):
     return visuals.table_preview(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), order=["o_orderkey"]).data
@@ -89,11 +89,12 @@ def csv_snippets(spark, d):
     return o.select("o_orderkey", csv_line(o, ["o_orderkey", "o_orderdate", "note"]).alias("line"))
 
 
-@query("token_estimates", """SELECT doc_id, greatest(1, length(text) // 4) AS tokens,
- length(regexp_replace(trim(text, E' \\t\\n\\r\\x0b\\x0c'), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) > 200 AS cut FROM documents""")
+@query("token_estimates", """WITH f AS (SELECT doc_id, text, regexp_replace(trim(text, E' \\t\\n\\r\\x0b\\x0c'), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g') AS flat FROM documents)
+SELECT doc_id, greatest(1, length(text) // 4) AS tokens,
+ CASE WHEN length(flat) <= 200 THEN flat ELSE rtrim(regexp_extract(substring(flat, 1, 198), '^(.{0,197})(?:\\s|$)', 1)) || '...' END AS shown FROM f""")
 def token_estimates(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", tokens_estimate(F.length("text")).alias("tokens"), shorten(F.col("text")).endswith("...").alias("cut"))
+    return docs.select("doc_id", tokens_estimate(F.length("text")).alias("tokens"), shorten(F.col("text")).alias("shown"))
 
 
 # --- contexts: every platform's project asks for its measurements -----------------------
@@ -102,7 +103,7 @@ def _project_inputs(spark, d):
     about = metadata(spark, d)
     region = table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.concat(F.lit("Show me "), "r_name").alias("text"))
     wanted = about.select(F.col("project_name").alias("query_id"), "platform_number")
-    rows = measurements(spark, d).where("month = '06'").join(wanted, "platform_number")
+    rows = measurements(spark, d).join(wanted, "platform_number")
     hits = about.select(
         F.col("project_name").alias("query_id"), F.col("platform_number").alias("id"),
         F.create_map(F.lit("PLATFORM_NUMBER"), F.col("platform_number").cast("string")).alias("metadata"),
@@ -112,7 +113,7 @@ def _project_inputs(spark, d):
     return region, hits, rows, about.withColumn("query_id", F.col("project_name"))
 
 
-@query("context_rows", f"""WITH {M}, {MD}, r AS (SELECT project_name AS query_id, m.* FROM m JOIN md USING (platform_number) WHERE month = '06'),
+@query("context_rows", f"""WITH {M}, {MD}, r AS (SELECT project_name AS query_id, m.* FROM m JOIN md USING (platform_number)),
 b AS (SELECT query_id, CASE WHEN count(*) <= 50 THEN 50 WHEN count(*) <= 1000 THEN 200 WHEN count(*) <= 10000 THEN 500 ELSE 200 END AS budget FROM r GROUP BY query_id),
 pr AS (SELECT query_id, platform_number, profile_index, row_number() OVER (PARTITION BY query_id ORDER BY max(juld) DESC, platform_number, profile_index) AS k
  FROM r GROUP BY query_id, platform_number, profile_index),
@@ -153,18 +154,17 @@ _CORE_COLUMNS = ["profile_index", "platform_number", "juld", "level_index", "PRE
                  "PRES_QC", "PRES_ADJUSTED", "TEMP_QC", "TEMP_ADJUSTED", "PSAL_QC", "PSAL_ADJUSTED"]
 
 
-@query("incremental_ingest", f"""WITH {M} SELECT '2025' AS year, month, count(*) AS row_count, round(sum(TEMP), 2) AS sum_temp, count(TEMP_ADJUSTED) AS n_adjusted FROM m
-WHERE month IN ('01', '02') GROUP BY month""")
+@query("incremental_ingest", f"""WITH {M} SELECT '2025' AS year, month, count(*) AS row_count, round(sum(TEMP), 2) AS sum_temp, count(TEMP_ADJUSTED) AS n_adjusted FROM m GROUP BY month""")
 def incremental(spark, d):
-    """Two deliveries of files and a repeated run; each file counts once."""
+    """Two deliveries of half a year's files and repeated runs; each file counts once."""
     from catalog.checking import place_files
 
     root = scratch_path(spark, "stream")
     rows = measurements(spark, d).withColumns({
         "PRES_ADJUSTED": F.lit(None).cast("double"), "TEMP_QC": F.lit("1")})
     out, checkpoint = f"{root}/core", f"{root}/log"
-    for month in ("01", "02"):
-        place_files(spark, rows.where(F.col("month") == month).select(*_CORE_COLUMNS), root, month, "core_measurements")
+    for part, half in enumerate((F.col("month") <= "06", F.col("month") > "06")):
+        place_files(spark, rows.where(half).select(*_CORE_COLUMNS, "month"), f"{root}/{part}", f"{root}/csv", "core_measurements")
         for _ in range(2):
             ingest.ingest_new_files(ingest.layer_stream(spark, f"{root}/csv", "core_measurements"), out, checkpoint).awaitTermination()
     stored = spark.read.parquet(out)

@@ -147,6 +147,16 @@ def json_safe(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def json_cell(c: Column, dtype: T.DataType) -> Column:
+    """A cell of a JSON payload: numbers and flags stay what they are, NaN and
+    infinities are null, everything else is its text form."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), c)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return c
+    return json_safe(c, dtype)
+
+
 def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
     """``name:value`` pairs of the non-null columns joined by blanks."""
     parts = []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import integer, text_number
-from profilelake.operators.ranking import HOT_KEY_ROWS, first_per_key, top_n_per_key
+from profilelake.operators.ranking import first_per_key, top_n_per_key
 from profilelake.schemas import FETCH_CAP, FETCH_COLUMNS, METADATA_ALIASES
 
 
@@ -116,7 +116,7 @@ def unprocessed(files: DataFrame, log: DataFrame, *, skip_errors: bool = False)
 
 def fetch_measurements(core: DataFrame, platforms: DataFrame, *, months: Sequence[str] | None = None,
                        date_from: str | None = None, date_to: str | None = None,
-                       cap: int = FETCH_CAP, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                       cap: int = FETCH_CAP) -> DataFrame:
     """Latest ``cap`` rows per (year, month, platform, profile).
 
     Month and date filters and the semi-join come before the ranking, and only
@@ -132,7 +132,7 @@ def fetch_measurements(core: DataFrame, platforms: DataFrame, *, months: Sequenc
     first = [c for c in ("level_index", "row_ordinal") if c in rows.columns]
     rest = [c for c in rows.columns if c not in keys and c not in first and c != "juld"]
     order = [F.col("juld").desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in first + rest]
-    return top_n_per_key(rows, keys, order, cap, hot_rows=hot_rows)
+    return top_n_per_key(rows, keys, order, cap)
 
 
 def choose_metadata(full: DataFrame, clean: DataFrame, year: str) -> DataFrame:
@@ -147,12 +147,12 @@ def choose_metadata(full: DataFrame, clean: DataFrame, year: str) -> DataFrame:
 
 def fetch_metadata(sources: Sequence[DataFrame], platforms: DataFrame) -> DataFrame:
     """One canonical row per platform: the first in source order, then by
-    year, month and row position."""
+    year, month, file and row position."""
     parts = []
     for priority, source in enumerate(sources):
         by_lower = {c.lower(): c for c in source.columns}
         position = [F.col(c).alias(f"_{c}") if c in by_lower else F.lit(None).alias(f"_{c}")
-                    for c in ("year", "month", "row_ordinal")]
+                    for c in ("year", "month", "source_file", "row_ordinal")]
         named = canonical(source, extra=position)
         typed = named.select(
             integer(F.col("platform_number")).alias("platform_number"),
@@ -160,6 +160,7 @@ def fetch_metadata(sources: Sequence[DataFrame], platforms: DataFrame) -> DataFr
             *[text_number(F.col(c)).alias(c) for c in ("wmo_inst_type", "format_version", "handbook_version", "config_mission_number")],
             F.col("reference_date_time").cast("string").try_cast("timestamp").alias("reference_date_time"),
             F.col("_year").cast("string").alias("_year"), F.col("_month").cast("string").alias("_month"),
+            F.col("_source_file").cast("string").alias("_source_file"),
             F.col("_row_ordinal").cast("bigint").alias("_row_ordinal"),
         ).withColumn("_priority", F.lit(priority))
         parts.append(typed)
@@ -167,7 +168,7 @@ def fetch_metadata(sources: Sequence[DataFrame], platforms: DataFrame) -> DataFr
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = for_platforms(rows, platforms)
-    text = [F.coalesce(F.col(c), F.lit("")) for c in ("_year", "_month")]
+    text = [F.coalesce(F.col(c), F.lit("")) for c in ("_year", "_month", "_source_file")]
     tie = [F.coalesce(F.col(c), F.lit("")) for c in ("project_name", "pi_name", "float_serial_no")]
     order = [F.col("_priority"), *text, F.coalesce(F.col("_row_ordinal"), F.lit(-1)), *tie]
     return first_per_key(rows, ["platform_number"], order).select(*METADATA_ALIASES)

@@ -84,18 +84,19 @@ def flag_distribution(df: DataFrame, column: str = "PSAL_QC") -> DataFrame:
 def profile_exists(requests: DataFrame, core: DataFrame) -> DataFrame:
     """``found`` for each request (platform_number, profile_index or null).
 
-    The core table is reduced to its distinct pairs before the join; without a
-    profile any non-null one of the platform counts.
+    The core table is first reduced to the platforms asked for, so only their
+    rows are aggregated; without a profile any non-null one of the platform counts.
     """
-    pairs = core.select("platform_number", "profile_index").where(F.col("platform_number").isNotNull()).distinct()
-    with_profile = requests.where(F.col("profile_index").isNotNull())
-    without = requests.where(F.col("profile_index").isNull())
+    asked = requests.select("platform_number").where(F.col("platform_number").isNotNull()).distinct()
+    rows = core.select("platform_number", "profile_index").where(F.col("profile_index").isNotNull())
+    pairs = rows.join(asked, "platform_number", "left_semi").distinct()
     hit = F.lit(True).alias("_hit")
-    platforms = pairs.where(F.col("profile_index").isNotNull()).select("platform_number").distinct()
-    a = with_profile.join(pairs.select("*", hit), ["platform_number", "profile_index"], "left")
-    b = without.join(platforms.select("*", hit), ["platform_number"], "left")
-    found = F.coalesce(F.col("_hit"), F.lit(False)).alias("found")
-    return a.select(*requests.columns, found).unionByName(b.select(*requests.columns, found))
+    exact = pairs.select("platform_number", F.col("profile_index").alias("_profile"), hit)
+    whole = pairs.select("platform_number").distinct().select("*", F.lit(None).cast("bigint").alias("_profile"), hit)
+    known = exact.unionByName(whole)
+    same = (requests["platform_number"] == known["platform_number"]) & requests["profile_index"].eqNullSafe(known["_profile"])
+    return requests.join(known, same, "left").select(
+        *[requests[c] for c in requests.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("found"))
 
 
 def schema_rows(tables: Mapping[str, DataFrame], expected: Mapping[str, T.StructType] | None = None) -> DataFrame:
@@ -119,20 +120,26 @@ def reconcile(source_counts: DataFrame, table_counts: DataFrame) -> DataFrame:
     """Source rows against loaded rows per (layer, year, month).
 
     Inputs are counts (columns layer, year, month, and csv_rows / parquet_rows;
-    the source also carries ``rejected_rows`` where its reader counts them).
+    the source also carries ``rejected_rows`` where its reader counts them and
+    ``bad_files``, the files it could not load). The issues name each bad file.
     """
     keys = ["layer", "year", "month"]
     if "rejected_rows" not in source_counts.columns:
         source_counts = source_counts.withColumn("rejected_rows", F.lit(0).cast("bigint"))
+    if "bad_files" not in source_counts.columns:
+        source_counts = source_counts.withColumn("bad_files", F.array().cast("array<string>"))
     both = source_counts.join(table_counts, keys, "full_outer")
     no_source, no_table = F.col("csv_rows").isNull(), F.col("parquet_rows").isNull()
     matches = F.coalesce(F.col("csv_rows") == F.col("parquet_rows"), F.lit(False))
     issues = F.array_compact(F.array(
         _issue(no_source, "month_dir_missing"),
         _issue(no_table, "parquet_missing"),
-        _issue(F.coalesce(F.col("rejected_rows"), F.lit(0)) > 0, "read_error"),
+        _issue(F.coalesce(F.col("rejected_rows"), F.lit(0)) > 0, "rows_rejected"),
         _issue(~no_source & ~no_table & ~matches, "row_count_differs"),
     ))
+    bad = F.coalesce("bad_files", F.array().cast("array<string>"))
+    matches = matches & (F.size(bad) == 0)
+    issues = F.concat(issues, bad)
     return both.select(
         *keys, F.coalesce("csv_rows", F.lit(0)).cast("bigint").alias("csv_rows"), "parquet_rows",
         matches.alias("matches"), issues.alias("issues"))

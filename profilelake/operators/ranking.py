@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from profilelake.session import materialized
 
-HOT_KEY_ROWS = 2_000_000   # rows of one key that a single task should still sort
-MAX_HOT_KEYS = 1_000       # a key outside the 1000 largest holds under 0.1 % of the rows
-SALTS = 64
+SALTS = 64                 # parts of a key in the first step
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], ascending: Sequence[Column]) -> DataFrame:
@@ -28,49 +26,26 @@ def first_per_key(df: DataFrame, keys: Sequence[str], ascending: Sequence[Column
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > min_rows)
-    top = counts.orderBy(F.col("_rows").desc(), *keys).limit(MAX_HOT_KEYS)
-    return top.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-
-
 def ranked_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """Top n per key with one shuffle, for keys known to have few rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def salted_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                 rank: str, salts: int = SALTS) -> DataFrame:
-    """Top n per key in two steps, so that no task sorts a whole hot key.
+def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *,
+                  rank: str = "rank", salts: int = SALTS) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, with their rank.
 
-    The salt is the id of the task's partition: the same for every retry of the
-    task, and the limit applied before the shuffle then keeps n rows per key
-    and task.
+    Two steps over one scan, for every key alike. The salt is the id of the
+    task's partition, the same for every retry of the task, so the limit before
+    the first shuffle keeps n rows per key and task; the second step sees at
+    most ``salts`` times n rows of a key, however many it has.
     """
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     local = ranked_top_n(salted, [*keys, "_salt"], order, n, rank).drop("_salt", rank)
     return ranked_top_n(local, keys, order, n, rank)
 
 
-def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *,
-                  rank: str = "rank", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """The first ``n`` rows of each key in ``order``, with their rank.
-
-    Keys above ``hot_rows`` rows take the salted route, all others one shuffle.
-    The list of hot keys holds at most MAX_HOT_KEYS rows, hence the broadcast;
-    when it is empty AQE drops the salted branch before it scans anything.
-    """
-    hot = F.broadcast(_hot_keys(df, keys, hot_rows))
-    same_key = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        same_key = eq if same_key is None else same_key & eq
-    cold = ranked_top_n(df.join(hot, same_key, "left_anti"), keys, order, n, rank)
-    heavy = salted_top_n(df.join(hot, same_key, "left_semi"), keys, order, n, rank)
-    return cold.unionByName(heavy)
-
-
 def evenly_spaced(total: int, points: int) -> list[int]:
     """Ordinals of at most ``points`` rows spread over 0..total-1, both ends included."""
     if total <= points:

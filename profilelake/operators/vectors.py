@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.functions.text import integer, lookup, metadata_matches, row_map, row_text
-from profilelake.operators.ranking import first_per_key, ranked_top_n, salted_top_n, salts_for
+from profilelake.operators.ranking import first_per_key, ranked_top_n, salts_for, top_n_per_key
 
 LOCAL_QUERIES = 4_096        # queries one task may hold as a matrix ...
 LOCAL_VALUES = 8_000_000     # ... and the numbers in it (64 MB)
@@ -21,10 +21,15 @@ LINEAGE = ("source_file", "row_ordinal", "year", "month")
 
 
 def layer_documents(layer: DataFrame, name: str) -> DataFrame:
-    """One document per row of a layer: id, text, metadata, and its partition."""
+    """One document per row of a layer: id, text, metadata, and its partition.
+
+    The id holds the row's place: month, a hash of the file and the position in
+    it. It stays the same when other files come or splits change.
+    """
     columns = [c for c in layer.columns if c not in LINEAGE]
+    file = [F.hex(F.xxhash64("source_file"))] if "source_file" in layer.columns else []
     return layer.select(
-        F.concat_ws("-", F.lit(f"{name}.parquet"), "year", "month", F.col("row_ordinal").cast("string")).alias("id"),
+        F.concat_ws("-", F.lit(f"{name}.parquet"), "year", "month", *file, F.col("row_ordinal").cast("string")).alias("id"),
         row_text(layer, columns).alias("document"),
         row_map(layer, columns).alias("metadata"),
         "year", "month",
@@ -161,7 +166,7 @@ def nearest_documents(docs: DataFrame, queries: DataFrame, k: int, *, id_col: st
         partial = _scan_with_matrix(d, head, k, schema, use_tags)
     else:
         partial = _scan_in_blocks(d, q, k, schema, use_tags, local_queries, docs_per_block)
-    ranked = salted_top_n(partial, ["q"], [F.col("distance"), F.col("id")], k, "rank")
+    ranked = top_n_per_key(partial, ["q"], [F.col("distance"), F.col("id")], k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "distance", "rank")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import csv_line, json_safe, lookup, shorten, tokens_estimate
-from profilelake.operators.ranking import ranked_top_n, salted_top_n
+from profilelake.operators.ranking import ranked_top_n, top_n_per_key
 from profilelake.operators.stats import PROFILE, row_budget, six_statistics, surface_median_deep
 from profilelake.schemas import CONTEXT_TOKENS
 
@@ -63,7 +63,7 @@ def sample_rows(rows: DataFrame) -> DataFrame:
     profiles = known.groupBy(KEY, *PROFILE).agg(F.max("juld").alias("latest_juld"))
     order = [F.col("latest_juld").desc_nulls_last(), *[F.col(p) for p in PROFILE]]
     # the largest budget is 500 rows, three per profile
-    latest = salted_top_n(profiles, [KEY], order, 500 // 3, "profile_rank").join(budgets, KEY)
+    latest = top_n_per_key(profiles, [KEY], order, 500 // 3, rank="profile_rank").join(budgets, KEY)
     latest = latest.where(F.col("profile_rank") <= F.floor(F.col("budget") / 3)).drop("latest_juld")
     chosen = known.join(latest, [KEY, *PROFILE])
     return surface_median_deep(chosen, (KEY, *PROFILE))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.candidates import build_candidates, ranked_candidates
-from profilelake.operators.fetch import fetch_measurements, fetch_metadata
+from profilelake.operators.fetch import fetch_measurements, fetch_metadata, find_column, for_platforms
 from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
@@ -73,6 +73,9 @@ def visual_for(run: Retrieval, query_id, text: str, positions: DataFrame | None
         part = df.where(F.col(KEY) == query_id).drop(KEY)
         return None if part.isEmpty() else part
 
+    if positions is not None:       # places of the question's own platforms
+        asked = run.metadata.where(F.col(KEY) == query_id).select("platform_number")
+        positions = for_platforms(positions, asked, find_column(positions, "platform_number"))
     return build_visual(resolve_intent(run.rows.sparkSession, text), own(run.rows), own(run.metadata), positions,
                         ties=("platform_number", "profile_index", "level_index"))
 

@@ -110,7 +110,7 @@ def with_bounding_box(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_date_range(df: DataFrame, text: str, as_of: Column) -> DataFrame:
-    """Add ``date_from``, ``date_to`` of an ISO pair, a named month, or "last n
+    """Add ``date_from``, ``date_to`` and ``date_given`` of an ISO pair, a named month, or "last n
     months" before ``as_of``."""
     df = _groups(df, text, DATES_PATTERN, {"_from": 1, "_to": 2}, "date").withColumnRenamed("_found", "_iso")
     df = _groups(df, text, MONTH_PATTERN, {"_month": 1, "_year": 2}, "string").drop("_found")
@@ -122,6 +122,7 @@ def with_date_range(df: DataFrame, text: str, as_of: Column) -> DataFrame:
     iso, named, n = F.col("_iso").isNotNull(), F.col("_month").isNotNull(), F.col("_n")
     return df.withColumns({
         "date_from": F.when(iso, F.col("_from")).when(named, F.col("_first")).when(n.isNotNull(), F.add_months(as_of, -n)),
+        "date_given": iso | named | n.isNotNull(),
         "date_to": F.when(iso, F.col("_to")).when(named, F.last_day("_first")).when(n.isNotNull(), as_of),
     }).drop("_from", "_to", "_iso", "_month", "_year", "_n", "_first")
 
@@ -139,7 +140,7 @@ def missing_fields(low: Column) -> Column:
     """Texts naming what the question lacks; reads the columns of :func:`analyze`."""
     no_vars = F.size("variables") == 0
     no_box = F.col("bbox").isNull()
-    no_dates = F.col("date_from").isNull()
+    no_dates = ~F.col("date_given")
     no_platform = F.coalesce(F.col("platform_number"), F.lit(0)) == 0
     nowhere = no_box & no_dates & no_platform
     kind = F.col("intent")
@@ -173,7 +174,7 @@ def analyze(questions: DataFrame, text: str = "text", *, as_of: Column | None =
                          "platform_number": platform_number(t), "platform_filter": platform_filter(t)})
     df = df.withColumn("profile_index", F.when(
         F.col("platform_number").isNull(), matched(t, PROFILE_PATTERN, 1).try_cast("bigint")))
-    return df.withColumn("missing", missing_fields(low)).drop("_text", "_low")
+    return df.withColumn("missing", missing_fields(low)).drop("_text", "_low", "date_given")
 
 
 def demand(analyzed: DataFrame, column: str, name: str) -> DataFrame:
@@ -232,7 +233,12 @@ def validate_structured(payload: Column) -> Column:
         return field(name, "array<variant>").isNull()
 
     def falsy(name):
-        return F.coalesce(field(name, "string").isin("", "0", "false"), F.lit(True))
+        """Missing, null, zero, false or empty; the texts "0" and "false" are names like others."""
+        kind_of = F.schema_of_variant(field(name, "variant"))
+        empty = (F.when(kind_of == "STRING", field(name, "string") == "").when(kind_of == "BOOLEAN", field(name, "string") == "false")
+                 .when(kind_of.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), field(name, "double") == 0)
+                 .otherwise(kind_of.isin("VOID", "OBJECT<>", "ARRAY<>")))
+        return F.coalesce(empty, F.lit(True))
 
     obj = F.try_variant_get(payload, "$", "map<string,variant>")
     kind = field("type", "string")

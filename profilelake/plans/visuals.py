@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilelake.functions.text import json_safe
+from profilelake.functions.text import json_cell
 from profilelake.operators.fetch import find_column
 from profilelake.operators.ranking import merged_row, pick_evenly
 from profilelake.operators.stats import aggregate_table, first_variable
@@ -36,8 +36,8 @@ def _ordered(df: DataFrame, first: Sequence[str] = ()) -> list:
 
 
 def table_preview(df: DataFrame, title: str = "", order: Sequence[str] = (), n: int = MAX_TABLE_ROWS) -> Visual:
-    """First ``n`` rows in order, every cell as JSON-safe text, and the row count."""
-    cells = [json_safe(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
+    """First ``n`` rows in order, every cell fit for JSON, and the row count."""
+    cells = [json_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     data = df.orderBy(*_ordered(df, order)).limit(n).select(*cells)
     return Visual("table", title, data=data, summary=df.agg(F.count(F.lit(1)).alias("row_count")),
                   options={"headers": df.columns})
@@ -68,17 +68,23 @@ def chart_series(df: DataFrame | None, x: str, y: str, title: str = "", *, chart
 
 def map_points(df: DataFrame | None, title: str = "", *, lat: str = "LATITUDE", lon: str = "LONGITUDE",
                label: str | None = None, order: Sequence[str] = (), n: int = MAX_TABLE_ROWS) -> Visual:
-    """Valid positions among the first ``n`` rows; the others with their reason."""
+    """Valid positions among the first ``n`` rows; the others with their reason.
+
+    Without an order, rows stand by file and position where the frame has them,
+    else by a hash, so that the sample is not one edge of the map.
+    """
     if df is None:
         return Visual("unavailable", title, reason="Missing time_location/metadata data.")
     lat_c, lon_c = find_column(df, lat), find_column(df, lon)
     label_c = find_column(df, label) if label else None
     if lat_c is None or lon_c is None:
         return Visual("unavailable", title, reason="Missing lat/lon columns.")
+    order = order or [c for c in ("year", "month", "source_file", "row_ordinal") if c in df.columns]
     keep = list(dict.fromkeys([*order, lat_c, lon_c, *([label_c] if label_c else [])]))
     narrow = df.select(*keep)
     # at most n rows are numbered, so one task is enough
-    first = narrow.orderBy(*_ordered(narrow, order)).limit(n).coalesce(1).select(
+    spread = [] if order else [F.xxhash64(*narrow.columns)]
+    first = narrow.orderBy(*spread, *_ordered(narrow, order)).limit(n).coalesce(1).select(
         F.monotonically_increasing_id().alias("row_index"),
         F.col(lat_c).alias("_lat"), F.col(lon_c).alias("_lon"),
         (F.col(label_c).cast("string") if label_c else F.lit(None).cast("string")).alias("label"))
@@ -157,10 +163,10 @@ def payload_json(visual: Visual) -> str:
         rows = rows.orderBy("ordinal").drop("ordinal")
     elif "row_index" in rows.columns:
         rows = rows.orderBy("row_index").drop("row_index")
-    cells = rows.select(*[json_safe(F.col(f.name), f.dataType).alias(f.name) if f.dataType.typeName().startswith("timestamp")
-                          else F.col(f.name) for f in rows.schema.fields])
+    cells = rows.select(*[json_cell(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields])
     records = [r.asDict() for r in cells.collect()]
-    summary = json.loads(visual.summary.select(F.to_json(F.struct(*visual.summary.columns))).first()[0])
+    totals = [json_cell(F.col(f.name), f.dataType).alias(f.name) for f in visual.summary.schema.fields]
+    summary = json.loads(visual.summary.select(F.to_json(F.struct(*totals))).first()[0])
     if visual.kind == "table":
         payload["rows"] = [list(r.values()) for r in records]
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,6 @@ def _reader(spark: SparkSession, layer: str):
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv*")
-        .option("ignoreCorruptFiles", True)   # one unreadable file does not stop the others
     )
 
 
@@ -62,70 +61,175 @@ def _named_values(lines: DataFrame) -> DataFrame:
     return split.withColumn("values", values).drop("_names", "_cells", "line", "header")
 
 
-def mislabelled_lines(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    """Lines of files named .gz whose content is not gzip: (path, header, line).
-
-    Spark chooses the codec by file name and cannot read them itself. A file
-    with line breaks inside quotes cannot be split into lines; it is left out
-    here and listed by :func:`unsplittable_files`.
-    """
-    return _plain_gz(spark, root, layer).where(~F.col("_quoted_break")).select(
-        "path", F.get("_lines", F.lit(0)).alias("header"), F.posexplode("_lines").alias("_pos", "line")
-    ).where((F.col("_pos") > 0) & (F.col("line") != "")).drop("_pos")
+# What can be wrong with a file as a whole.
+MISLABELLED, UNREADABLE, QUOTED_BREAK = "mislabelled_gzip", "read_error", "quoted_line_break"
+PROBE = "path string, kind string, records bigint"
 
 
-def _plain_gz(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root)
-        .where(wanted_file(F.col("path"))).select("path", "content")
-    )
-    is_plain = F.substring("content", 1, 2) != F.lit(b"\x1f\x8b")
-    lines = F.when(is_plain, F.split(utf8(F.col("content")), "\r?\n"))
-    # an odd number of quotes on a line means that a quoted value goes on
-    quoted_break = F.exists("_lines", lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"')))) % 2 == 1)
-    plain = files.select("path", lines.alias("_lines")).where(F.col("_lines").isNotNull())
-    return plain.withColumn("_quoted_break", quoted_break)
+def listed_files(spark: SparkSession, root: str, layer: str) -> DataFrame:
+    """(path) of every file of a layer, from the folder listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv*").load(root)
+    return files.where(wanted_file(F.col("path"))).select("path")
 
 
-def unsplittable_files(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    return _plain_gz(spark, root, layer).where("_quoted_break").select("path")
+def probe_gzip(spark: SparkSession, root: str, layer: str) -> DataFrame:
+    """(path, kind, records) of the files named .gz.
 
-
-def _open_layer_values(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    """Rows of a layer with differing headers: (source_file, year, month, values)."""
+    ``kind`` is null for a sound file, else what is wrong: content that is not
+    gzip, a truncated or damaged stream, or (in text that must be split into
+    lines here) line breaks inside quotes. Every file is unpacked to its end by
+    the task that reads it; only a full pass can tell a truncated one. Files
+    above 2 GB packed stop the job rather than being left out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(T._parse_datatype_string(PROBE))
+    by_lines = layer in OPEN_LAYERS
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root).where(wanted_file(F.col("path"))).select("path", "content")
+
+    def probe(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        def lines_of(data):
+            if data[:2] != b"\x1f\x8b":
+                yield from data.split(b"\n")
+                return
+            unpack, rest, tail = zlib.decompressobj(31), data, b""
+            while rest:
+                piece = unpack.decompress(rest, 1 << 20)
+                *whole, tail = (tail + piece).split(b"\n")
+                yield from whole
+                rest = unpack.unconsumed_tail
+                if unpack.eof:
+                    rest = unpack.unused_data
+                    unpack = zlib.decompressobj(31) if rest else unpack
+                elif not rest:
+                    break
+            if not unpack.eof:
+                raise zlib.error("truncated")
+            yield tail
+
+        for batch in batches:
+            kinds, counts = [], []
+            for content in batch.column(1):
+                data, records, broken = content.as_py(), 0, False
+                plain = data[:2] != b"\x1f\x8b"
+                try:
+                    for line in lines_of(data):
+                        records += bool(line.strip(b"\r"))
+                        broken |= line.count(b'"') % 2 == 1
+                    kind = QUOTED_BREAK if broken and (plain or by_lines) else MISLABELLED if plain else None
+                except zlib.error:
+                    kind, records = UNREADABLE, None
+                kinds.append(kind)
+                counts.append(records)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(counts, pa.int64())], schema=out)
+
+    return files.mapInArrow(probe, PROBE)
+
+
+def mislabelled_lines(spark: SparkSession, root: str, layer: str, probed: DataFrame) -> DataFrame:
+    """Lines of files named .gz whose content is plain text: (path, header, line, _block, _seq)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root)
+    plain = files.join(probed.where(F.col("kind") == MISLABELLED).select("path"), "path", "left_semi")
+    lines = plain.select("path", F.split(utf8(F.col("content")), "\r?\n").alias("_lines"))
+    return lines.select("path", F.get("_lines", F.lit(0)).alias("header"), F.posexplode("_lines").alias("_seq", "line")).where(
+        (F.col("_seq") > 0) & (F.col("line") != "")).select(
+        "path", "header", "line", F.lit(0).cast("bigint").alias("_block"), F.col("_seq").cast("bigint").alias("_seq"))
+
+
+def _odd_quotes(line: Column) -> Column:
+    """An odd number of quotes on a line means that a quoted value goes on after it."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+
+
+def _text_lines(spark: SparkSession, root: str, layer: str, bad: DataFrame | None) -> DataFrame:
     path = F.col("_metadata.file_path")
-    lines = _reader(spark, layer).text(root).where(wanted_file(path)).select(
-        path.alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"),
+    lines = _reader(spark, layer).option("ignoreCorruptFiles", bad is not None).text(root).where(wanted_file(path)).select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"),
         F.monotonically_increasing_id().alias("_seq"))
-    headers = lines.where(F.col("_start") == 0).groupBy("path").agg(
-        F.min_by("line", "_seq").alias("header"), F.min("_seq").alias("_first"))
-    body = lines.join(headers, "path").where(
-        ~((F.col("_start") == 0) & (F.col("_seq") == F.col("_first"))) & (F.col("line") != ""))
-    return body.select("path", "header", "line")
+    return lines.join(bad, "path", "left_anti") if bad is not None else lines
 
 
-def raw_layer(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    """All rows of a layer as text, with source_file, year, month; a row that
-    does not fit the header is kept whole in the corrupt column."""
+def _open_layer_values(spark: SparkSession, root: str, layer: str, bad: DataFrame | None) -> DataFrame:
+    """Lines of a layer with differing headers: (path, header, line, _block, _seq).
+
+    Files with line breaks inside quotes cannot be split into lines: they are
+    left out as a whole and reported by :func:`file_issues`.
+    """
+    lines = _text_lines(spark, root, layer, bad)
+    first = F.col("_block") == 0
+    headers = lines.groupBy("path").agg(
+        F.min_by("line", F.when(first, F.col("_seq"))).alias("header"), F.min(F.when(first, F.col("_seq"))).alias("_first"),
+        F.max(_odd_quotes(F.col("line"))).alias("_broken"))
+    body = lines.join(headers.where("NOT _broken"), "path").where(
+        ~(first & (F.col("_seq") == F.col("_first"))) & (F.col("line") != ""))
+    return body.select("path", "header", "line", "_block", "_seq")
+
+
+def raw_layer(spark: SparkSession, root: str, layer: str, *, probe: bool = True) -> DataFrame:
+    """All rows of a layer as text, with source_file, year, month and the row's
+    place (_block, _seq); a row that does not fit the header is kept whole in
+    the corrupt column.
+
+    With ``probe``, files named .gz are examined first: mislabelled ones are
+    read as text, damaged ones left out as a whole (:func:`file_issues` names
+    them). Without it such a file fails the read, so nothing is lost unseen.
+    """
+    probed = probe_gzip(spark, root, layer) if probe else None
+    bad = probed.where("kind IS NOT NULL").select("path") if probe else None
     if layer in OPEN_LAYERS:
-        lines = _open_layer_values(spark, root, layer).unionByName(mislabelled_lines(spark, root, layer))
+        lines = _open_layer_values(spark, root, layer, bad)
+        if probe:
+            lines = lines.unionByName(mislabelled_lines(spark, root, layer, probed))
         named = _named_values(lines)
         return named.withColumn(CORRUPT, F.lit(None).cast("string")).withColumns(path_columns(F.col("path"))).drop("path")
     schema = text_schema(layer)
     path = F.col("_metadata.file_path")
     regular = (
-        _reader(spark, layer).schema(schema).option("header", True).option("enforceSchema", False)
+        _reader(spark, layer).option("ignoreCorruptFiles", probe).schema(schema).option("header", True).option("enforceSchema", False)
         .option("columnNameOfCorruptRecord", CORRUPT).csv(root)
         .where(wanted_file(path)).withColumns(path_columns(path))
+        .withColumns({"_block": F.col("_metadata.file_block_start"), "_seq": F.monotonically_increasing_id()})
     )
-    named = _named_values(mislabelled_lines(spark, root, layer))
+    if not probe:
+        return regular
+    regular = regular.join(bad.withColumnRenamed("path", "source_file"), "source_file", "left_anti")
+    named = _named_values(mislabelled_lines(spark, root, layer, probed))
     fields = [F.col("values")[f.name].alias(f.name) for f in LAYERS[layer].fields]
-    rest = named.select(*fields, F.lit(None).cast("string").alias(CORRUPT), "path").withColumns(
+    rest = named.select(*fields, F.lit(None).cast("string").alias(CORRUPT), "path", "_block", "_seq").withColumns(
         path_columns(F.col("path"))).drop("path")
     return regular.unionByName(rest)
 
 
+def file_issues(spark: SparkSession, root: str, layer: str) -> DataFrame:
+    """(layer, year, month, source_file, issue) of files that could not be loaded as a whole."""
+    probed = probe_gzip(spark, root, layer)
+    issues = probed.where(F.col("kind").isin(UNREADABLE, QUOTED_BREAK)).select("path", F.col("kind").alias("issue"))
+    if layer in OPEN_LAYERS:
+        lines = _text_lines(spark, root, layer, probed.where("kind IS NOT NULL").select("path"))
+        broken = lines.where(_odd_quotes(F.col("line"))).select("path").distinct()
+        issues = issues.unionByName(broken.withColumn("issue", F.lit(QUOTED_BREAK)))
+    return issues.withColumns(path_columns(F.col("path"))).select(F.lit(layer).alias("layer"), "year", "month", "source_file", "issue")
+
+
+def with_row_position(raw: DataFrame) -> DataFrame:
+    """``row_ordinal``: the row's place in its file, from 0, whatever the splits.
+
+    Rows are counted per block of a file; the sums before each block are joined back.
+    """
+    blocks = raw.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = raw.join(starts, ["source_file", "_block"])
+    return placed.withColumn("row_ordinal", F.col("_before") + F.col("_seq") - F.col("_first")).drop("_block", "_seq", "_before", "_first")
+
+
 def _text(c: Column) -> Column:
     """Trimmed text; blank and the written-out missing value are null."""
     return F.nullif(F.nullif(strip(c), F.lit("")), F.lit("nan"))
@@ -144,7 +248,7 @@ def _typed(c: Column, dtype: T.DataType) -> Column:
 def _fully_read(raw: DataFrame) -> Column:
     """Always true, but reads every field: the parser judges a row only by the
     fields that are asked for."""
-    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file", "year", "month")]
+    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file", "year", "month", "_block", "_seq", "row_ordinal")]
     return F.hash(*[F.size(c) if c == "values" else F.col(c) for c in fields]) >= F.lit(-(2**31))
 
 
@@ -162,12 +266,14 @@ def typed_layer(raw: DataFrame, layer: str, *, ordinal: bool = True) -> DataFram
         else:
             source = F.col("values")[f.name] if open_column else F.col(f.name)
             columns.append(_typed(source, f.dataType).alias(f.name))
-    position = [F.monotonically_increasing_id().alias("row_ordinal")] if ordinal else []
+    if ordinal:
+        raw = with_row_position(raw)
+    position = ["row_ordinal"] if ordinal else []
     return raw.where(F.col(CORRUPT).isNull() & _fully_read(raw)).select(*columns, "source_file", *position, "year", "month")
 
 
-def read_layer(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    return typed_layer(raw_layer(spark, root, layer), layer)
+def read_layer(spark: SparkSession, root: str, layer: str, *, probe: bool = True) -> DataFrame:
+    return typed_layer(raw_layer(spark, root, layer, probe=probe), layer)
 
 
 def rejected_rows(spark: SparkSession, root: str, layer: str) -> DataFrame:
@@ -176,11 +282,31 @@ def rejected_rows(spark: SparkSession, root: str, layer: str) -> DataFrame:
 
 
 def source_counts(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    """Rows per month in the CSV files, rejected ones apart."""
-    raw = raw_layer(spark, root, layer)
-    return raw.groupBy("year", "month").agg(
-        F.count_if(_fully_read(raw)).alias("csv_rows"), F.count(CORRUPT).alias("rejected_rows")
-    ).withColumn("layer", F.lit(layer))
+    """What the folders hold per month, independent of the CSV parser that loads them.
+
+    ``files`` come from the listing. ``csv_rows`` counts lines below the header
+    that are not empty, in files that can be read; ``rejected_rows`` is what the
+    parser turns away, and ``bad_files`` names each file that is not loaded,
+    with its issue.
+    """
+    months = ["year", "month"]
+    listed = listed_files(spark, root, layer).withColumns(path_columns(F.col("path")))
+    files = listed.groupBy(*months).agg(F.count(F.lit(1)).alias("files"))
+    probed = probe_gzip(spark, root, layer)
+    lines = _text_lines(spark, root, layer, probed.where("kind IS NOT NULL").select("path")).where("line <> ''")
+    issues = file_issues(spark, root, layer)
+    sound = lines.groupBy("path").agg(F.count(F.lit(1)).alias("records")).unionByName(
+        probed.where(F.col("kind") == MISLABELLED).select("path", "records"))
+    sound = sound.join(issues.select(F.col("source_file").alias("path")), "path", "left_anti").withColumns(path_columns(F.col("path")))
+    rows = sound.groupBy(*months).agg(F.sum(F.greatest(F.col("records") - 1, F.lit(0))).alias("csv_rows"))
+    rejected = rejected_rows(spark, root, layer).groupBy(*months).agg(F.count(F.lit(1)).alias("rejected_rows"))
+    bad = issues.groupBy(*months).agg(F.array_sort(F.collect_list(F.concat_ws(
+        ": ", F.element_at(F.split("source_file", "/"), -1), "issue"))).alias("bad_files"))     # a month's files, not its rows
+    both = files.join(rows, months, "left").join(rejected, months, "left").join(bad, months, "left")
+    return both.select(
+        F.lit(layer).alias("layer"), *months, "files", F.coalesce("csv_rows", F.lit(0).cast("bigint")).alias("csv_rows"),
+        F.coalesce("rejected_rows", F.lit(0).cast("bigint")).alias("rejected_rows"),
+        F.coalesce("bad_files", F.array().cast("array<string>")).alias("bad_files"))
 
 
 # --- files of unknown layout ---------------------------------------------------

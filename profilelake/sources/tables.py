@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.schemas import LAYERS
-from profilelake.sources.layer_csv import read_layer
+from profilelake.sources.layer_csv import OPEN_LAYERS, file_issues, read_layer
 
 LINEAGE = [T.StructField("source_file", T.StringType()), T.StructField("row_ordinal", T.LongType())]
 MONTH = [T.StructField("year", T.StringType()), T.StructField("month", T.StringType())]
@@ -45,12 +45,24 @@ def load_view(spark: SparkSession, path: str, layer: str) -> DataFrame:
 def convert_layers(spark: SparkSession, csv_root: str, table_root: str,
                    layers: Sequence[str] = tuple(LAYERS)) -> list[tuple[str, str, str]]:
     """CSV layers to Parquet, one job per layer over all months. A failing
-    layer is reported and the others go on."""
+    layer is reported and the others go on.
+
+    Files are read once, strictly. Only where that fails, or a layer holds files
+    that must be left out, are they examined one by one; what is left out is in
+    the outcome's message, file by file, and the layer counts as PARTIAL.
+    """
     outcome = []
     for layer in layers:
+        target = f"{table_root}/{layer}"
         try:
-            write_layer(read_layer(spark, csv_root, layer), f"{table_root}/{layer}")
-            outcome.append((layer, "OK", ""))
+            try:
+                write_layer(read_layer(spark, csv_root, layer, probe=False), target)
+                issues = file_issues(spark, csv_root, layer).collect() if layer in OPEN_LAYERS else []
+            except Exception:  # noqa: BLE001 - a damaged or mislabelled file; the second reading tells which
+                write_layer(read_layer(spark, csv_root, layer), target)
+                issues = file_issues(spark, csv_root, layer).collect()      # one row per bad file
+            message = "; ".join(sorted(f"{r['source_file'].rsplit('/', 1)[-1]}: {r['issue']}" for r in issues))
+            outcome.append((layer, "PARTIAL" if issues else "OK", message))
         except Exception as error:  # noqa: BLE001 - reported to the caller
             outcome.append((layer, "ERROR", str(error).splitlines()[0]))
     return outcome

@@ -32,9 +32,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k int, v int, i int").repartition(8)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 10**9])
-def test_top_n_with_hot_and_null_keys(skewed, hot_rows):
-    got = ranking.top_n_per_key(skewed, ["k"], [F.col("v").desc(), F.col("i")], 7, hot_rows=hot_rows).collect()
+@pytest.mark.parametrize("salts", [1, 64])
+def test_top_n_with_hot_and_null_keys(skewed, salts):
+    got = ranking.top_n_per_key(skewed, ["k"], [F.col("v").desc(), F.col("i")], 7, salts=salts).collect()
     rows = skewed.collect()
     for key in (1, 2, 3, None):
         want = sorted((r for r in rows if r["k"] == key), key=lambda r: (-r["v"], r["i"]))[:7]
@@ -130,7 +130,8 @@ def csv_root(tmp_path):
 def test_csv_layers(spark, csv_root, tmp_path):
     out = str(tmp_path / "tables")
     outcome = tables.convert_layers(spark, csv_root, out, ["core_measurements", "metadata_full", "history"])
-    assert [o[1] for o in outcome][:2] == ["OK", "OK"]
+    assert outcome[0] == ("core_measurements", "PARTIAL", "argo_core_measurements_bad.csv.gz: read_error")
+    assert outcome[1] == ("metadata_full", "OK", "")
     core = tables.read_table(spark, f"{out}/core_measurements", "core_measurements")
     assert {(r["month"], r["count"]) for r in core.groupBy("month").count().collect()} == {("01", 4), ("02", 2), ("03", 2)}
     assert core.where("platform_number = 5906527").count() == 8
@@ -143,8 +144,9 @@ def test_csv_layers(spark, csv_root, tmp_path):
 
     counted = quality.partition_counts(core, "core_measurements").withColumnRenamed("row_count", "parquet_rows")
     report = {r["month"]: r for r in quality.reconcile(layer_csv.source_counts(spark, csv_root, "core_measurements"), counted).collect()}
-    assert report["01"]["matches"] and report["02"]["matches"] and not report["03"]["matches"]
-    assert report["03"]["issues"] == ["read_error", "row_count_differs"]
+    assert report["01"]["matches"] and not report["02"]["matches"] and not report["03"]["matches"]
+    assert report["02"]["issues"] == ["argo_core_measurements_bad.csv.gz: read_error"] and report["02"]["csv_rows"] == 2
+    assert report["03"]["issues"] == ["rows_rejected", "row_count_differs"]
     assert layer_csv.rejected_rows(spark, csv_root, "core_measurements").count() == 1
     tables.write_manifest(quality.reconcile(layer_csv.source_counts(spark, csv_root, "core_measurements"), counted), f"{out}/manifest")
     assert spark.read.json(f"{out}/manifest").count() == 3
@@ -153,6 +155,49 @@ def test_csv_layers(spark, csv_root, tmp_path):
     assert tables.load_view(spark, f"{out}/core_measurements", "core_measurements").count() == 8
 
 
+def test_damaged_files_are_named_and_left_out(spark, csv_root, tmp_path):
+    folder = tmp_path / "csv" / "2025" / "04"
+    folder.mkdir(parents=True)
+    lines = "\n".join(f"{i},59,2025-01-02,0,1,2,3,1,,1,,1," for i in range(5000))
+    (folder / "argo_core_measurements.csv.gz").write_bytes(gzip.compress(f"{CORE_HEADER}\n{lines}\n".encode())[:-400])
+    (folder / "argo_core_measurements_q.csv.gz").write_bytes(f'{CORE_HEADER}\n1,59,"2025\n-01-02",0,1,2,3,1,,1,,1,\n'.encode())
+    (folder / "argo_metadata_full.csv").write_text('PLATFORM_NUMBER,PROJECT_NAME\n1,"a\nb"\n2,c\n')
+    out = str(tmp_path / "tables")
+    outcome = dict((o[0], o[1:]) for o in tables.convert_layers(spark, csv_root, out, ["core_measurements", "metadata_full"]))
+    assert outcome["core_measurements"][0] == "PARTIAL" and outcome["core_measurements"][1].count(";") == 2
+    assert outcome["metadata_full"] == ("PARTIAL", "argo_metadata_full.csv: quoted_line_break")
+    core = tables.read_table(spark, f"{out}/core_measurements", "core_measurements")
+    assert core.where("month = '04'").count() == 0 and core.count() == 8
+    counted = quality.partition_counts(core, "core_measurements").withColumnRenamed("row_count", "parquet_rows")
+    report = {r["month"]: r for r in quality.reconcile(layer_csv.source_counts(spark, csv_root, "core_measurements"), counted).collect()}
+    assert not report["04"]["matches"] and report["04"]["issues"] == [
+        "parquet_missing", "argo_core_measurements.csv.gz: read_error", "argo_core_measurements_q.csv.gz: quoted_line_break"]
+
+
+def test_row_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path):
+    def put(month, rows):
+        folder = tmp_path / "csv" / "2025" / month
+        folder.mkdir(parents=True, exist_ok=True)
+        text = "\n".join(f"{i},59,2025-01-02,{i},1,2,3,1,,1,,1," for i in range(rows))
+        (folder / "argo_core_measurements.csv").write_text(f"{CORE_HEADER}\n{text}\n")
+
+    def places():
+        rows = layer_csv.read_layer(spark, str(tmp_path / "csv"), "core_measurements")
+        return {(r["month"], r["level_index"]): r["row_ordinal"] for r in rows.where("month <> '00'").collect()}
+
+    for month, n in (("02", 900), ("03", 40)):
+        put(month, n)
+    first = places()
+    assert all(k[1] == v for k, v in first.items())
+    put("00", 500)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert places() == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_incremental_ingest(spark, csv_root, tmp_path):
     out, log = str(tmp_path / "out"), str(tmp_path / "log")
     root = f"{csv_root}/2025/01"
@@ -208,7 +253,7 @@ def test_visual_fallbacks(spark):
     assert payload["points"] == [{"lat": 10.5, "lon": 20.0, "label": "1"}]
     assert [o["reason"] for o in payload["omitted_reasons"]] == ["non-numeric lat/lon", "missing lat or lon"]
     table = json.loads(visuals.payload_json(visuals.table_preview(numeric, "t", ["platform_number"])))
-    assert table["rows"] == [["1", "2.0"], ["2", None]] and table["row_count"] == 2
+    assert table["rows"] == [[1, 2.0], [2, None]] and table["row_count"] == 2
 
 
 @pytest.mark.parametrize("limit,mark,lines", [(12_000, "METADATA", None), (700, "SAMPLE (shortened)", 25), (120, "HITS", 0)])
@@ -233,7 +278,7 @@ def test_run_questions(spark):
     run = searching._run(spark, SF)
     assert run.contexts.count() == searching._questions(spark, SF).count()
     caps = run.rows.groupBy("query_id", "year", "month", "platform_number", "profile_index").count()
-    assert caps.where("count > 1").count() == 0
+    assert caps.where("count > 500").count() == 0
     asked = run.rows.first()["query_id"]
     chart = visual_for(run, asked, "temperature over time")
     assert chart.kind == "chart" and chart.data.count() == min(200, run.rows.where(F.col("query_id") == asked).count())
