@@ -1,7 +1,9 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF word shingles.
 
 A text is a bag of five-word shingles, each weighted by its count and the
-rarity of its hash bucket in the whole corpus. Every hash function draws one
+rarity of its hash bucket in the whole corpus. Rarity is damped: a large group
+of copies makes its own shingles frequent, and full weights would tear it apart
+by its few edits. Every hash function draws one
 shingle of the bag so that two bags draw the same with the probability of their
 weighted Jaccard similarity. Texts that agree in all samples of a band are
 compared exactly.
@@ -24,9 +26,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 9, 4          # at similarity 0.8 a pair meets with probability 0.991, at 0.85 with 0.999
 BUCKETS = 1 << 15           # of the document frequency table, which is broadcast
 DRAWS = 1 << 16             # random triples of a hash function
+RARITY_SHARE = 0.1          # of a weight that inverse document frequency decides
 SEED = 77
 SLICE_BYTES = 1 << 20
-BLOCK = 64                  # texts of a crowded bucket that meet at once
+LEADERS = 2                 # texts of a bucket that all its others are compared with first
+BLOCK = 256                 # texts of a crowded bucket that meet at once
 SHARD_ROWS = 2_000
 
 
@@ -66,8 +70,10 @@ def bucket_of(shingle):
 
 
 def rarity(docs: DataFrame, text_col: str = "text"):
-    """Inverse document frequency by hash bucket, over all rows: an array of BUCKETS numbers.
+    """Weight of a shingle by hash bucket, over all rows: an array of BUCKETS numbers up to 1.
 
+    It is 1 - RARITY_SHARE and RARITY_SHARE times the inverse document frequency
+    as a share of its largest value.
     A bucket's frequency is the number of (document, shingle) pairs in it. Each
     task sends at most one row per bucket; the result is a bounded table.
     """
@@ -97,7 +103,8 @@ def rarity(docs: DataFrame, text_col: str = "text"):
     for r in counts:
         if r["bucket"] >= 0:
             df[r["bucket"]] = r["n"]
-    return np.log1p(n / (1 + df)).astype(np.float32) + np.float32(1e-3)
+    idf = np.log1p(n / (1 + df)) / np.log1p(max(n, 1))
+    return (1 - RARITY_SHARE + RARITY_SHARE * idf).astype(np.float32)
 
 
 class Sampler:
@@ -166,8 +173,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows that share an id are one document to the links.
 
     Equal texts count once. In each bucket every text is first compared with
-    the bucket's smallest id; buckets that hold more than one component after
-    that are compared in pairs of blocks, skipping what is connected already.
+    the bucket's smallest id, then what is not connected yet with a text chosen
+    by hash; buckets that hold more than one component after that are compared
+    in pairs of blocks, skipping what is connected already.
     So no link between components is lost, and a large group of copies makes
     one comparison per member. The texts of candidates travel once; no task
     holds more than two blocks.
@@ -183,14 +191,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     crowded = bands_of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
     members = materialized(bands_of.join(crowded, "key"))
     wanted = members.select("id").distinct()
-    texts = materialized(base.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    # joins with texts are merge joins at every size: no plan that only a small table allows
+    texts = materialized(base.hint("merge").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     pairs = members.where("id <> first").select("id", "first").distinct()
     links = materialized(_linked(pairs, texts, idf, threshold))
-    found = materialized(components(links))
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-    rest = placed.join(split.where("low < high").select("key", "m"), "key").select("key", "id", "first", "component", "m")
+    for leader in range(LEADERS):
+        found = materialized(components(links))
+        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = placed.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"),
+            F.min_by(F.struct(F.col("id").alias("first"), F.col("component").alias("of")), F.xxhash64("id", F.lit(leader))).alias("l")).where("low < high")
+        if leader == LEADERS - 1:
+            break
+        pairs = placed.drop("first").join(split.select("key", "l.*"), "key").where("component <> of").select("id", "first").distinct()
+        links = materialized(links.unionByName(_linked(pairs, texts, idf, threshold)))
+    rest = placed.join(split.select("key", "m"), "key").select("key", "id", "first", "component", "m")
     more = _linked_in_blocks(rest, texts, idf, threshold, block)
     found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
@@ -236,7 +252,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     """(a, b) of those pairs (id, first) that reach the threshold."""
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("first_text")), "first")
+    both = pairs.hint("merge").join(texts, "id").hint("merge").join(texts.select(F.col("id").alias("first"), F.col("text").alias("first_text")), "first")
     both = both.select("id", "first", "text", "first_text").sortWithinPartitions("first")
 
     def run(batches: Iterator) -> Iterator:
@@ -309,4 +325,4 @@ def _linked_in_blocks(rest: DataFrame, texts: DataFrame, idf, threshold: float,
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
 
     cols = [*keys, "id", "first", "component", "own", "text"]
-    return met.join(texts, "id").select(*cols).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return met.hint("merge").join(texts, "id").select(*cols).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -578,7 +578,7 @@ def test_crowded_buckets_lose_no_link(spark):
     cases = []
     for i in range(120):
         words = list(stem)
-        for p in rng.sample(range(300), 4 if i % 3 else 7):
+        for p in rng.sample(range(300), 3 if i % 3 else 6):
             words[p] = f"x{i}_{p}"
         cases.append((i, " ".join(words)))
     frame = spark.createDataFrame(cases, "doc_id bigint, text string")
