@@ -106,7 +106,10 @@ def _induce_wide(text, smaller, lms):
         value = text[found]
         by = np.argsort(value, kind="stable")
         value, found = value[by], found[by]
-        kinds, at, size = np.unique(value, return_index=True, return_counts=True)
+        if not len(value):
+            return
+        at = np.append(0, np.flatnonzero(value[1:] != value[:-1]) + 1)
+        kinds, size = value[at], np.diff(np.append(at, len(value)))
         nth = np.arange(len(found)) - np.repeat(at, size)
         if step > 0:
             out[heads[value] + nth] = found
@@ -180,7 +183,7 @@ def _induce_narrow(text, smaller, lms):
 
 
 def permuted_prefixes(text, order, most: int):
-    """Common prefix of each suffix with the one before it in ``order``, by text position.
+    """Common prefix of each suffix with the one before it in ``order``, by text position (values from 1).
 
     Cut at ``most`` and rounded down to whole steps of four values; pairs are
     compared a step at a time in whole arrays, and those that differ fall out.
@@ -334,7 +337,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = materialized(_anchor_rows(base.select("doc", "print", "text"), length, gram))
     again = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("snippet").alias("low"), F.max("snippet").alias("high")).where("n > 1")
-    here = found.join(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor")
+    # written, so that both sides of the join are plain shuffles, which the engine can split where an anchor is hot
+    again = materialized(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
+    here = found.join(again, "anchor")
     # equal snippets only: all their strings repeat; otherwise the bytes decide
     marks = here.groupBy("doc", "print").agg(
         F.collect_list(F.when(~F.col("mixed"), F.struct("start", "starts"))).alias("sure"),
@@ -415,11 +420,13 @@ def _repeats(snippets: DataFrame, length: int, gram: int) -> DataFrame:
     parts = snippets.select(
         F.col("anchor").alias("key"), F.lit(0).alias("r0"), F.lit(length - gram + 1).alias("r1"), "anchor", "snippet", "at", "n",
         (F.col("at") - F.col("starts") + 1).alias("lo"), F.col("at").alias("hi"), "bytes")
+    # Halved once before anything is compared: most snippets share no more than their anchor.
+    parts = _halves(parts, length)
     out, shards = copies, []
     while True:
-        size = parts.groupBy("key").agg(
+        size = materialized(parts.groupBy("key").agg(
             F.sum("n").alias("total"), F.min(F.xxhash64("bytes", "hi")).alias("low"), F.max(F.xxhash64("bytes", "hi")).alias("high"),
-            F.sum(F.length("bytes")).alias("size")).where("total > 1")
+            F.sum(F.length("bytes")).alias("size")).where("total > 1"))
         met = parts.join(size, "key")
         equal, large = F.col("low") == F.col("high"), (F.col("size") > GROUP_BYTES) & (F.col("r1") - F.col("r0") > 1)
         met = materialized(met.select(*parts.columns, equal.alias("equal"), (~equal & large).alias("large")))
@@ -429,23 +436,26 @@ def _repeats(snippets: DataFrame, length: int, gram: int) -> DataFrame:
         large = met.where("large")
         if large.isEmpty():
             break
-        middle = F.floor((F.col("r0") + F.col("r1")) / 2).cast("int")
-        halves = large.withColumn("half", F.explode(F.array(
-            F.struct(F.col("r0").alias("from"), middle.alias("to")), F.struct(middle.alias("from"), F.col("r1").alias("to")))))
-        halves = halves.withColumns({"low": F.greatest("lo", "half.from"), "high": F.least("hi", F.col("half.to") - 1)}).where("low <= high")
-        # bytes of the half, and the bytes that all strings of its range have: they are its longer anchor
-        halves = halves.withColumn("own", F.substring(
-            "bytes", F.col("hi") - F.col("high") + 1, F.col("high") - F.col("low") + length))
-        core = F.substring("own", F.col("high") - F.col("half.from") + 1, F.col("half.from") - F.col("half.to") + 1 + length)
-        parts = halves.select(
-            F.xxhash64("key", "half.from", "half.to", core).alias("key"), F.col("half.from").alias("r0"), F.col("half.to").alias("r1"),
-            "anchor", "snippet", "at", "n", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("own").alias("bytes"))
+        parts = _halves(large, length)
     todo = shards[0]
     for s in shards[1:]:
         todo = todo.unionByName(s)
     return out.unionByName(_by_suffix_array(todo, length).select(*result))
 
 
+def _halves(parts: DataFrame, length: int) -> DataFrame:
+    """Each part cut at the middle of its group's range; a half's key is a longer anchor, the bytes all its strings have."""
+    middle = F.floor((F.col("r0") + F.col("r1")) / 2).cast("int")
+    halves = parts.withColumn("half", F.explode(F.array(
+        F.struct(F.col("r0").alias("from"), middle.alias("to")), F.struct(middle.alias("from"), F.col("r1").alias("to")))))
+    halves = halves.withColumns({"low": F.greatest("lo", "half.from"), "high": F.least("hi", F.col("half.to") - 1)}).where("low <= high")
+    halves = halves.withColumn("own", F.substring("bytes", F.col("hi") - F.col("high") + 1, F.col("high") - F.col("low") + length))
+    core = F.substring("own", F.col("high") - F.col("half.from") + 1, F.col("half.from") - F.col("half.to") + 1 + length)
+    return halves.select(
+        F.xxhash64("key", "half.from", "half.to", core).alias("key"), F.col("half.from").alias("r0"), F.col("half.to").alias("r1"),
+        "anchor", "snippet", "at", "n", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("own").alias("bytes"))
+
+
 def _by_suffix_array(parts: DataFrame, length: int) -> DataFrame:
     schema = "anchor bigint, snippet bigint, first int, count int"
     out = arrow_schema(schema)
