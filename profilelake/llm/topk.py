@@ -19,7 +19,7 @@ from profilelake.llm.common import arrow_schema
 
 TILE = 16_384               # candidates of one index in a task
 QUERY_BYTES = 32 << 20      # queries that are broadcast at once
-LEVELS = 16                 # segments of a dimension
+LEVELS = 32                 # segments of a dimension, about
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -30,35 +30,48 @@ def clean(rows: DataFrame, vec: str) -> DataFrame:
 
 
 class ImpactIndex:
-    """Postings of one tile by dimension, in segments of falling value."""
+    """Postings of one tile by dimension, in segments of one quantised value each, falling."""
 
     def __init__(self, values, levels: int = LEVELS):
         import numpy as np
 
         n, self.dims = values.shape
         self.values = values
-        self.order = np.argsort(values, axis=0, kind="stable")[::-1].astype(np.int32)     # falling value
-        edges = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
-        self.edges = edges
-        ranked = np.take_along_axis(values, self.order, axis=0)
-        self.high, self.low = ranked[edges[:-1]], ranked[edges[1:] - 1]         # segment x dimension
+        if not values.size:
+            return
+        postings, dim, start, high, low = [], [], [], [], []
+        for d in range(self.dims):
+            own = np.argsort(-values[:, d], kind="stable")
+            v = values[own, d]
+            level = v // (int(v[0] - v[-1]) // levels + 1)
+            first = np.append(0, np.flatnonzero(level[1:] != level[:-1]) + 1)
+            postings.append(own)
+            dim.append(np.full(len(first), d))
+            start.append(first + d * n)
+            high.append(v[first])
+            low.append(v[np.append(first[1:], n) - 1])
+        # one array of postings; a segment is a stretch of it
+        self.postings, self.dim, self.start = (np.concatenate(x) for x in (postings, dim, start))
+        self.high, self.low, self.end = np.concatenate(high), np.concatenate(low), np.append(self.start[1:], self.dims * n)
 
     def plan(self, query):
         """Segments of all dimensions by falling impact, with what is left to come after each."""
         import numpy as np
 
-        up = np.where(query > 0, self.high * query, self.low * query)           # best of a segment
-        down = np.where(query > 0, self.low * query, self.high * query)
-        sequence = np.where(query > 0, np.arange(len(up))[:, None], np.arange(len(up))[::-1, None])
-        up, down = np.take_along_axis(up, sequence, 0), np.take_along_axis(down, sequence, 0)
-        floor = down[-1]                                                        # a dimension's least product
-        gain = up - floor                                                       # falls along each dimension
-        flat = np.argsort(-gain, axis=None, kind="stable")
-        step, dim = np.unravel_index(flat, gain.shape)
-        # next gain of the same dimension, summed over dimensions, after each segment
-        following = np.vstack([gain[1:], np.zeros((1, self.dims), gain.dtype)])
-        left = gain[0].sum() - np.cumsum(gain[step, dim] - following[step, dim])
-        return sequence[step, dim], dim, gain[step, dim], (up - down)[step, dim], left, floor.sum()
+        weight = query[self.dim]
+        a, b = weight * self.high, weight * self.low
+        up, down = np.maximum(a, b), np.minimum(a, b)
+        first = np.append(True, self.dim[1:] != self.dim[:-1])
+        floor = np.minimum.reduceat(down, np.flatnonzero(first))
+        gain = up - floor[self.dim]
+        # the next segment of the same dimension, forwards or backwards by the sign of its weight
+        zero = np.zeros(1, gain.dtype)
+        after = np.where(np.append(first[1:], True), 0, np.append(gain[1:], zero))
+        before = np.where(first, 0, np.append(zero, gain[:-1]))
+        following = np.where(weight > 0, after, before)
+        order = np.argsort(-gain, kind="stable")
+        left = np.maximum.reduceat(gain, np.flatnonzero(first)).sum() - np.cumsum((gain - following)[order])
+        return order, gain, up - down, left, floor.sum()
 
     def top(self, query, k: int, least=None):
         """(rows, scores): all candidates that can be among the best k, with exact scores.
@@ -68,28 +81,24 @@ class ImpactIndex:
         import numpy as np
 
         n = len(self.values)
-        segment, dim, gain, width, left, base = self.plan(query)
-        score = np.full(n, base)            # products seen so far, from above; the rest at its least
-        slack = 0                           # how far a seen product can lie below its segment's bound
-        few, check, i = max(4 * k, n // 64), max(1, len(segment) // 16), 0
-        members = np.arange(n)
-        widest = np.zeros(self.dims, width.dtype)
-        while i < len(segment):
-            for j in range(i, min(i + check, len(segment))):
-                d, s = dim[j], segment[j]
-                score[self.order[self.edges[s]:self.edges[s + 1], d]] += gain[j]
-                widest[d] = max(widest[d], width[j])
-            i += check
-            slack = widest.sum()
+        if n < k and least is None or not self.values.size:
+            return np.arange(n), self.values @ query
+        order, gain, width, left, base = self.plan(query)
+        score = np.full(n, base, gain.dtype)    # products seen so far, from above; the others at their least
+        widest = np.zeros(self.dims, width.dtype)       # how far a seen product can lie below its segment's bound
+        few, members, i = max(4 * k, n // 64), np.arange(n), 0
+        starts, ends, dims, gains = (x[order].tolist() for x in (self.start, self.end, self.dim, gain))
+        for stop in range(len(order) // 2, len(order) + len(order) // 16, max(1, len(order) // 16)):
+            stop = min(stop, len(order))
+            for j in range(i, stop):
+                score[self.postings[starts[j]:ends[j]]] += gains[j]
+            np.maximum.at(widest, self.dim[order[i:stop]], width[order[i:stop]])
+            i = stop
             # a proved lower bound of the k-th best score
-            proved = np.partition(score, n - k)[n - k] - slack if n >= k else None
-            if least is not None:
-                proved = least if proved is None else max(proved, least)
-            if proved is None:
-                break
-            rest = max(left[min(i, len(segment)) - 1], 0)
-            members = np.flatnonzero(score + rest >= proved)
-            if len(members) <= few:
+            proved = np.partition(score, n - k)[n - k] - widest.sum() if n >= k else least
+            proved = proved if least is None else max(proved, least)
+            members = np.flatnonzero(score + max(left[i - 1], 0) >= proved) if i else members
+            if len(members) <= few or i == len(order):
                 break
         return members, self.values[members] @ query
 
