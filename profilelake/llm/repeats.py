@@ -249,7 +249,8 @@ def anchors(values, offsets, length: int, gram: int):
     return row[new], place[new], h[place[new]], first, runs
 
 
-ANCHOR = "doc bigint, print bigint, anchor bigint, snippet bigint, start int, starts int, at int"
+ANCHOR = "doc bigint, print bigint, anchor bigint, snippet bigint, place bigint"
+PLACE = 10                  # bits of the number of strings and of the anchor's place in a snippet; the rest is its start
 NO_ID = -(1 << 63)          # stands for a null id inside; such rows differ by their text
 
 
@@ -283,8 +284,7 @@ def _anchor_rows(base: DataFrame, length: int, gram: int) -> DataFrame:
                     take = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
                         [docs.take(take), prints.take(take), pa.array(anchor.view(np.int64)), pa.array(snippet.view(np.int64)),
-                         pa.array((first - marks[row] + shift).astype(np.int32)), pa.array(starts.astype(np.int32)),
-                         pa.array((place - first).astype(np.int32))], schema=out)
+                         pa.array((first - marks[row] + shift) << 2 * PLACE | starts << PLACE | (place - first))], schema=out)
 
     return base.mapInArrow(run, ANCHOR)
 
@@ -332,6 +332,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     anchor, until they fit: what is common merges and what is not parts. Texts
     are shuffled once.
     """
+    if not gram <= length < 1 << PLACE or gram & (gram - 1):
+        raise ValueError("the anchor's length is a power of two, at most the string's, which is below 1024")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"),
                        F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
     found = materialized(_anchor_rows(base.select("doc", "print", "text"), length, gram))
@@ -339,7 +341,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.count(F.lit(1)).alias("n"), F.min("snippet").alias("low"), F.max("snippet").alias("high")).where("n > 1")
     # written, so that both sides of the join are plain shuffles, which the engine can split where an anchor is hot
     again = materialized(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
-    here = found.join(again, "anchor")
+    low = (1 << PLACE) - 1
+    here = found.join(again, "anchor").select(
+        "doc", "print", "anchor", "snippet", "mixed", F.shiftright("place", 2 * PLACE).cast("int").alias("start"),
+        F.shiftright("place", PLACE).bitwiseAND(F.lit(low)).cast("int").alias("starts"), F.col("place").bitwiseAND(F.lit(low)).cast("int").alias("at"))
     # equal snippets only: all their strings repeat; otherwise the bytes decide
     marks = here.groupBy("doc", "print").agg(
         F.collect_list(F.when(~F.col("mixed"), F.struct("start", "starts"))).alias("sure"),
@@ -429,7 +434,8 @@ def _repeats(snippets: DataFrame, length: int, gram: int) -> DataFrame:
             F.sum(F.length("bytes")).alias("size")).where("total > 1"))
         met = parts.join(size, "key")
         equal, large = F.col("low") == F.col("high"), (F.col("size") > GROUP_BYTES) & (F.col("r1") - F.col("r0") > 1)
-        met = materialized(met.select(*parts.columns, equal.alias("equal"), (~equal & large).alias("large")))
+        met = materialized(met.select(      # equal parts need no bytes any more
+            *[c for c in parts.columns if c != "bytes"], F.when(~equal, F.col("bytes")).alias("bytes"), equal.alias("equal"), (~equal & large).alias("large")))
         out = out.unionByName(met.where("equal").select(
             "anchor", "snippet", (F.col("at") - F.col("hi")).alias("first"), (F.col("hi") - F.col("lo") + 1).alias("count")))
         shards.append(met.where("NOT equal AND NOT large"))
