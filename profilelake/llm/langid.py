@@ -139,8 +139,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labe
     """
     import numpy as np
 
-    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = docs.where(F.col(label_col).isNotNull())
     order = F.xxhash64(F.lit(seed), F.col(id_col))
+    # tasks send about ``rows`` texts in all, however many tasks there are
+    one_in = max(1, labelled.count() // rows)
+    known = labelled.where((F.pmod(order, F.lit(one_in)) == 0) & F.col(text_col).rlike(r"\p{L}"))
     sample = known.select(order.alias("o"), F.col(id_col).alias("i"), F.col(label_col).alias("y"),
                           F.substring(F.encode(F.col(text_col), "UTF-8"), 1, SAMPLE_BYTES).alias("x")).orderBy("o", "i", "x").limit(rows).collect()
     if not sample:
