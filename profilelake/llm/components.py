@@ -17,16 +17,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     until each hangs below its component's smallest. Minima are aggregated
     before the shuffle, and the joins back to them are plain ones that the
     engine may split, so a node with very many links fills no single task. Each
-    round is written to the shared folder. Links with a null end are ignored.
+    round is written to the shared folder; the rounds end as soon as the links
+    are stars. Links with a null end are ignored.
     """
     edges = links.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
     edges = materialized(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
     for _ in range(MOST_ROUNDS):
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
+        if _are_stars(edges):
             break
-        seen = state
         edges = materialized(_small_star(_large_star(edges)))
     else:
         raise RuntimeError(f"no components after {MOST_ROUNDS} rounds")
@@ -35,6 +33,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one node at most, and what others hang below hangs below none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

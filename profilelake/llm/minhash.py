@@ -205,10 +205,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if leader == LEADERS - 1:
             break
         pairs = placed.drop("first").join(split.select("key", "l.*"), "key").where("component <> of").select("id", "first").distinct()
-        links = materialized(links.unionByName(_linked(pairs, texts, idf, threshold)))
+        # what is found so far goes on as stars
+        links = materialized(_stars(found).unionByName(_linked(pairs, texts, idf, threshold)))
     rest = placed.join(split.select("key", "m"), "key").select("key", "id", "first", "component", "m")
     more = _linked_in_blocks(rest, texts, idf, threshold, block)
-    found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    found = components(_stars(found).unionByName(more)).withColumnRenamed("node", "rep")
 
     result = classes.join(found, "rep", "left").select("print", "copies", F.coalesce("component", "rep").alias("component_id"))
     linked = signed.where(takes_part).select("id", "print").join(result, "print").select("id", "copies", "component_id")
@@ -218,6 +219,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    return found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _signatures(base: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     schema = "id bigint, print string, keys array<bigint>"
     out = arrow_schema(schema)
