@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = placed.drop("first").join(split.select("key", "l.*"), "key").where("component <> of").select("id", "first").distinct()
         # what is found so far goes on as stars
         links = materialized(_stars(found).unionByName(_linked(pairs, texts, idf, threshold)))
-    rest = placed.join(split.select("key", "m"), "key").select("key", "id", "first", "component", "m")
+    rest = placed.join(split.select("key", "m", F.col("l.of").alias("main")), "key").select("key", "id", "first", "component", "m", "main")
     more = _linked_in_blocks(rest, texts, idf, threshold, block)
     found = components(_stars(found).unionByName(more)).withColumnRenamed("node", "rep")
 
@@ -283,14 +283,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
 
 
 def _linked_in_blocks(rest: DataFrame, texts: DataFrame, idf, threshold: float, block: int) -> DataFrame:
-    """Links between the components of each bucket, from exact comparison in pairs of blocks."""
+    """Links between the components of each bucket, from exact comparison in pairs of blocks.
+
+    ``main`` is one component of the bucket, as a rule its largest: its texts
+    meet the others only. A pair whose weights differ too much to reach the
+    threshold is not intersected.
+    """
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
     rest = materialized(rest)
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    met = rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.withColumns({"p": F.least("own", "with"), "q": F.greatest("own", "with")}).drop("with", "m")
+    in_main = F.col("component") == F.col("main")
+    met = rest.join(rest.where(~in_main).groupBy("key").agg(F.count(F.lit(1)).alias("others")), "key")
+    inner, outer = (F.greatest(F.ceil(n / block), F.lit(1)).cast("int") for n in (F.col("m") - F.col("others"), F.col("others")))
+    # the chosen component has blocks of its own, numbered first; no two of them meet
+    met = met.withColumn("own", F.when(in_main, F.pmod(F.xxhash64("id"), inner)).otherwise(inner + F.pmod(F.xxhash64("id"), outer)).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.when(in_main, inner).otherwise(F.lit(0)), inner + outer - 1)))
+    met = met.withColumns({"p": F.least("own", "with"), "q": F.greatest("own", "with")}).drop("with", "m", "main", "others")
     keys = ["key", "p", "q"]
     n = shards(rest, SHARD_ROWS)
 
@@ -315,10 +323,11 @@ def _linked_in_blocks(rest: DataFrame, texts: DataFrame, idf, threshold: float,
                     continue
                 marks = np.append(0, np.cumsum([len(x.as_py().encode()) for x in data.slice(int(s), int(e - s))]))
                 bag = bags(np.frombuffer("".join(data.slice(int(s), int(e - s)).to_pylist()).encode(), np.uint8), marks, idf.value)
+                total = np.array([x[1].sum() for x in bag])
                 for i in range(s, e):
-                    for j in range(i + 1, e):
-                        if p[s] != q[s] and own[i] == own[j]:
-                            continue
+                    near = np.minimum(total, total[i - s]) >= (threshold - 1e-9) * np.maximum(total, total[i - s])
+                    near &= (own[s:e] != own[i]) | (p[s] == q[s])
+                    for j in i + 1 + np.flatnonzero(near[i - s + 1:]):
                         if ids[i] == first[i] or ids[j] == first[j]:
                             continue        # compared in the first step
                         a, b = root(placed[i]), root(placed[j])
