@@ -536,6 +536,31 @@ def test_added_spans_keep_the_rules_spans(spark):
         assert any(k == "email" and "[at]" in r["text"][s:e] for s, e, k in every)
 
 
+def test_fitted_trees_add_what_only_generators_know(spark):
+    rng = random.Random(4)
+    words = "the of on thether ining that was edand entio by hein ation with reer from ouso".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def number(form):
+        return re.sub("#", lambda _: str(rng.randint(0, 9)), form)
+
+    datum = [lambda: f"{rng.choice(words)}.{number('##')}@mail{number('#')}.example.com", lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+             lambda: f"+1 ({number('###')}) 555-{number('####')}"]
+    known = [f"{prose(9)} {datum[i % 3]()} {prose(9)}" for i in range(240)]
+    planted = [("email", "joe.{} (at) mail3.example.com"), ("email", "ann{} [at] host [dot] org"), ("ip", "2001:db8:12:af1:1:22f:3e:9{}"),
+               ("phone", "1 (743) 555-38{}"), ("phone", "(743) 555-38{}")]
+    clean = ["order 1234-5678-9{}", "look (at) this. Then {}", "2024-01-15 10 {}", "120 450 300 2{}", "00:1b:63:ff:fe:84:5e:{}", "version 10.20.3{}"]
+    new = [(kind, form.format(20 + i)) for kind, form in planted for i in range(4)] + [("", form.format(20 + i)) for form in clean for i in range(4)]
+    texts_ = known + [f"{prose(6)} {value} {prose(6)}" for _, value in new]
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in pii.find(frame, pii.fit(frame)).collect()}
+    for i, (kind, value) in enumerate(new, len(known)):
+        added = [(k, texts_[i][s:e]) for s, e, k in found[i]["spans"]]
+        assert found[i]["base"] == [] and added == ([(kind, value)] if kind else []), value
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([("é a@b.de, 1.2.3.4 end",), ("clean",), (None,), ("a.4845168114407329@b.de x",)], "text string")
     found = pii.find(frame, pii.Trees(0.0, [], float("inf")))
