@@ -178,33 +178,58 @@ MAX_TEXT_WIDTH = 512
 MAX_NUMBER_WIDTH = 8
 
 
+def _width_limits(df: DataFrame) -> dict[str, int]:
+    """Longest array that still counts as one value, of each array column of numbers or characters."""
+    limits = {}
+    for c in df.columns:
+        if c not in LINEAGE and _is_array(df, c):
+            element = df.schema[c].dataType.elementType
+            if isinstance(element, (T.NumericType, T.StringType, T.BinaryType)):
+                limits[c] = MAX_NUMBER_WIDTH if isinstance(element, T.NumericType) else MAX_TEXT_WIDTH
+    return limits
+
+
+def _narrow_files(df: DataFrame) -> DataFrame:
+    """source_file and, for each array column of numbers or characters, whether all of the file's arrays are within the limit."""
+    widths = [(F.coalesce(F.max(F.size(c)), F.lit(0)) <= limit).alias(c) for c, limit in _width_limits(df).items()]
+    return df.groupBy("source_file").agg(*widths)
+
+
 def metadata_columns(df: DataFrame) -> list[str]:
-    """Columns with one value per profile: scalars, character arrays up to 512
-    long and numeric arrays up to 8 long (widths from one aggregate)."""
-    names = [c for c in df.columns if c not in LINEAGE]
-    arrays = [c for c in names if _is_array(df, c)]
-    widths = {}
-    if arrays:
-        widths = df.agg(*[F.max(F.size(c)).alias(c) for c in arrays]).first().asDict()
+    """Columns with one value per profile in some file: scalars, character arrays
+    up to 512 long and numeric arrays up to 8 long (widths from one aggregate)."""
+    limits, fitting = _width_limits(df), {}
+    if limits:
+        fitting = _narrow_files(df).agg(*[F.max(c).alias(c) for c in limits]).first().asDict()
+        fitting = {c: fits is not False for c, fits in fitting.items()}     # without files nothing is too wide
 
     def fits(name: str) -> bool:
         dtype = df.schema[name].dataType
         if isinstance(dtype, (T.MapType, T.StructType)):
             return False
-        if name not in arrays:
-            return True
-        limit = MAX_NUMBER_WIDTH if isinstance(dtype.elementType, T.NumericType) else MAX_TEXT_WIDTH
-        return isinstance(dtype.elementType, (T.NumericType, T.StringType, T.BinaryType)) and (widths[name] or 0) <= limit
+        return fitting.get(name, False) if isinstance(dtype, T.ArrayType) else True
 
-    return [n for n in names if fits(n)]
+    return [n for n in df.columns if n not in LINEAGE and fits(n)]
 
 
 def metadata_full(df: DataFrame, file_values: DataFrame | None = None) -> DataFrame:
     """Every per-profile variable as text. ``file_values`` holds variables with
     one value per file; they are repeated for the file's profiles by a join on
-    source_file."""
+    source_file.
+
+    Which arrays are per-profile values is decided file by file: a column that is
+    too wide in one file has null there and its values in the others.
+    """
     names = metadata_columns(df)
-    full = df.select(*LINEAGE, *[text_column(df, n).alias(n) for n in names])
+    arrays = [n for n in names if _is_array(df, n)]
+    texts = {n: text_column(df, n) for n in names}
+    if arrays:
+        # only files with a column too wide are joined
+        wide = _narrow_files(df).select(F.col("source_file").alias("_file"), F.struct(*arrays).alias("_narrow")).where(
+            ~F.least(*[F.col(f"_narrow.{n}") for n in arrays], F.lit(True)))
+        df = df.join(wide, F.col("source_file").eqNullSafe(F.col("_file")), "left")
+        texts |= {n: F.when(F.coalesce(F.col(f"_narrow.{n}"), F.lit(True)), texts[n]) for n in arrays}
+    full = df.select(*LINEAGE, *[t.alias(n) for n, t in texts.items()])
     if file_values is None:
         return full
     extra = [c for c in file_values.columns if c != "source_file" and c not in names]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilelake.operators import fetch, quality, ranking, stats, vectors
+from profilelake.operators import fetch, layers, quality, ranking, stats, vectors
 from profilelake.plans import context, visuals
 from profilelake.plans.gate import region_hits
 from profilelake.plans.retrieval import visual_for
@@ -72,6 +72,20 @@ def test_plans_keep_pushdown_and_stay_distributed(spark):
     assert "l_tax" not in text and "SinglePartition" not in text
 
 
+def test_metadata_width_is_decided_file_by_file(spark):
+    rows = [("a", i, [1, 2], list("ab"), [0] * 9) for i in range(3)] + [("wide", 0, [7] * 9, list("cd"), [0] * 9), ("wide", 1, [8], ["x"] * 513, [0] * 9)]
+    rows += [("b", 0, None, None, None), ("b", 1, [5] * 8, ["y"] * 512, None), (None, 0, [6], ["z"], [0] * 9)]
+    df = spark.createDataFrame(rows, "source_file string, profile_index long, CYCLE array<int>, NAME array<string>, PRES array<int>").repartition(4)
+    full = layers.metadata_full(df.where("source_file != 'b' OR source_file IS NULL"))
+    assert full.columns == ["source_file", "profile_index", "CYCLE", "NAME"]    # PRES is too wide in every file
+    got = {(r["source_file"], r["profile_index"]): (r["CYCLE"], r["NAME"]) for r in layers.metadata_full(df).collect()}
+    assert len(got) == len(rows) and all(got["a", i] == ("12", "ab") for i in range(3))
+    assert got["wide", 0] == got["wide", 1] == (None, None)
+    assert got["b", 1] == ("5" * 8, "y" * 512) and got[None, 0] == ("6", "z")
+    extra = spark.createDataFrame([("a", "p1"), ("b", "p2")], "source_file string, PROJECT_NAME string")
+    assert {(r["source_file"], r["PROJECT_NAME"]) for r in layers.metadata_full(df, extra).collect()} == {("a", "p1"), ("b", "p2"), ("wide", ""), (None, "")}
+
+
 # --- vectors -------------------------------------------------------------------
 
 @pytest.mark.parametrize("local", [100, 3])
