@@ -13,7 +13,8 @@ WINDOW = 128                # bytes the network sees at once
 WIDTHS, FILTERS = (2, 3, 4), 8
 EMBED = 6
 SAMPLE_ROWS = 6_000         # labelled texts the network is fitted on, at most
-SAMPLE_BYTES = 1_024        # of each such text: eight windows
+SAMPLE_WINDOWS = 8          # of each such text, anywhere in it
+DRAWN = 1 << 30             # parts of the hash by which texts are drawn
 EPOCHS, BATCH, RATE = 4, 128, 0.004
 UNDECIDED = "und"
 PASS_WINDOWS = 2_048        # windows in memory at once
@@ -130,22 +131,46 @@ def cut_windows(values, offsets, length: int = WINDOW):
     return padded[np.where(inside, at + offsets[:-1][row][:, None], len(values))], row
 
 
+def shares(counts: dict, total: int) -> dict:
+    """How many of ``total`` each key gets: equal parts, but no more than it has; what it lacks goes to the others."""
+    out, left = {}, total
+    for i, (key, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[key] = min(n, -(-left // (len(counts) - i)))
+        left -= out[key]
+    return out
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
         rows: int = SAMPLE_ROWS, seed: int = 3) -> ByteNet | None:
-    """A network fitted on at most ``rows`` labelled texts, chosen by a hash of the id; None without any.
+    """A network fitted on at most ``rows`` labelled texts, chosen by a hash; None without any.
 
-    Of each text at most ``SAMPLE_BYTES`` leading bytes are learnt from.
-    Predictions read whole texts.
+    The bound is shared among the languages: those with few texts give all of
+    them, the others as many each as are left. Of each text eight windows are
+    learnt from, at places drawn by a hash over its whole length, or all of a
+    text that is not longer. Predictions read whole texts.
     """
     import numpy as np
 
-    labelled = docs.where(F.col(label_col).isNotNull())
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
+    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
+    if not counts:
+        return None
+    quota = shares(counts, rows)
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     # tasks send about ``rows`` texts in all, however many tasks there are
-    one_in = max(1, labelled.count() // rows)
-    known = labelled.where((F.pmod(order, F.lit(one_in)) == 0) & F.col(text_col).rlike(r"\p{L}"))
-    sample = known.select(order.alias("o"), F.col(id_col).alias("i"), F.col(label_col).alias("y"),
-                          F.substring(F.encode(F.col(text_col), "UTF-8"), 1, SAMPLE_BYTES).alias("x")).orderBy("o", "i", "x").limit(rows).collect()
+    parts = {y: -(-q * DRAWN // counts[y]) for y, q in quota.items()}
+    part = F.element_at(F.create_map(*[F.lit(v) for pair in parts.items() for v in pair]), F.col(label_col))
+    data = F.encode(F.col(text_col), "UTF-8")
+    drawn = known.where(F.pmod(order, F.lit(DRAWN)) < part).select(
+        order.alias("o"), F.col(id_col).alias("i"), F.col(label_col).alias("y"), data.alias("data"), F.octet_length(data).alias("n"))
+    places = [F.pmod(F.xxhash64(F.lit(j), "o"), F.col("n") - WINDOW + 1).cast("int") + 1 for j in range(SAMPLE_WINDOWS)]
+    cuts = F.concat(*[F.substring(F.col("data"), p, WINDOW) for p in places])
+    x = F.when(F.col("n") > WINDOW * SAMPLE_WINDOWS, cuts).otherwise(F.col("data"))
+    sample = []
+    for r in drawn.select("o", "i", "y", x.alias("x")).orderBy("o", "i", "x").limit(2 * rows).collect():
+        if quota[r["y"]]:
+            quota[r["y"]] -= 1
+            sample.append(r)
     if not sample:
         return None
     languages = sorted({r["y"] for r in sample})

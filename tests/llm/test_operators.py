@@ -416,6 +416,28 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held if lang[r["doc_id"]]]) >= 0.97
 
 
+def test_language_is_learnt_from_whole_texts(spark):
+    rng = random.Random(8)
+    words = {"aa": "the and with that thing other", "bb": "der und mit dass ding zwölf", "cc": "que con para ñino cosa los"}
+    header = "0123 header of a hot source " * 40       # longer than the windows of a sampled text
+
+    def text(lang):
+        return header + " ".join(rng.choice(words[lang].split()) for _ in range(600))
+
+    rows_ = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    frame = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string")
+    net = langid.fit(frame.where("doc_id < 150"))
+    got = langid.predict(frame.where("doc_id >= 150"), net, keep=("lang",)).collect()
+    assert len(got) == 30 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows_ = [(i, f"a common text {i}", "en") for i in range(800)] + [(1000 + i, f"a rare text {i}", f"x{i}") for i in range(10)]
+    net = langid.fit(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string"), rows=40)
+    assert net.languages == ["en", *[f"x{i}" for i in range(10)]]
+    assert langid.shares({"a": 1, "b": 500, "c": 9000}, 601) == {"a": 1, "b": 300, "c": 300}
+
+
 def test_windows_cover_every_byte():
     values = np.arange(1, 251, dtype=np.uint8)
     w, row = langid.cut_windows(values, np.array([0, 0, 5, 250]), length=16)
