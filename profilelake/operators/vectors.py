@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from profilelake.functions.text import integer, lookup, metadata_matches, row_map, row_text
 from profilelake.operators.ranking import first_per_key, ranked_top_n, salts_for, top_n_per_key
+from profilelake.session import materialized
 
 LOCAL_QUERIES = 4_096        # queries one task may hold as a matrix ...
-LOCAL_VALUES = 8_000_000     # ... and the numbers in it (64 MB)
+LOCAL_VALUES = 8_000_000     # ... and the numbers in it, or in the distances from it (64 MB)
 DOCS_PER_BLOCK = 50_000
 
 # Metadata keys naming a hit's platform and profile.
@@ -144,10 +145,12 @@ def nearest_documents(docs: DataFrame, queries: DataFrame, k: int, *, id_col: st
     with that number; a null query value restricts nothing. Result: query id,
     document id, distance, rank; ties go to the smaller id.
 
-    Up to ``local_queries`` queries are broadcast as a matrix. Each task scans
-    its documents once and emits at most k rows per query, so the documents are
-    never shuffled. A larger query table is cut into blocks; every (document
-    block, query block) pair meets in one bounded group.
+    A query is compared with the documents of its own vector length;
+    :func:`vector_lengths` counts what has no counterpart. Queries of one length
+    are broadcast in chunks of about ``local_queries``, fewer where they are
+    long. For each chunk the documents are scanned where they lie, at most
+    ``docs_per_block`` at once, and each task emits at most k rows per query, so
+    documents are never shuffled.
     """
     doc_tag, query_tag = match or (None, None)
     d = docs.where(F.col(vector_col).isNotNull()).select(
@@ -161,22 +164,36 @@ def nearest_documents(docs: DataFrame, queries: DataFrame, k: int, *, id_col: st
         T.StructField("distance", T.DoubleType())])
     use_tags = match is not None
 
-    head = q.limit(local_queries + 1).collect()
-    if len(head) <= local_queries and sum(len(r["v"]) for r in head) <= LOCAL_VALUES:
-        partial = _scan_with_matrix(d, head, k, schema, use_tags)
-    else:
-        partial = _scan_in_blocks(d, q, k, schema, use_tags, local_queries, docs_per_block)
+    q = materialized(q)
+    partial = None
+    for n, count in sorted(tuple(r) for r in q.groupBy(F.size("v")).count().collect()):
+        chunks = salts_for(count, max(1, min(local_queries, LOCAL_VALUES // max(1, n))))
+        for c in range(chunks):
+            rows = q.where((F.size("v") == n) & (F.pmod(F.xxhash64("q", "v"), F.lit(chunks)) == c)).collect()
+            if rows:
+                part = _scan_with_matrix(d, rows, k, schema, use_tags, docs_per_block)
+                partial = part if partial is None else partial.unionByName(part)
+    if partial is None:
+        partial = d.sparkSession.createDataFrame([], schema)
     ranked = top_n_per_key(partial, ["q"], [F.col("distance"), F.col("id")], k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "distance", "rank")
 
 
-def _scan_with_matrix(d: DataFrame, rows: list, k: int, schema: T.StructType, use_tags: bool) -> DataFrame:
+def vector_lengths(docs: DataFrame, queries: DataFrame, *, vector_col: str = "embedding", query_vector: str = "embedding") -> DataFrame:
+    """Documents and queries of each vector length (null where there is no vector), and whether they can be compared."""
+    sizes = [x.select(F.when(F.col(c).isNotNull(), F.size(c)).alias("length"), F.lit(a).alias("documents"), F.lit(b).alias("queries"))
+             for x, c, a, b in ((docs, vector_col, 1, 0), (queries, query_vector, 0, 1))]
+    counts = sizes[0].unionByName(sizes[1]).groupBy("length").agg(F.sum("documents").alias("documents"), F.sum("queries").alias("queries"))
+    return counts.withColumn("compared", F.col("length").isNotNull() & (F.col("documents") > 0) & (F.col("queries") > 0))
+
+
+def _scan_with_matrix(d: DataFrame, rows: list, k: int, schema: T.StructType, use_tags: bool, docs_at_once: int) -> DataFrame:
+    """Best k of queries of one length in each task."""
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if not rows:
-        return d.sparkSession.createDataFrame([], schema)
     dim = len(rows[0]["v"])
+    step = max(1, min(docs_at_once, LOCAL_VALUES // len(rows)))     # bounds the distances in memory
     shared = d.sparkSession.sparkContext.broadcast((
         [r["q"] for r in rows],
         np.array([r["v"] for r in rows], dtype="float64"),
@@ -190,10 +207,11 @@ def _scan_with_matrix(d: DataFrame, rows: list, k: int, schema: T.StructType, us
         query_ids, matrix, wanted = shared.value
         absorb, result = top_k(query_ids, matrix, wanted, k)
         for batch in batches:
-            if batch.num_rows:
-                vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                tags = batch.column("tag").to_numpy(zero_copy_only=False)
-                absorb(np.array(batch.column("id").to_pylist()), vectors, tags)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                vectors = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+                tags = part.column("tag").to_numpy(zero_copy_only=False)
+                absorb(np.array(part.column("id").to_pylist()), vectors, tags)
         qs, ids, ds = result()
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, type=f.type) for x, f in zip((qs, ids, ds), arrow_schema)], schema=arrow_schema)
@@ -201,40 +219,6 @@ def _scan_with_matrix(d: DataFrame, rows: list, k: int, schema: T.StructType, us
     return d.where(F.size("v") == dim).mapInArrow(scan, schema)
 
 
-def _scan_in_blocks(d: DataFrame, q: DataFrame, k: int, schema: T.StructType, use_tags: bool,
-                    local_queries: int, docs_per_block: int) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    dim = q.agg(F.max(F.size("v")).alias("n")).first()["n"]
-    d, q = (x.where(F.size("v") == dim) for x in (d, q))
-    n_doc, n_query = salts_for(d.count(), docs_per_block), salts_for(q.count(), local_queries)
-
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = d.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(n_doc)).cast("int")).withColumn("qb", numbers(n_query))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query)).cast("int")).withColumn("db", numbers(n_doc))
-    arrow_schema, top_k = to_arrow_schema(schema), _kernel()
-
-    def pair(docs_block, query_block):
-        import numpy as np
-        import pyarrow as pa
-
-        def matrix(table):
-            flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(-1, dim)
-
-        out = ([], [], [])
-        if docs_block.num_rows and query_block.num_rows:
-            wanted = query_block.column("tag").to_numpy() if use_tags else None
-            absorb, result = top_k(query_block.column("q").to_pylist(), matrix(query_block), wanted, k)
-            absorb(np.array(docs_block.column("id").to_pylist()), matrix(docs_block), docs_block.column("tag").to_numpy())
-            out = result()
-        return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow_schema)], schema=arrow_schema)
-
-    return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(pair, schema)
-
-
 def score(distance):
     """1 / (1 + d); a negative distance has no score."""
     return F.when(distance >= 0, 1 / (1 + distance))

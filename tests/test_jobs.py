@@ -106,6 +106,21 @@ def test_nearest_documents_against_brute_force(spark, local):
         assert np.allclose([m[0] for m in mine], [w[0] for w in want])
 
 
+@pytest.mark.parametrize("local", [100, 2])
+def test_nearest_documents_of_mixed_lengths(spark, local):
+    rng = np.random.default_rng(5)
+    docs = [rng.normal(size=n).round(1) for n in [4] * 60 + [7] * 50 + [3] * 5]
+    queries = [rng.normal(size=n).round(1) for n in [7, 4, 4, 7, 4, 9, 7, 4]]
+    d = spark.createDataFrame([(f"d{i:03d}", v.tolist()) for i, v in enumerate(docs)] + [("none", None)], "id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(queries)], "query_id int, embedding array<double>")
+    got = vectors.nearest_documents(d, q, 5, local_queries=local, docs_per_block=20).orderBy("query_id", "rank").collect()
+    for j, v in enumerate(queries):
+        want = sorted((((x - v) ** 2).sum(), f"d{i:03d}") for i, x in enumerate(docs) if len(x) == len(v))[:5]
+        assert [r["id"] for r in got if r["query_id"] == j] == [w[1] for w in want]
+    lengths = {r["length"]: tuple(r)[1:] for r in vectors.vector_lengths(d, q).collect()}
+    assert lengths == {4: (60, 4, True), 7: (50, 3, True), 3: (5, 0, False), 9: (0, 1, False), None: (1, 0, False)}
+
+
 def test_upsert_partitions_twice_is_once(spark, tmp_path):
     path = str(tmp_path / "docs")
     schema = "id string, document string, version int, year string, month string"
