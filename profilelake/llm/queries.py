@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilelake.llm import chat, langid, minhash, mixing, packing, pii, quality, repeats, topk, vector_links
+from profilelake.llm import chat, langid, lines, merkle, minhash, mixing, packing, pii, quality, repeats, topk, vector_links
 from profilelake.llm.common import crc_of_id
 
 QUERIES: dict = {}
@@ -140,3 +140,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (crc_of_id("doc_id") % 4 == 2).alias("held_out")
     net = langid.fit(docs.where(crc_of_id("doc_id") % 4 != 2))
     return langid.predict(docs.select("doc_id", "text", held), net, keep=("held_out",))
+
+
+# crc32 bit by bit over the digits; levels, siblings and folding by recursion
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, source, text,
+ list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+f AS (SELECT *, (coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+ || coalesce(strlen(lang) || ':' || lang, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+ coalesce(xor(crc, 4294967295) % 7 = 0, false) AS hit FROM d),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+ sha256(head || coalesce(strlen(CAST(n_chars + CAST(hit AS INTEGER) AS VARCHAR)) || ':' || (n_chars + CAST(hit AS INTEGER)), '-') || tail) AS shown FROM f),
+r AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+sub(g, level, i, h, n) AS (SELECT g, 0, i, leaf, count(*) OVER (PARTITION BY g) FROM r
+ UNION ALL SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM sub WHERE n > 1 GROUP BY g, level, i // 2, n),
+sr AS (SELECT g, h, level FROM sub WHERE n = 1),
+top(level, i, h, n) AS (SELECT 0, g, h, count(*) OVER () FROM sr
+ UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, i // 2, n),
+root AS (SELECT h, level FROM top WHERE n = 1),
+steps AS (SELECT r.g, r.i, s.level AS tier, (r.i >> s.level) & 1 AS bit, b.h FROM r JOIN (SELECT DISTINCT g, level, n FROM sub WHERE n > 1) s ON s.g = r.g
+  LEFT JOIN sub b ON b.g = r.g AND b.level = s.level AND b.i = xor(r.i >> s.level, 1)
+ UNION ALL SELECT r.g, r.i, 1000 + s.level, (r.g >> s.level) & 1, b.h FROM r, (SELECT DISTINCT level FROM top WHERE n > 1) s
+  LEFT JOIN top b ON b.level = s.level AND b.i = xor(r.g >> s.level, 1)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY tier) AS k FROM steps),
+fold(g, i, k, h) AS (SELECT g, i, CAST(0 AS BIGINT), shown FROM r
+ UNION ALL SELECT f.g, f.i, n.k, sha256(CASE WHEN n.bit = 1 THEN coalesce(n.h, '') || f.h ELSE f.h || coalesce(n.h, '') END) FROM fold f JOIN nth n ON n.g = f.g AND n.i = f.i AND n.k = f.k + 1),
+p AS (SELECT r.g, r.i, coalesce(string_agg(n.h, '' ORDER BY n.k), '') AS proof, coalesce(max(n.k), 0) AS k FROM r LEFT JOIN nth n ON n.g = r.g AND n.i = r.i GROUP BY r.g, r.i)
+SELECT r.doc_id, r.leaf, sr.h AS subroot, root.h AS root, sha256(p.proof) AS proof_sha256, fold.h AS folded_root, fold.h = root.h AS verified
+FROM r JOIN sr ON sr.g = r.g JOIN p ON p.g = r.g AND p.i = r.i JOIN fold ON fold.g = r.g AND fold.i = r.i AND fold.k = p.k, root"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    doc_id, source, lang, n_chars, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    tampered = F.when(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest([doc_id, source, lang, n_chars + 1, text]))
+    leaves = docs.select("doc_id", "lang", merkle.leaf_digest([doc_id, source, lang, n_chars, text]).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(leaves, "lang", ["doc_id"], keep=("doc_id", "tampered"))
+    folded = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(lines))) AS nth, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.largest AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
+
+
+@query("op13_perfect_hash_line_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
