@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilelake.llm import chat, langid, lines, merkle, minhash, mixing, packing, pii, quality, repeats, topk, vector_links
+from profilelake.llm import chat, langid, lines, merkle, minhash, mixing, packing, phrases, pii, quality, repeats, topk, vector_links
 from profilelake.llm.common import crc_of_id
 
 QUERIES: dict = {}
@@ -142,6 +142,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held), net, keep=("held_out",))
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase FROM w, range(1, 6) t(len) WHERE len(w) >= len),
+f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 100),
+i AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer FROM c, range(1, 6) s(i), range(1, 6) t(j) WHERE i < j AND j <= len AND j - i + 1 < len GROUP BY ALL),
+k AS (SELECT c.*, k FROM c, range(1, 5) t(k) WHERE k < len),
+s AS (SELECT k.lang, k.phrase, k.a, x.f AS l, y.f AS r, n.n, CAST(1000 * CAST(k.a AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS BIGINT) AS score,
+ row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY 1000 * CAST(k.a AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)), k) AS nth
+ FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT s.* FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b) WHERE rank <= 2000"""
+
+
+@query("op11_misra_gries_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 # crc32 bit by bit over the digits; levels, siblings and folding by recursion
 OP12_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, source, text,
