@@ -83,23 +83,31 @@ def by_language(batch) -> Iterator[tuple[bytes, Iterator[bytes]]]:
         yield name, (texts[int(i)].as_py() for i in np.flatnonzero(codes == code))
 
 
-def sequences(tokens: list[bytes], lead: int, lang: str, hashes: _Hashes) -> Iterator[tuple[int, object, object]]:
-    """(n, starts, keys): where sequences of n = 1 to LONGEST words start, and their 64-bit hashes with the language's."""
+def sequences(tokens: list[bytes], lead: int, lang: str, hashes: _Hashes, bits=None, tested: int = 0) -> Iterator[tuple[int, object, object]]:
+    """(n, starts, keys): where sequences of n = 1 to LONGEST words start, and their 64-bit hashes with the language's.
+
+    With a filter, sequences of up to ``tested`` words must pass it, longer ones
+    be made of such: a frequent sequence has frequent parts.
+    """
     import numpy as np
     import xxhash
 
     seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
     word = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     ends = word == np.uint64(hashes[END])
-    here, key, n = np.flatnonzero(~ends), None, 1
+    here, n = np.flatnonzero(~ends), 1
     key = mixed(word[here] ^ seed)
     while len(here):
+        if n <= tested:
+            ok = _passes(bits, key)
+            here, key = here[ok], key[ok]
         new = here + n > lead           # the last word lies after the lead
         yield n, here[new], key[new]
         if n == LONGEST:
             return
-        longer = here + n < len(word)
-        longer[longer] = ~ends[here[longer] + n]
+        alive = np.zeros(len(word) + 1, bool)
+        alive[here] = True
+        longer = alive[here + 1]        # the rest is one of those found, too
         here, key = here[longer], key[longer]
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + word[here + n])
         n += 1
@@ -132,8 +140,11 @@ def reduced(keys, counts, capacity: int, spent: int, least: int):
     return keys[kept], counts[kept] - cut, spent + cut
 
 
-def _local_counts(parts: int):
-    """Task function: (part, mass, keys, counts) of the sequences of each hash partition, counted in the task first."""
+def _local_counts(parts: int, lengths: tuple[int, int], shared=None):
+    """Task function: (part, keys, counts) of the sequences of each hash partition, counted in the task first.
+
+    Sequences have between ``lengths`` words; what is shorter must pass the filter that is shared.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -148,16 +159,18 @@ def _local_counts(parts: int):
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(p, keys[order[a:b]], counts[order[a:b]]) for p, a, b in zip(range(parts), bounds[:-1], bounds[1:]) if b > a]
             return pa.RecordBatch.from_arrays([
-                pa.array([p for p, _, _ in rows], pa.int32()), pa.array([int(c.sum()) for _, _, c in rows], pa.int64()),
-                pa.array([k.tobytes() for _, k, _ in rows], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, _, c in rows], pa.binary())],
-                names=["part", "mass", "keys", "counts"])
+                pa.array([p for p, _, _ in rows], pa.int32()), pa.array([k.tobytes() for _, k, _ in rows], pa.binary()),
+                pa.array([c.astype(np.int32).tobytes() for _, _, c in rows], pa.binary())], names=["part", "keys", "counts"])
 
         for batch in batches:
             for lang, texts in by_language(batch):
                 for tokens, lead in token_slices(texts):
-                    for _, _, keys in sequences(tokens, lead, lang, hashes):
-                        gathered.append(keys)
-                        size += len(keys)
+                    for n, _, keys in sequences(tokens, lead, lang, hashes, shared and shared.value, lengths[0] - 1):
+                        if n > lengths[1]:
+                            break
+                        if n >= lengths[0]:
+                            gathered.append(keys)
+                            size += len(keys)
                     if size >= GATHERED:
                         yield sent()
                         gathered, size = [], 0
@@ -215,6 +228,16 @@ def _probes(keys):
         yield mixed(keys + np.uint64((i + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - FILTER_BITS)
 
 
+def _passes(bits, keys):
+    import numpy as np
+
+    ok = np.ones(len(keys), bool)
+    for at in _probes(keys):
+        at = at[ok]
+        ok[ok] = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return ok
+
+
 def _filter_words(batches: Iterator) -> Iterator:
     """(word, bits) of the filter's 64-bit words that the keys of a task set."""
     import numpy as np
@@ -249,12 +272,6 @@ def _exact_counts(shared):
         gathered: dict[str, dict[bytes, int]] = {}
         totals: dict[str, int] = {}
 
-        def passes(keys):
-            ok = np.ones(len(keys), bool)
-            for at in _probes(keys):
-                ok[ok] = (bits[at[ok] >> np.uint64(6)] >> (at[ok] & np.uint64(63))) & np.uint64(1) > 0
-            return ok
-
         def sent():
             rows = [(lang, phrase, phrase.count(b" ") + 1, n) for lang, found in gathered.items() for phrase, n in found.items()]
             rows += [(lang, None, 1, n) for lang, n in totals.items()]
@@ -269,11 +286,8 @@ def _exact_counts(shared):
             for lang, texts in by_language(batch):
                 found = gathered.setdefault(lang, {})
                 for tokens, lead in token_slices(texts):
-                    for n, starts, keys in sequences(tokens, lead, lang, hashes):
-                        if n == 1:
-                            totals[lang] = totals.get(lang, 0) + len(starts)
-                        ok = passes(keys)
-                        starts, keys = starts[ok], keys[ok]
+                    totals[lang] = totals.get(lang, 0) + len(tokens) - lead - tokens[lead:].count(END)
+                    for n, starts, keys in sequences(tokens, lead, lang, hashes, bits, LONGEST):
                         _, first, times = np.unique(keys, return_index=True, return_counts=True)
                         for i, k in zip(starts[first].tolist(), times.tolist()):
                             phrase = b" ".join(tokens[i:i + n])
@@ -294,22 +308,31 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
     their hash partition, which merges them into one Misra-Gries summary. It has
     HEADROOM times the counters that the partition's mass divided by ``least``
     asks for, so every sequence with ``least`` occurrences survives; should what
-    counters have lost ever reach ``least``, the summary grows instead. Second
-    pass: survivors, as a filter of fixed size, choose the sequences that are
-    counted exactly, as text. A false survivor only costs a row.
+    counters have lost ever reach ``least``, the summary grows instead. Words and
+    pairs come first; of longer sequences only those made of surviving pairs are
+    sent. Second pass: survivors, as a filter of fixed size, choose the sequences
+    that are counted exactly, as text. A false survivor only costs a row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a word and the blank after it have two bytes at least
-    mass = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * LONGEST // 2
-    parts = max(spark.sparkContext.defaultParallelism * 2, -(-mass * HEADROOM // (COUNTERS * least)))
-    capacity = max(1 << 12, -(-mass * HEADROOM // (parts * least)))
-    counted = rows.mapInArrow(_local_counts(parts), "part int, mass bigint, keys binary, counts binary")
-    survivors = materialized(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_survivors(capacity, least), "key bigint"))
-    shared = spark.sparkContext.broadcast(survivor_filter(survivors))
+    words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    bits, shared = None, None
+    for lengths in (1, 2), (3, LONGEST):
+        mass = words * (lengths[1] - lengths[0] + 1)
+        parts = max(spark.sparkContext.defaultParallelism * 2, -(-mass * HEADROOM // (COUNTERS * least)))
+        capacity = max(1 << 12, -(-mass * HEADROOM // (parts * least)))
+        counted = rows.mapInArrow(_local_counts(parts, lengths, shared), "part int, keys binary, counts binary")
+        found = materialized(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_survivors(capacity, least), "key bigint"))
+        bits = survivor_filter(found) if bits is None else bits | survivor_filter(found)
+        if shared is not None:
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(bits)
     exact = rows.mapInArrow(_exact_counts(shared), "lang string, phrase string, words int, times bigint")
-    return materialized(exact.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times")).where(
+    counts = materialized(exact.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times")).where(
         (F.col("times") >= least) | F.col("phrase").isNull()))
+    shared.unpersist()
+    return counts
 
 
 # ------------------------------------------------------------ scores
