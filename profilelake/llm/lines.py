@@ -173,9 +173,10 @@ def drop_recurring_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "
     numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(numbers, lambda i: F.get(F.col("parts"), i)), "\n"))
-    return met.select(*[F.col("row")[c].alias(c) if c != text else F.col("text").alias(text) for c in docs.columns if c in rest or c == text],
-                      F.size("parts").cast("bigint").alias("n_lines"),
-                      F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept_text"))
+    new = met.select("row", "text", F.size("parts").cast("bigint").alias("n_lines"),
+                     F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept_text"))
+    given = [F.col("text").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c == text or c in rest]
+    return new.select(*given, "n_lines", "n_dropped", "kept_text")
 
 
 def _indexed(whole: DataFrame, min_docs: int, shortest: int) -> DataFrame:

@@ -22,6 +22,7 @@ GATHERED = 1 << 22          # sequences a task counts before it sends them
 SLICE_BYTES = 2 << 20       # text cut into words at a time
 FILTER_BITS = 27            # bits of the filter of survivors, as a power of two: 16 MB, whatever the data
 FILTER_PROBES = 4
+SURVIVORS_EACH = 1 << 18    # phrases whose exact counts one task adds up
 END = b"."                  # stands for any sign that ends a piece
 
 _TABLE = bytes(46 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -261,32 +262,33 @@ def survivor_filter(keys: DataFrame):
     return words
 
 
-def _exact_counts(shared):
-    """Task function: (lang, phrase, words, times) of the sequences that pass the filter, and the sum of words (phrase null)."""
+def _exact_counts(shared, parts: int):
+    """Task function: (part, lang, phrases, times), packed, of the sequences that pass the filter; an empty phrase: all words."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         bits, hashes = shared.value, _Hashes()
         gathered: dict[str, dict[bytes, int]] = {}
-        totals: dict[str, int] = {}
 
         def sent():
-            rows = [(lang, phrase, phrase.count(b" ") + 1, n) for lang, found in gathered.items() for phrase, n in found.items()]
-            rows += [(lang, None, 1, n) for lang, n in totals.items()]
+            rows = []
+            for lang, found in gathered.items():
+                dealt: dict[int, list] = {}
+                for item in found.items():
+                    dealt.setdefault(xxhash.xxh3_64_intdigest(item[0]) % parts, []).append(item)
+                rows += [(part, lang, b"\n".join(p for p, _ in items), np.array([n for _, n in items], np.int64).tobytes()) for part, items in dealt.items()]
             gathered.clear()
-            totals.clear()
-            columns = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([
-                pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int32()),
-                pa.array(columns[3], pa.int64())], names=["lang", "phrase", "words", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))],
+                                              names=["part", "lang", "phrases", "times"])
 
         for batch in batches:
             for lang, texts in by_language(batch):
                 found = gathered.setdefault(lang, {})
                 for tokens, lead in token_slices(texts):
-                    totals[lang] = totals.get(lang, 0) + len(tokens) - lead - tokens[lead:].count(END)
+                    found[b""] = found.get(b"", 0) + len(tokens) - lead - tokens[lead:].count(END)
                     for n, starts, keys in sequences(tokens, lead, lang, hashes, bits, LONGEST):
                         _, first, times = np.unique(keys, return_index=True, return_counts=True)
                         for i, k in zip(starts[first].tolist(), times.tolist()):
@@ -294,13 +296,43 @@ def _exact_counts(shared):
                             found[phrase] = found.get(phrase, 0) + k
                 if sum(map(len, gathered.values())) >= GATHERED >> 4:
                     yield sent()
-                    found = gathered.setdefault(lang, {})
-        if totals:
+        if any(gathered.values()):
             yield sent()
 
     return run
 
 
+def _added(least: int):
+    """Task function: (lang, phrase, words, times) of a part's phrases with ``least`` occurrences, from its packed counts."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        of, sums = None, {}
+
+        def kept():
+            rows = [(lang, phrase or None, phrase.count(b" ") + 1, n) for (lang, phrase), n in sums.items() if n >= least or not phrase]
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([
+                pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int32()),
+                pa.array(columns[3], pa.int64())], names=["lang", "phrase", "words", "times"])
+
+        for batch in batches:
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if part != of and of is not None:
+                    yield kept()
+                    sums.clear()
+                of, lang = part, batch.column("lang")[i].as_py()
+                times = np.frombuffer(batch.column("times")[i].as_buffer(), np.int64).tolist()
+                for phrase, n in zip(batch.column("phrases")[i].as_py().split(b"\n"), times):
+                    sums[lang, phrase] = sums.get((lang, phrase), 0) + n
+        if sums:
+            yield kept()
+
+    return run
+
+
 def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, times) of all sequences of 1 to LONGEST words with ``least`` occurrences; phrase null: all words.
 
@@ -317,20 +349,22 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a word and the blank after it have two bytes at least
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-    bits, shared = None, None
+    bits, shared, survived = None, None, 0
     for lengths in (1, 2), (3, LONGEST):
         mass = words * (lengths[1] - lengths[0] + 1)
         parts = max(spark.sparkContext.defaultParallelism * 2, -(-mass * HEADROOM // (COUNTERS * least)))
         capacity = max(1 << 12, -(-mass * HEADROOM // (parts * least)))
         counted = rows.mapInArrow(_local_counts(parts, lengths, shared), "part int, keys binary, counts binary")
         found = materialized(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_survivors(capacity, least), "key bigint"))
+        survived += found.count()
         bits = survivor_filter(found) if bits is None else bits | survivor_filter(found)
         if shared is not None:
             shared.unpersist()
         shared = spark.sparkContext.broadcast(bits)
-    exact = rows.mapInArrow(_exact_counts(shared), "lang string, phrase string, words int, times bigint")
-    counts = materialized(exact.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times")).where(
-        (F.col("times") >= least) | F.col("phrase").isNull()))
+    parts = max(parts, -(-survived // SURVIVORS_EACH))
+    exact = rows.mapInArrow(_exact_counts(shared, parts), "part int, lang string, phrases binary, times binary")
+    counts = materialized(exact.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        _added(least), "lang string, phrase string, words int, times bigint"))
     shared.unpersist()
     return counts
 
