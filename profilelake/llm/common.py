@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,3 +163,64 @@ def words(values, offsets):
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(begins, offsets)))
     return mixed((prefix[ends] - prefix[begins]) * back[begins]), row
+
+
+class KeyFilter:
+    """Which 64-bit keys may be among those of a table: a Bloom filter of fixed size, whatever the table.
+
+    It is built in tasks and broadcast (16 MB). With very many keys it lets
+    more pass that are not in the table, never fewer that are.
+    """
+
+    BITS = 27
+    PROBES = 4
+
+    def __init__(self, keys: DataFrame, column: str, bits=None):
+        """Over the keys of ``column``, and those of ``bits``, the words of another filter."""
+        import numpy as np
+
+        rows = keys.select(F.col(column).cast("bigint").alias("key")).mapInArrow(_set_words, "word int, bits bigint")
+        rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.BITS - 6), np.uint64) if bits is None else bits.copy()
+        self.words[rows.column("word").to_numpy()] |= rows.column("bits").to_numpy().view(np.uint64)
+        self.shared = keys.sparkSession.sparkContext.broadcast(self.words)
+
+    @classmethod
+    def places(cls, keys):
+        import numpy as np
+
+        for i in range(cls.PROBES):
+            yield mixed(keys + np.uint64((i + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - cls.BITS)
+
+    @classmethod
+    def test(cls, words, keys):
+        """Whether each of ``keys`` passes, in a task."""
+        import numpy as np
+
+        ok = np.ones(len(keys), bool)
+        for at in cls.places(keys):
+            at = at[ok]
+            ok[ok] = (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return ok
+
+    def passes(self, column):
+        """Whether a key passes, as a column."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def inside(keys: pd.Series) -> pd.Series:
+            return pd.Series(KeyFilter.test(shared.value, keys.to_numpy().view("uint64")))
+
+        return inside(column)
+
+
+def _set_words(batches: Iterator) -> Iterator:
+    """(word, bits) of the filter's 64-bit words that a batch of keys sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        at = np.unique(np.concatenate(list(KeyFilter.places(batch.column("key").drop_null().to_numpy().view(np.uint64)))))
+        word, first = np.unique(at >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])

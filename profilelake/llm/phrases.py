@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilelake.llm.common import mixed
+from profilelake.llm.common import KeyFilter, mixed
 from profilelake.operators.ranking import top_n_per_key
 from profilelake.session import materialized
 
@@ -20,8 +20,6 @@ COUNTERS = 1 << 20          # counters of a hash partition's summary (16 MB)
 HEADROOM = 4                # counters there are for each that the guarantee needs
 GATHERED = 1 << 22          # sequences a task counts before it sends them
 SLICE_BYTES = 2 << 20       # text cut into words at a time
-FILTER_BITS = 27            # bits of the filter of survivors, as a power of two: 16 MB, whatever the data
-FILTER_PROBES = 4
 SURVIVORS_EACH = 1 << 18    # phrases whose exact counts one task adds up
 END = b"."                  # stands for any sign that ends a piece
 
@@ -100,7 +98,7 @@ def sequences(tokens: list[bytes], lead: int, lang: str, hashes: _Hashes, bits=N
     key = mixed(word[here] ^ seed)
     while len(here):
         if n <= tested:
-            ok = _passes(bits, key)
+            ok = KeyFilter.test(bits, key)
             here, key = here[ok], key[ok]
         new = here + n > lead           # the last word lies after the lead
         yield n, here[new], key[new]
@@ -222,46 +220,6 @@ def _survivors(capacity: int, least: int):
 
 # ------------------------------------------------------------ second pass
 
-def _probes(keys):
-    import numpy as np
-
-    for i in range(FILTER_PROBES):
-        yield mixed(keys + np.uint64((i + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - FILTER_BITS)
-
-
-def _passes(bits, keys):
-    import numpy as np
-
-    ok = np.ones(len(keys), bool)
-    for at in _probes(keys):
-        at = at[ok]
-        ok[ok] = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-    return ok
-
-
-def _filter_words(batches: Iterator) -> Iterator:
-    """(word, bits) of the filter's 64-bit words that the keys of a task set."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        keys = batch.column("key").to_numpy().view(np.uint64)
-        at = np.unique(np.concatenate(list(_probes(keys))))
-        word, first = np.unique(at >> np.uint64(6), return_index=True)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-
-def survivor_filter(keys: DataFrame):
-    """The keys as a Bloom filter of fixed size: a numpy array of 64-bit words (16 MB at most, built in tasks)."""
-    import numpy as np
-
-    rows = keys.mapInArrow(_filter_words, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return words
-
-
 def _exact_counts(shared, parts: int):
     """Task function: (part, lang, phrases, times), packed, of the sequences that pass the filter; an empty phrase: all words."""
 
@@ -357,10 +315,10 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
         counted = rows.mapInArrow(_local_counts(parts, lengths, shared), "part int, keys binary, counts binary")
         found = materialized(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_survivors(capacity, least), "key bigint"))
         survived += found.count()
-        bits = survivor_filter(found) if bits is None else bits | survivor_filter(found)
         if shared is not None:
             shared.unpersist()
-        shared = spark.sparkContext.broadcast(bits)
+        known = KeyFilter(found, "key", bits)
+        bits, shared = known.words, known.shared
     parts = max(parts, -(-survived // SURVIVORS_EACH))
     exact = rows.mapInArrow(_exact_counts(shared, parts), "part int, lang string, phrases binary, times binary")
     counts = materialized(exact.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(

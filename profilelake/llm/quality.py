@@ -15,6 +15,7 @@ SHAPES = 3                  # words like the one before, pairs of capitals, pair
 FEATURES = PAIRS + SHAPES
 SHAPE_WEIGHT = 9            # a shape counts as so many byte pairs
 TOPICS = 48                 # dimensions of the latent space
+ITERATIONS = 12             # of the search for them
 NEIGHBOURS = 15
 SHARPNESS = 8               # a neighbour's vote is its cosine to this power
 SAMPLE_ROWS = 4_096         # labelled texts that are broadcast, at most (0.8 MB of vectors)
@@ -67,6 +68,19 @@ def feature_blocks(batch, column: str) -> Iterator[tuple]:
                 yield s, e, text_counts(part, marks)
 
 
+def leading(rows, topics: int):
+    """The ``topics`` leading right singular vectors, by subspace iteration: no matrix of columns by columns is made."""
+    import numpy as np
+
+    width = min(topics + 16, rows.shape[1])
+    basis = np.random.default_rng(0).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(ITERATIONS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    inner = (rows @ basis).astype(np.float64)
+    turn = np.linalg.eigh(inner.T @ inner)[1][:, ::-1][:, :topics]
+    return (basis @ turn).astype(np.float32)
+
+
 class NeighbourVote:
     """Latent-semantic vectors of labelled texts, and the vote over them."""
 
@@ -76,9 +90,10 @@ class NeighbourVote:
         labels = np.asarray(labels, np.float32)
         df = (counts > 0).sum(axis=0)
         self.idf = np.log((1 + len(counts)) / (1 + df)).astype(np.float32) + 1
-        weighted = self.weigh(counts)
-        values, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        self.basis = vectors[:, ::-1][:, :TOPICS].astype(np.float32)
+        weighted = np.empty_like(counts)
+        for at in range(0, len(counts), BLOCK_ROWS):
+            weighted[at:at + BLOCK_ROWS] = self.weigh(counts[at:at + BLOCK_ROWS])
+        self.basis = leading(weighted, TOPICS)
         self.known = self.unit(weighted @ self.basis)
         self.labels, self.prior = labels, float(labels.mean())
 
@@ -132,11 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     # one text per id, the first by its counts
     sample = texts.select("i", "y", "t").mapInArrow(run, schema).groupBy("i").agg(F.min("y").alias("y"), F.min("counts").alias("counts"))
-    got = sample.orderBy("i").collect()
-    if not got:
+    # the bound is ``rows``: 33 MB
+    got = sample.orderBy("i").toArrow()
+    if not got.num_rows:
         return None
-    return NeighbourVote(np.frombuffer(b"".join(bytes(r["counts"]) for r in got), np.float32).reshape(len(got), FEATURES),
-                         [r["y"] for r in got])
+    counts = np.empty((got.num_rows, FEATURES), np.float32)
+    at = 0
+    for chunk in got.column("counts").chunks:
+        counts[at:at + len(chunk)] = np.frombuffer(chunk.buffers()[2], np.float32, len(chunk) * FEATURES, chunk.offset * FEATURES * 4).reshape(-1, FEATURES)
+        at += len(chunk)
+    labelled = got.column("y").to_numpy()
+    del got, chunk
+    return NeighbourVote(counts, labelled)
 
 
 def score(docs: DataFrame, model: NeighbourVote | None, *, text_col: str = "text", column: str = "score") -> DataFrame:

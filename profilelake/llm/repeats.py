@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilelake.llm.common import arrow_schema, mixed, sorted_groups, text_bytes
+from profilelake.llm.common import KeyFilter, arrow_schema, mixed, sorted_groups, text_bytes
 from profilelake.llm.langid import row_slices
 from profilelake.session import materialized
 
@@ -342,15 +342,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # written, so that both sides of the join are plain shuffles, which the engine can split where an anchor is hot
     again = materialized(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     low = (1 << PLACE) - 1
-    here = found.join(again, "anchor").select(
+    # anchors that occur once hardly reach the join, and documents without another one are settled where they are read
+    here = found.where(KeyFilter(again, "anchor").passes("anchor")).join(again, "anchor").select(
         "doc", "print", "anchor", "snippet", "mixed", F.shiftright("place", 2 * PLACE).cast("int").alias("start"),
         F.shiftright("place", PLACE).bitwiseAND(F.lit(low)).cast("int").alias("starts"), F.col("place").bitwiseAND(F.lit(low)).cast("int").alias("at"))
     # equal snippets only: all their strings repeat; otherwise the bytes decide
     marks = here.groupBy("doc", "print").agg(
-        F.collect_list(F.when(~F.col("mixed"), F.struct("start", "starts"))).alias("sure"),
-        F.collect_list(F.when(F.col("mixed"), F.struct("anchor", "snippet", "start", "starts", "at"))).alias("open"))
-    marked = base.join(marks, ["doc", "print"], "left").select("id", "doc", "print", "text", "sure", "open")
-    state = materialized(_settle(marked, length, digest))
+        # sets, since repeated rows have the same marks
+        F.collect_set(F.when(~F.col("mixed"), F.struct("start", "starts"))).alias("sure"),
+        F.collect_set(F.when(F.col("mixed"), F.struct("anchor", "snippet", "start", "starts", "at"))).alias("open"))
+    marks = materialized(marks)
+    keyed = base.withColumn("marked", KeyFilter(marks.select(F.xxhash64("doc", "print").alias("key")), "key").passes(F.xxhash64("doc", "print")))
+    clean = keyed.where("NOT marked").select("id", "doc", "print", "text", F.lit(None).cast(SURE_TYPE).alias("sure"), F.lit(None).cast(OPEN_TYPE).alias("open"))
+    marked = keyed.where("marked").drop("marked").join(marks, ["doc", "print"], "left").select("id", "doc", "print", "text", "sure", "open")
+    state = materialized(_settle(clean.unionByName(marked), length, digest))
     unsettled = state.where("open IS NOT NULL")
 
     uses = unsettled.select("doc", "print", F.col("text").cast("binary").alias("data"), F.explode("open").alias("o")).select(
@@ -359,22 +364,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.count(F.lit(1)).alias("n"), F.min("starts").alias("starts"), F.min("at").alias("at"), F.min("bytes").alias("bytes")))
     repeats = _repeats(snippets, length, gram).where("count > 0")
     ranges = uses.drop("bytes", "starts").join(repeats, ["anchor", "snippet"]).groupBy("doc", "print").agg(
-        F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), F.col("count").alias("starts"))).alias("more"))
+        F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), F.col("count").alias("starts"))).alias("more"))
     rest = unsettled.join(ranges, ["doc", "print"], "left").select(
-        "id", "doc", "print", "text", F.concat("sure", F.coalesce("more", F.array().cast("array<struct<start:int,starts:int>>"))).alias("sure"),
+        "id", "doc", "print", "text", F.concat("sure", F.coalesce("more", F.array().cast(SURE_TYPE))).alias("sure"),
         F.lit(None).cast(OPEN_TYPE).alias("open"))
     columns = ["id", "n_bytes", "spans", "kept"]
     done = state.where("open IS NULL").select(*columns).unionByName(_settle(rest, length, digest).select(*columns))
     return done.withColumnRenamed("id", id_col)
 
 
+SURE_TYPE = "array<struct<start:int,starts:int>>"
 OPEN_TYPE = "array<struct<anchor:bigint,snippet:bigint,start:int,starts:int,at:int>>"
 
 
 def _settle(marked: DataFrame, length: int, digest: bool) -> DataFrame:
     """Spans and kept bytes of rows without open snippets; the others go on with their text."""
     schema = ("id bigint, doc bigint, print bigint, n_bytes bigint, spans array<struct<start:bigint,`end`:bigint>>, "
-              f"kept {'string' if digest else 'binary'}, text string, sure array<struct<start:int,starts:int>>, open {OPEN_TYPE}")
+              f"kept {'string' if digest else 'binary'}, text string, sure {SURE_TYPE}, open {OPEN_TYPE}")
     out = arrow_schema(schema)
 
     def run(batches: Iterator) -> Iterator:

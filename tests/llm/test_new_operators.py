@@ -211,3 +211,51 @@ def test_perfect_hash(pairs):
     assert found.all() and (again == at).all()
     found, _ = shard.ask(h, f ^ np.uint64(1))
     assert all((int(a), int(b)) in pairs for a, b in zip(h[found], (f ^ np.uint64(1))[found]))
+
+
+# ---------------------------------------------------------------- repeats and quality, again
+
+def test_repeats_of_very_many_equal_rows(spark):
+    """5000 rows of one text without an id: time and state grow with the rows, not with their square."""
+    from profilelake.llm import repeats
+
+    text = " ".join(f"word{i * 7919 % 1009}" for i in range(500))
+    docs = spark.range(0, 5000, 1, 8).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    got = repeats.remove_repeats(docs, digest=True).groupBy("n_bytes", "kept").count().collect()
+    assert got == [(len(text), hashlib.sha256(b"").hexdigest(), 5000)]
+
+
+def test_leading_vectors():
+    from profilelake.llm import quality
+
+    rng = np.random.default_rng(1)
+    rows = (rng.standard_normal((300, 20)) * np.linspace(9, 1, 20) ** 2) @ rng.standard_normal((20, 90))
+    got = quality.leading(rows.astype(np.float32), 8)
+    want = np.linalg.svd(rows, full_matrices=False)[2][:8]
+    assert np.allclose(np.abs(np.sum(got.T * want, axis=1)), 1, atol=1e-3)
+
+
+def test_vote_against_brute_force():
+    """The vote equals one counted text by text over all labelled vectors."""
+    from profilelake.llm import quality
+
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.3, (80, quality.FEATURES)).astype(np.float32)
+    model = quality.NeighbourVote(counts[:60], rng.integers(0, 2, 60))
+    got = model.score(counts[60:])
+    for row, score in zip(counts[60:], got):
+        x = row * model.idf
+        x = (x / np.linalg.norm(x)) @ model.basis
+        x /= np.linalg.norm(x)
+        near = sorted(((float(x @ k), float(y)) for k, y in zip(model.known, model.labels)), reverse=True)[:quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality.SHARPNESS, y) for c, y in near]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
+
+
+def test_key_filter(spark):
+    from profilelake.llm.common import KeyFilter
+
+    keys = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("key"))
+    kept = spark.range(5000).where(KeyFilter(keys, "key").passes(F.xxhash64("id"))).collect()
+    assert {r["id"] for r in kept} >= set(range(0, 5000, 7)) and len(kept) < 730
+    assert spark.range(50).where(KeyFilter(keys.limit(0), "key").passes(F.xxhash64("id"))).count() == 0
