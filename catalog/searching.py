@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import DIST, M, MD, centroids, measurements, metadata, ntz, table, vector_documents
+from catalog.inputs import DIST, M, MD, P, QS, centroids, measurements, metadata, ntz, positions, table, vector_documents
 from catalog.registry import query
+from catalog.triaging import ANALYZED, AS_OF
 from profilelake.functions.text import row_map, row_text
 from profilelake.operators import candidates, vectors
 from profilelake.plans.context import KEY
+from profilelake.plans.guarded import guarded_run
 from profilelake.plans.retrieval import result_rows, run_questions
 
 
@@ -178,3 +180,63 @@ def document_maps(spark, d):
     o = table(spark, d, "orders")
     names = ["o_orderkey", "o_orderdate", "o_orderstatus"]
     return o.select("o_orderkey", row_text(o, names).alias("document"), row_map(o, names)["o_orderdate"].alias("date_text"))
+
+
+# One question per supplier, some with a region, a platform or limits of its own.
+_ASKED = """CASE s_suppkey % 6
+ WHEN 0 THEN 'Show me temperature profiles near ' || CAST(s_suppkey % 80 AS STRING) || ', ' || CAST(s_nationkey * 7 % 170 AS STRING)
+ WHEN 1 THEN 'Compare temperature vs salinity at lat 10 to 20 lon 30 to 60'
+ WHEN 2 THEN 'Show me the temperature of platform ' || CAST(1000 + s_suppkey % 20 AS STRING)
+ WHEN 3 THEN 'Give float details for platform 1003'
+ WHEN 4 THEN 'What is the average temperature of all floats?'
+ ELSE 'Show me pressure profiles near 89.9, 179.9' END"""
+_LIMITS = {
+    "year": "CASE WHEN s_suppkey % 5 = 3 THEN '1996' END",
+    "months": "CASE s_suppkey % 5 WHEN 1 THEN {0}('03', '1995_07') WHEN 3 THEN {0}('01', '12') WHEN 4 THEN {0}('06') END",
+    "date_from": "CASE s_suppkey % 5 WHEN 2 THEN TIMESTAMP '1994-01-15' WHEN 4 THEN TIMESTAMP '1992-06-01' END",
+    "date_to": "CASE s_suppkey % 5 WHEN 2 THEN TIMESTAMP '1994-03-10' WHEN 4 THEN TIMESTAMP '1998-12-31' END",
+}
+
+
+def _guarded(spark, d):
+    centres = centroids(spark, d).withColumnRenamed("query_id", "label")
+    asked = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("query_id"), F.expr(_ASKED).alias("text"), (F.col("s_suppkey") % 10).cast("bigint").alias("label"),
+        *[F.expr(e.format("array")).alias(c) for c, e in _LIMITS.items()]).join(centres, "label").drop("label")
+    core = measurements(spark, d).withColumns({
+        "platform_number": F.col("platform_number") + 1000, "PSAL": F.when(F.col("PRES") > 45, F.col("PSAL"))})
+    docs = vector_documents(spark, d).withColumn(
+        "metadata", F.map_concat(F.create_map(F.lit("PLATFORM"), (F.col("platform_number") + 1000).cast("string")),
+                                 F.map_filter("metadata", lambda k, v: k != "Platform_Number")))
+    about = metadata(spark, d).withColumn("platform_number", F.col("platform_number") + 1000)
+    return guarded_run(asked, docs, core, [about], positions(spark, d), top_k=40, as_of=F.lit(AS_OF).cast("date"))
+
+
+_GUARDED = ANALYZED.replace(QS, f"qs AS (SELECT CAST(s_suppkey AS BIGINT) AS query_id, {_ASKED} AS text FROM supplier)")
+
+
+@query("guarded_job", f"""WITH {_GUARDED}, {P}, {_HITS.replace("id % 10 AS platform_number", "1000 + id % 10 AS platform_number")}, {M},
+rate AS (SELECT 1 - avg(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS psal FROM lineitem),
+b AS (SELECT query_id, count(p.PLATFORM_NUMBER) AS region_hits FROM (SELECT * FROM an WHERE lat_min IS NOT NULL AND intent IN ('measurement', 'compare', 'nearest', 'qc_query'))
+ LEFT JOIN p ON LATITUDE BETWEEN lat_min AND lat_max AND LONGITUDE BETWEEN lon_min AND lon_max GROUP BY query_id),
+g AS (SELECT an.query_id, intent, region_hits, CASE
+ WHEN region_hits = 0 THEN 'INSUFFICIENT_DATA_REGION'
+ WHEN intent IN ('measurement', 'compare', 'nearest', 'qc_query') AND coalesce(an.platform_number, 0) <> 0
+  AND an.platform_number NOT IN (SELECT platform_number + 1000 FROM m) THEN 'INSUFFICIENT_DATA_PLATFORM'
+ WHEN contains(variables, 'PSAL') AND (SELECT psal FROM rate) > 0.8 THEN 'INSUFFICIENT_DATA_NULLRATE_PSAL'
+ ELSE 'PROCEED_RAG' END AS decision FROM an LEFT JOIN b USING (query_id)),
+s AS (SELECT CAST(s_suppkey AS BIGINT) AS query_id, s_suppkey % 10 AS label, {", ".join(f"{e.format('list_value')} AS {c}" for c, e in _LIMITS.items())}
+ FROM supplier SEMI JOIN (SELECT * FROM g WHERE decision = 'PROCEED_RAG') x ON x.query_id = s_suppkey),
+h AS (SELECT s.query_id, hits.platform_number, hits.profile_index FROM s JOIN hits ON hits.query_id = s.label),
+w AS (SELECT DISTINCT s.*, h.platform_number FROM s JOIN h USING (query_id)),
+r AS (SELECT w.query_id, m.* FROM w JOIN m ON m.platform_number + 1000 = w.platform_number
+ WHERE (w.year IS NULL OR m.year = w.year) AND (months IS NULL OR list_contains(months, m.month) OR list_contains(months, m.year || '_' || m.month))
+  AND (date_from IS NULL OR juld BETWEEN date_from AND date_to)
+ QUALIFY row_number() OVER (PARTITION BY w.query_id, m.year, m.month, m.platform_number, profile_index ORDER BY juld DESC, level_index, row_ordinal) <= 500),
+n AS (SELECT query_id, count(*) AS numeric_rows, min(juld) AS juld_min, max(juld) AS juld_max FROM r GROUP BY query_id)
+SELECT g.query_id, intent, decision, CASE WHEN decision = 'PROCEED_RAG' THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS status, region_hits,
+ CASE WHEN decision = 'PROCEED_RAG' THEN (SELECT count(*) FROM h WHERE h.query_id = g.query_id) END AS retrieved_count,
+ CASE WHEN decision = 'PROCEED_RAG' THEN coalesce(numeric_rows, 0) END AS numeric_rows, juld_min, juld_max FROM g LEFT JOIN n USING (query_id)""")
+def guarded_job(spark, d):
+    return ntz(_guarded(spark, d).audit.select(
+        "query_id", "intent", "decision", "status", "region_hits", "retrieved_count", "numeric_rows", "juld_min", "juld_max"))

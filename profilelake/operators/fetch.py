@@ -135,6 +135,67 @@ def fetch_measurements(core: DataFrame, platforms: DataFrame, *, months: Sequenc
     return top_n_per_key(rows, keys, order, cap)
 
 
+LIMITS = ("year", "months", "date_from", "date_to")
+WIDEST = 240        # months of a date range that is cut into monthly keys
+
+
+def with_window(questions: DataFrame, name: str = "window") -> DataFrame:
+    """Add the question's limits as one text; equal limits give equal texts. Absent columns set no limit."""
+    given = [(F.array_sort(F.transform("months", lambda m: F.trim(m))) if c == "months" else F.col(c)).cast("string").alias(c)
+             for c in LIMITS if c in questions.columns]
+    return questions.withColumn(name, F.to_json(F.struct(*given)) if given else F.lit("{}"))
+
+
+def fetch_in_windows(core: DataFrame, asked: DataFrame, *, cap: int = FETCH_CAP) -> DataFrame:
+    """Latest ``cap`` rows per (window, year, month, platform, profile), each window with limits of its own.
+
+    ``asked``: window, platform_number and the limits year, months ('MM' or
+    'YYYY_MM'), date_from and date_to, null or absent where there is none. As in
+    :func:`fetch_measurements`, a date range counts only with both ends, and its
+    end is the instant itself.
+
+    Equal windows share their rows. The interval join is one by equality: a date
+    range becomes one key per calendar month, matched with the month of the
+    row's time; other limits (and ranges of over WIDEST months) become the month
+    folders they allow, so that folders no window asks for are not read. The
+    exact limits are compared after that. A row meets each window at most once.
+    """
+    dtype = core.schema["juld"].dataType.simpleString()
+    limits = [F.col(c).cast(t) if c in asked.columns else F.lit(None).cast(t)
+              for c, t in zip(LIMITS, ("string", "array<string>", dtype, dtype))]
+    asked = asked.where("platform_number IS NOT NULL").select(
+        F.col("window"), F.col("platform_number").cast(core.schema["platform_number"].dataType).alias("platform_number"),
+        *[x.alias(f"_{c}") for x, c in zip(limits, LIMITS)]).dropDuplicates(["window", "platform_number"])
+    dated = F.col("_date_from").isNotNull() & F.col("_date_to").isNotNull()
+    month_of = lambda c: F.year(c) * 12 + F.month(c)
+    short = F.coalesce(dated & (month_of("_date_to") - month_of("_date_from") < WIDEST), F.lit(False))
+
+    # the month folders of the table: a list as long as its months
+    folders = sorted({(r["year"], r["month"]) for r in core.select("year", "month").distinct().collect() if r["month"] is not None and r["year"] is not None})
+    listed = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(m).alias("m")) for y, m in folders]) if folders else F.array().cast("array<struct<y:string,m:string>>")
+
+    def allowed(y, m):
+        named = F.exists("_months", lambda x: (F.trim(x) == m) | (F.trim(x) == F.concat(y, F.lit("_"), m)))
+        return (F.col("_year").isNull() | (F.col("_year") == y)) & (F.col("_months").isNull() | (F.size("_months") == 0) | named)
+
+    rows = core.select(*dict.fromkeys(["year", "month", *[c for c in ("row_ordinal",) if c in core.columns],
+                                       *[c for c in FETCH_COLUMNS if c in core.columns]]))
+    by_month = asked.where(short & (F.col("_date_from") <= F.col("_date_to"))).withColumn(
+        "_key", F.explode(F.sequence(month_of("_date_from"), month_of("_date_to"))))
+    first = rows.withColumn("_key", month_of("juld")).join(by_month, ["platform_number", "_key"]).where(
+        F.col("juld").between(F.col("_date_from"), F.col("_date_to")) & allowed(F.col("year"), F.col("month")))
+    by_folder = asked.where(~short).withColumn("_f", F.explode(F.filter(listed, lambda f: allowed(f["y"], f["m"])))).withColumns(
+        {"year": F.col("_f.y"), "month": F.col("_f.m")}).drop("_f")
+    second = rows.join(by_folder, ["platform_number", "year", "month"]).where(
+        ~dated | F.col("juld").between(F.col("_date_from"), F.col("_date_to")))
+    names = ["window", *rows.columns]
+    found = first.select(*names).unionByName(second.select(*names))
+    keys = ["window", "year", "month", "platform_number", "profile_index"]
+    lead = [c for c in ("level_index", "row_ordinal") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in keys and c not in lead and c != "juld"]
+    return top_n_per_key(found, keys, [F.col("juld").desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in lead + rest], cap)
+
+
 def choose_metadata(full: DataFrame, clean: DataFrame, year: str) -> DataFrame:
     """Metadata rows to read for a year: full of that year, else clean of that
     year, else any full, else any clean. Each probe reads one row."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.candidates import build_candidates, ranked_candidates
-from profilelake.operators.fetch import fetch_measurements, fetch_metadata, find_column, for_platforms
+from profilelake.operators.fetch import LIMITS, fetch_in_windows, fetch_measurements, fetch_metadata, find_column, for_platforms, with_window
 from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
@@ -39,14 +39,17 @@ def question_platforms(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metadata: Sequence[DataFrame], *,
                   top_k: int = 20, months: Sequence[str] | None = None, date_from: str | None = None,
-                  date_to: str | None = None, cap: int = FETCH_CAP, doc_platform: str | None = None) -> Retrieval:
+                  date_to: str | None = None, cap: int = FETCH_CAP, doc_platform: str | None = None,
+                  own_windows: bool = False) -> Retrieval:
     """Search, candidates, capped fetch and context for a table of questions
     (query_id, text, embedding).
 
     Measurements are filtered and capped once for the platforms of all
     questions together, then matched to the questions that asked for them.
     A question that names a platform searches only that platform's documents
-    (``doc_platform``: the documents' numeric platform column).
+    (``doc_platform``: the documents' numeric platform column). With
+    ``own_windows`` each question has limits of its own in the columns year,
+    months, date_from and date_to, and they are joined, not filtered one by one.
     """
     queries = questions.withColumn("_platform", platform_filter(F.col("text")))
     # hits, candidates and fetched rows each feed several branches below
@@ -57,8 +60,14 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
         serials = serials.unionByName(m, allowMissingColumns=True)
     wanted = materialized(question_platforms(candidates, serials))
     platforms = wanted.select("platform_number").distinct()
-    capped = fetch_measurements(core, platforms, months=months, date_from=date_from, date_to=date_to, cap=cap).drop("rank")
-    rows = materialized(capped.join(wanted, "platform_number"))
+    if own_windows:
+        limited = with_window(questions.select(KEY, *[c for c in LIMITS if c in questions.columns]))
+        asked = wanted.join(limited, KEY)
+        capped = fetch_in_windows(core, asked, cap=cap).drop("rank")
+        rows = materialized(capped.join(asked.select(KEY, "window", "platform_number"), ["window", "platform_number"]).drop("window"))
+    else:
+        capped = fetch_measurements(core, platforms, months=months, date_from=date_from, date_to=date_to, cap=cap).drop("rank")
+        rows = materialized(capped.join(wanted, "platform_number"))
     about = fetch_metadata(metadata, platforms).join(wanted, "platform_number")
     texts = questions.select(KEY, "text")
     full = assemble(texts.join(candidates.select(KEY), KEY, "left_semi"), hits, rows, about)
