@@ -9,6 +9,7 @@ from profilelake.functions.text import row_map, row_text
 from profilelake.operators import candidates, vectors
 from profilelake.plans.context import KEY
 from profilelake.plans.guarded import guarded_run
+from profilelake.plans.job_visuals import job_visuals
 from profilelake.plans.retrieval import result_rows, run_questions
 
 
@@ -240,3 +241,60 @@ SELECT g.query_id, intent, decision, CASE WHEN decision = 'PROCEED_RAG' THEN 'OK
 def guarded_job(spark, d):
     return ntz(_guarded(spark, d).audit.select(
         "query_id", "intent", "decision", "status", "region_hits", "retrieved_count", "numeric_rows", "juld_min", "juld_max"))
+
+
+_WISHES = """CASE s_suppkey % 5 WHEN 0 THEN 'temperature trend over time' WHEN 1 THEN 'vertical temperature profile'
+ WHEN 2 THEN 'average salinity' WHEN 3 THEN 'where are these floats, near the equator' ELSE 'list the projects' END"""
+
+
+def _drawn(spark, d):
+    """The retrieval job over one question per supplier, its questions and visuals."""
+    centres = centroids(spark, d).withColumnRenamed("query_id", "label")
+    asked = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("query_id"), F.expr(_WISHES).alias("text"),
+        (F.col("s_suppkey") % 10).cast("bigint").alias("label")).join(centres, "label").drop("label")
+    run = run_questions(asked, vector_documents(spark, d), measurements(spark, d), [metadata(spark, d)], top_k=40)
+    places = positions(spark, d).withColumn("PLATFORM_NUMBER", F.col("PLATFORM_NUMBER") % 10).withColumn("row_ordinal", F.col("value"))
+    return run, job_visuals(run, asked, places)
+
+
+_DRAWN = f"""{_HITS}, {_CAPPED}, {P}, {MD},
+w AS (SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS query_id, s_suppkey % 5 AS wish, platform_number FROM supplier JOIN hits ON hits.query_id = s_suppkey % 10),
+r AS (SELECT w.query_id, w.wish, c.* FROM w JOIN capped c USING (platform_number)),
+x AS (SELECT query_id, wish, 'chart' AS visual_kind, strftime(juld, '%Y-%m-%dT%H:%M:%S') AS text, CAST(NULL AS DOUBLE) AS first, CAST(TEMP AS DOUBLE) AS second,
+  row_number() OVER (PARTITION BY query_id ORDER BY juld, platform_number, profile_index, level_index, TEMP) - 1 AS nth, count(*) OVER (PARTITION BY query_id) AS row_count FROM r WHERE wish = 0
+ UNION ALL SELECT query_id, wish, 'chart', NULL, CAST(PRES AS DOUBLE), CAST(TEMP AS DOUBLE),
+  row_number() OVER (PARTITION BY query_id ORDER BY PRES, platform_number, profile_index, level_index, TEMP) - 1, count(*) OVER (PARTITION BY query_id) FROM r WHERE wish = 1),
+t AS (SELECT * FROM x WHERE row_count <= 200 OR nth IN (SELECT i * (x.row_count - 1) // 199 FROM range(200) s(i))),
+vc AS (SELECT query_id, visual_kind, row_count, row_number() OVER (PARTITION BY query_id ORDER BY nth) - 1 AS nth, text, first, second FROM t),
+va AS (SELECT query_id, 'table' AS visual_kind, CAST(1 AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS text, CAST(count(PSAL_ADJUSTED) AS DOUBLE) AS first,
+  round(avg(PSAL_ADJUSTED), 9) AS second FROM r WHERE wish = 2 GROUP BY query_id),
+vf AS (SELECT query_id, count(*) OVER (PARTITION BY query_id) AS row_count, p.*, row_number() OVER (PARTITION BY query_id ORDER BY value, LATITUDE, LONGITUDE, p.PLATFORM_NUMBER) AS n
+ FROM (SELECT w.* FROM w JOIN md ON md.platform_number = w.platform_number) w JOIN (SELECT * REPLACE (PLATFORM_NUMBER % 10 AS PLATFORM_NUMBER) FROM p) p ON p.PLATFORM_NUMBER = w.platform_number WHERE wish = 3),
+vm AS (SELECT query_id, 'map' AS visual_kind, row_count, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS nth, CAST(PLATFORM_NUMBER AS VARCHAR) AS text, LATITUDE AS first, LONGITUDE AS second
+ FROM vf WHERE n <= 200 AND LATITUDE IS NOT NULL AND LONGITUDE IS NOT NULL),
+vl AS (SELECT query_id, 'table' AS visual_kind, count(*) OVER (PARTITION BY query_id) AS row_count, row_number() OVER (PARTITION BY query_id ORDER BY w.platform_number) - 1 AS nth,
+  project_name AS text, CAST(w.platform_number AS DOUBLE) AS first, CAST(NULL AS DOUBLE) AS second FROM w JOIN md ON md.platform_number = w.platform_number WHERE wish = 4)"""
+
+
+@query("job_visuals", f"""WITH {_DRAWN} SELECT * FROM vc UNION ALL SELECT * FROM va UNION ALL SELECT * FROM vm UNION ALL SELECT * FROM vl""")
+def drawn(spark, d):
+    """Every point, place and line that the visuals of all questions hold, read back from their JSON."""
+    v = F.try_parse_json("visual_json")
+    seen = _drawn(spark, d)[1].select("query_id", "visual_kind", v.alias("v"), F.try_variant_get(v, "$.row_count", "bigint").alias("row_count"))
+    cells = F.coalesce(*[F.try_variant_get("v", f"$.{name}", "array<variant>") for name in ("data", "points", "rows")])
+    one = seen.select("query_id", "visual_kind", "row_count", F.try_variant_get("v", "$.xKey", "string").alias("x"), F.posexplode(cells).alias("nth", "c"))
+
+    def text(path):
+        return F.try_variant_get("c", path, "string")
+
+    def number(path):
+        return F.try_variant_get("c", path, "double")
+
+    table_ = F.col("visual_kind") == "table"
+    aggregate = F.schema_of_variant("c").isNotNull() & table_ & text("$[1]").rlike("^[0-9.]+$")
+    return one.select(
+        "query_id", "visual_kind", "row_count", F.col("nth").cast("bigint").alias("nth"),
+        F.when(F.col("visual_kind") == "map", text("$.label")).when(table_ & ~aggregate, text("$[1]")).when(F.col("x") == "juld", text("$.juld")).alias("text"),
+        F.when(F.col("visual_kind") == "map", number("$.lat")).when(table_, number("$[0]")).when(F.col("x") == "PRES", number("$.PRES")).alias("first"),
+        F.when(F.col("visual_kind") == "map", number("$.lon")).when(aggregate, F.round(number("$[1]"), 9)).when(~table_, number("$.TEMP")).alias("second"))

@@ -79,6 +79,28 @@ def pick_evenly(df: DataFrame, order: Sequence[Column], points: int, *, ordinal:
     return ordered.join(F.broadcast(targets), "_rid").drop("_rid"), total
 
 
+def pick_evenly_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], points: int, *,
+                          ordinal: str = "ordinal", total: str = "row_count") -> DataFrame:
+    """At most ``points`` evenly spaced rows of every group, with their ordinal in it and the group's size.
+
+    One sort by group and order is written once. A row's id then holds its task
+    and its place there; prefix sums over (group, task) say which ordinals lie in
+    which task, so the wanted rows are found by their ids. A group may span any
+    number of tasks, and nothing passes through the driver. Null keys form a group.
+    """
+    ordered = materialized(materialized(df).orderBy(*keys, *order).withColumn("_rid", F.monotonically_increasing_id()))
+    runs = ordered.groupBy(*keys, F.shiftright("_rid", 33).alias("_run")).agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
+    group = Window.partitionBy(*keys)
+    runs = runs.withColumns({total: F.sum("_n").over(group), "_before": F.sum("_n").over(group.orderBy("_run")) - F.col("_n")})
+    wanted = F.sequence(F.lit(0).cast("bigint"), F.least(F.col(total), F.lit(points)) - 1)
+    if points > 1:
+        wanted = F.transform(wanted, lambda i: F.when(F.col(total) <= points, i).otherwise(F.floor(i * (F.col(total) - 1) / (points - 1))))
+    here = F.filter(wanted, lambda o: (o >= F.col("_before")) & (o < F.col("_before") + F.col("_n")))
+    picks = runs.select(F.explode(here).alias(ordinal), "_first", "_before", total).select(
+        (F.col("_first") + F.col(ordinal) - F.col("_before")).alias("_rid"), ordinal, total)
+    return ordered.join(picks, "_rid").drop("_rid")
+
+
 def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float = 0.5, *,
                    out: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile of ``value`` per group.

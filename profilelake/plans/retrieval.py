@@ -89,9 +89,11 @@ def visual_for(run: Retrieval, query_id, text: str, positions: DataFrame | None
                         ties=("platform_number", "profile_index", "level_index"))
 
 
-def result_rows(run: Retrieval) -> DataFrame:
-    """One JSON document per question for the result sink."""
+def result_rows(run: Retrieval, visuals: DataFrame | None = None) -> DataFrame:
+    """One JSON document per question for the result sink, with its visual from ``visuals`` (query_id, visual_json)."""
     counts = run.candidates.groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates_count"))
     joined = run.contexts.join(counts, KEY, "left").withColumn(
         "candidates_count", F.coalesce("candidates_count", F.lit(0)))
+    if visuals is not None:
+        joined = joined.join(visuals.select(KEY, "visual_json"), KEY, "left")
     return joined.select(KEY, F.to_json(F.struct(*joined.columns)).alias("value"))
