@@ -59,7 +59,9 @@ an AS (SELECT query_id, text, intent, variables,
 
 
 def _analyzed(spark, d):
-    return triage.analyze(questions(spark, d), as_of=F.lit(AS_OF).cast("date"))
+    # the texts are two small files, so two tasks; the patterns are dear
+    spread = questions(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    return triage.analyze(spread, as_of=F.lit(AS_OF).cast("date"))
 
 
 @query("intent_triage", f"WITH {ANALYZED} SELECT * FROM an")
@@ -167,8 +169,7 @@ def final(spark, d):
 @query("region_hits", f"""WITH {ANALYZED}, {P} SELECT query_id, count(p.PLATFORM_NUMBER) AS region_hits
 FROM (SELECT * FROM an WHERE lat_min IS NOT NULL) LEFT JOIN p ON LATITUDE BETWEEN lat_min AND lat_max AND LONGITUDE BETWEEN lon_min AND lon_max GROUP BY query_id""")
 def region_hits(spark, d):
-    boxes = _analyzed(spark, d).where("bbox IS NOT NULL").select("query_id", "bbox")
-    return gate.region_hits(boxes, positions(spark, d))
+    return gate.region_hits(_analyzed(spark, d), positions(spark, d))
 
 
 def _core(spark, d):
