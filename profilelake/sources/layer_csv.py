@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from profilelake.functions.text import integer, strip, text_number, utf8
 from profilelake.functions.times import reference_timestamp
 from profilelake.schemas import LAYER_FILE_PREFIX, LAYERS
+from profilelake.session import materialized
 
 # Layers whose columns differ from file to file; they are read by header name.
 OPEN_LAYERS = {"qc_profile": "profile_qc", "metadata_full": "extra"}
@@ -148,21 +149,29 @@ def _odd_quotes(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
 
 
-def _text_lines(spark: SparkSession, root: str, layer: str, bad: DataFrame | None) -> DataFrame:
+def sound_files(spark: SparkSession, root: str, layer: str, probed: DataFrame) -> list[str]:
+    """Paths of a layer's files without those that a probe found wrong: names only, as many as the listing has."""
+    bad = probed.where("kind IS NOT NULL").select("path")
+    return sorted(r["path"] for r in listed_files(spark, root, layer).join(bad, "path", "left_anti").collect())
+
+
+def _text_lines(spark: SparkSession, root: str, layer: str, sound: list[str] | None) -> DataFrame:
+    """(path, _block, line, _seq) of all files below ``root``, or of the ``sound`` ones. A file that cannot be read fails the job."""
     path = F.col("_metadata.file_path")
-    lines = _reader(spark, layer).option("ignoreCorruptFiles", bad is not None).text(root).where(wanted_file(path)).select(
+    if sound == []:
+        return spark.createDataFrame([], "path string, _block bigint, line string, _seq bigint")
+    return _reader(spark, layer).text(root if sound is None else sound).where(wanted_file(path)).select(
         path.alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"),
         F.monotonically_increasing_id().alias("_seq"))
-    return lines.join(bad, "path", "left_anti") if bad is not None else lines
 
 
-def _open_layer_values(spark: SparkSession, root: str, layer: str, bad: DataFrame | None) -> DataFrame:
+def _open_layer_values(spark: SparkSession, root: str, layer: str, sound: list[str] | None) -> DataFrame:
     """Lines of a layer with differing headers: (path, header, line, _block, _seq).
 
     Files with line breaks inside quotes cannot be split into lines: they are
     left out as a whole and reported by :func:`file_issues`.
     """
-    lines = _text_lines(spark, root, layer, bad)
+    lines = _text_lines(spark, root, layer, sound)
     first = F.col("_block") == 0
     headers = lines.groupBy("path").agg(
         F.min_by("line", F.when(first, F.col("_seq"))).alias("header"), F.min(F.when(first, F.col("_seq"))).alias("_first"),
@@ -179,40 +188,41 @@ def raw_layer(spark: SparkSession, root: str, layer: str, *, probe: bool = True)
 
     With ``probe``, files named .gz are examined first: mislabelled ones are
     read as text, damaged ones left out as a whole (:func:`file_issues` names
-    them). Without it such a file fails the read, so nothing is lost unseen.
+    them). The others are read strictly, with or without it: whatever else
+    fails while reading fails the job, so nothing is lost unseen.
     """
-    probed = probe_gzip(spark, root, layer) if probe else None
-    bad = probed.where("kind IS NOT NULL").select("path") if probe else None
+    probed = materialized(probe_gzip(spark, root, layer)) if probe else None
+    sound = sound_files(spark, root, layer, probed) if probe else None
     if layer in OPEN_LAYERS:
-        lines = _open_layer_values(spark, root, layer, bad)
+        lines = _open_layer_values(spark, root, layer, sound)
         if probe:
             lines = lines.unionByName(mislabelled_lines(spark, root, layer, probed))
         named = _named_values(lines)
         return named.withColumn(CORRUPT, F.lit(None).cast("string")).withColumns(path_columns(F.col("path"))).drop("path")
     schema = text_schema(layer)
     path = F.col("_metadata.file_path")
-    regular = (
-        _reader(spark, layer).option("ignoreCorruptFiles", probe).schema(schema).option("header", True).option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(root)
+    reader = _reader(spark, layer).schema(schema).option("header", True).option("enforceSchema", False).option(
+        "columnNameOfCorruptRecord", CORRUPT)
+    regular = None if sound == [] else (
+        reader.csv(root if sound is None else sound)
         .where(wanted_file(path)).withColumns(path_columns(path))
         .withColumns({"_block": F.col("_metadata.file_block_start"), "_seq": F.monotonically_increasing_id()})
     )
     if not probe:
         return regular
-    regular = regular.join(bad.withColumnRenamed("path", "source_file"), "source_file", "left_anti")
     named = _named_values(mislabelled_lines(spark, root, layer, probed))
     fields = [F.col("values")[f.name].alias(f.name) for f in LAYERS[layer].fields]
     rest = named.select(*fields, F.lit(None).cast("string").alias(CORRUPT), "path", "_block", "_seq").withColumns(
         path_columns(F.col("path"))).drop("path")
-    return regular.unionByName(rest)
+    return rest if regular is None else regular.unionByName(rest)
 
 
 def file_issues(spark: SparkSession, root: str, layer: str) -> DataFrame:
     """(layer, year, month, source_file, issue) of files that could not be loaded as a whole."""
-    probed = probe_gzip(spark, root, layer)
+    probed = materialized(probe_gzip(spark, root, layer))
     issues = probed.where(F.col("kind").isin(UNREADABLE, QUOTED_BREAK)).select("path", F.col("kind").alias("issue"))
     if layer in OPEN_LAYERS:
-        lines = _text_lines(spark, root, layer, probed.where("kind IS NOT NULL").select("path"))
+        lines = _text_lines(spark, root, layer, sound_files(spark, root, layer, probed))
         broken = lines.where(_odd_quotes(F.col("line"))).select("path").distinct()
         issues = issues.unionByName(broken.withColumn("issue", F.lit(QUOTED_BREAK)))
     return issues.withColumns(path_columns(F.col("path"))).select(F.lit(layer).alias("layer"), "year", "month", "source_file", "issue")
@@ -293,7 +303,7 @@ def source_counts(spark: SparkSession, root: str, layer: str) -> DataFrame:
     listed = listed_files(spark, root, layer).withColumns(path_columns(F.col("path")))
     files = listed.groupBy(*months).agg(F.count(F.lit(1)).alias("files"))
     probed = probe_gzip(spark, root, layer)
-    lines = _text_lines(spark, root, layer, probed.where("kind IS NOT NULL").select("path")).where("line <> ''")
+    lines = _text_lines(spark, root, layer, sound_files(spark, root, layer, probed)).where("line <> ''")
     issues = file_issues(spark, root, layer)
     sound = lines.groupBy("path").agg(F.count(F.lit(1)).alias("records")).unionByName(
         probed.where(F.col("kind") == MISLABELLED).select("path", "records"))
