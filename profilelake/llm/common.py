@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,10 +207,10 @@ class KeyFilter:
         """Whether a key passes, as a column."""
         shared = self.shared
 
-        @F.pandas_udf("boolean")
-        def inside(keys: pd.Series) -> pd.Series:
-            return pd.Series(KeyFilter.test(shared.value, keys.to_numpy().view("uint64")))
+        def inside(keys: pa.Array) -> pa.Array:
+            return pa.array(KeyFilter.test(shared.value, keys.to_numpy(zero_copy_only=False).view("uint64")))
 
+        inside = F.arrow_udf(inside, "boolean")
         return inside(column)
 
 

@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # written, so that both sides of the join are plain shuffles, which the engine can split where an anchor is hot
     again = materialized(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     low = (1 << PLACE) - 1
-    # anchors that occur once hardly reach the join, and documents without another one are settled where they are read
+    # anchors that occur once hardly reach the join
     here = found.where(KeyFilter(again, "anchor").passes("anchor")).join(again, "anchor").select(
         "doc", "print", "anchor", "snippet", "mixed", F.shiftright("place", 2 * PLACE).cast("int").alias("start"),
         F.shiftright("place", PLACE).bitwiseAND(F.lit(low)).cast("int").alias("starts"), F.col("place").bitwiseAND(F.lit(low)).cast("int").alias("at"))
@@ -351,11 +351,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         # sets, since repeated rows have the same marks
         F.collect_set(F.when(~F.col("mixed"), F.struct("start", "starts"))).alias("sure"),
         F.collect_set(F.when(F.col("mixed"), F.struct("anchor", "snippet", "start", "starts", "at"))).alias("open"))
-    marks = materialized(marks)
-    keyed = base.withColumn("marked", KeyFilter(marks.select(F.xxhash64("doc", "print").alias("key")), "key").passes(F.xxhash64("doc", "print")))
-    clean = keyed.where("NOT marked").select("id", "doc", "print", "text", F.lit(None).cast(SURE_TYPE).alias("sure"), F.lit(None).cast(OPEN_TYPE).alias("open"))
-    marked = keyed.where("marked").drop("marked").join(marks, ["doc", "print"], "left").select("id", "doc", "print", "text", "sure", "open")
-    state = materialized(_settle(clean.unionByName(marked), length, digest))
+    marked = base.join(marks, ["doc", "print"], "left").select("id", "doc", "print", "text", "sure", "open")
+    state = materialized(_settle(marked, length, digest))
     unsettled = state.where("open IS NOT NULL")
 
     uses = unsettled.select("doc", "print", F.col("text").cast("binary").alias("data"), F.explode("open").alias("o")).select(
