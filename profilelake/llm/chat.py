@@ -159,11 +159,13 @@ def format_turns(turns: DataFrame, *, conv: str, order: list[Column], role: str
     A conversation becomes one text, so its turns meet in one row; turns are
     joined there by the engine's own list aggregate after a sort.
     """
-    body = escaped(F.coalesce(F.col(text), F.lit("")))
+    said = F.coalesce(F.col(text), F.lit(""))
     name = F.coalesce(F.col(role), F.lit(""))
     rows = turns.select(
-        F.col(conv).alias("conv"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], name.alias("role"), body.alias("body")).alias("t"))
+        F.col(conv).alias("conv"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], name.alias("role"), said.alias("said")).alias("t"))
     whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    # escaped after the sort: escapes would change the order of texts
+    whole = whole.withColumn("ts", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), escaped(t["said"]).alias("body"))))
     head = F.transform("ts", lambda t: F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(COLON)))
     whole = whole.withColumn("heads", head)
     pieces = F.zip_with("heads", "ts", lambda h, t: F.concat(h, t["body"], F.lit(CLOSE)))

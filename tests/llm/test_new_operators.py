@@ -259,3 +259,16 @@ def test_key_filter(spark):
     kept = spark.range(5000).where(KeyFilter(keys, "key").passes(F.xxhash64("id"))).collect()
     assert {r["id"] for r in kept} >= set(range(0, 5000, 7)) and len(kept) < 730
     assert spark.range(50).where(KeyFilter(keys.limit(0), "key").passes(F.xxhash64("id"))).count() == 0
+
+
+# ---------------------------------------------------------------- chat, ties
+
+def test_tied_turns_stand_by_their_texts(spark):
+    """Turns of one number stand by role and text as they are, not as they are escaped."""
+    from profilelake.llm import chat
+
+    texts = ["a$", "a#", "a<", "a\\", "a:", "a", "", "a~"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in texts] + [(1, 0, "assistant", "z#"), (1, 0, "assistant", "z$")],
+                                  "c bigint, turn bigint, role string, text string")
+    got = chat.format_turns(turns, conv="c", order=[F.col("turn")]).select(chat.read_turns(F.col("formatted"))).first()[0]
+    assert [(r["role"], r["text"]) for r in got] == [("assistant", "z#"), ("assistant", "z$")] + [("user", t) for t in sorted(texts)]
