@@ -217,15 +217,43 @@ def test_vector_links_recall(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
-def test_estimate_is_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [3, 24, 64, 100])
+def test_stored_codes_estimate_without_bias_inside_their_bound(dim):
     rng = np.random.default_rng(2)
-    a = rng.standard_normal((400, 64))
+    a = rng.standard_normal((600, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    turned = a @ vector_links.rotations(64, 1)[0]
-    code = np.sign(turned) / 8
-    estimate = (code @ turned.T) / np.einsum("ij,ij->i", code, turned)[:, None]
-    off = ~np.eye(400, dtype=bool)
-    assert abs((estimate - a @ a.T)[off].mean()) < 0.003
+    near = a + 0.19 * rng.standard_normal(a.shape) / np.sqrt(dim)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    x, y = (vector_links.encode(v, 10, 12) for v in (a, near))
+    estimate = vector_links.estimates(x, y, dim)
+    if dim >= 24:
+        assert abs((estimate - a @ near.T).mean()) < 0.003 and abs(np.diag(estimate - a @ near.T).mean()) < 0.01
+    at_edge = np.flatnonzero((a * near).sum(axis=1) >= 0.98)
+    lowest = vector_links.least_estimates(x, y, dim, 0.98)
+    assert len(at_edge) > 100 and (np.diag(estimate)[at_edge] >= lowest[at_edge]).all()
+    if dim >= 64:       # and the bound decides: most others stay below it
+        assert (estimate >= lowest[:, None]).mean() < 0.02
+    assert x.itemsize < a[0].nbytes or dim < 24
+
+
+def test_likely_pairs_meet_once():
+    """Within a block and across two, whatever the stretch; later bands leave out what an earlier one has."""
+    rng = np.random.default_rng(5)
+    unit = rng.standard_normal((1, 32)) + 0.1 * rng.standard_normal((700, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    codes = vector_links.encode(unit, 4, 6)
+    own = np.arange(700) % 2
+
+    def pairs(own, band):
+        return [tuple(sorted(p)) for i, j in vector_links.likely_pairs(codes, own, 32, band, 0.98) for p in zip(i.tolist(), j.tolist())]
+
+    within, across = pairs(np.zeros(700, int), 0), pairs(own, 0)
+    assert len(set(within)) == len(within) and len(set(across)) == len(across)
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.98, 1)))}
+    assert true and true <= set(within) and {p for p in true if own[p[0]] != own[p[1]]} <= set(across)
+    assert all(own[i] != own[j] for i, j in across)
+    shared = (codes["keys"][:, None, :2] == codes["keys"][None, :, :2]).any(axis=2)
+    assert set(pairs(np.zeros(700, int), 2)) == {p for p in within if not shared[p]}
 
 
 # ---------------------------------------------------------------- components
