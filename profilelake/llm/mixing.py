@@ -18,6 +18,10 @@ WEIGHTS = (1, 2, 3)         # by code point of the source name, repeating
 MOST_PASSES = 3             # a document's words at most so often
 ROWS_PER_RUN = 100_000      # rows of one source that one ordered run may hold
 LEVEL = ((0.0, 1.0), (1.0, 1.0))    # a schedule that never changes
+RISING = ((0.0, 0.5), (1.0, 1.5))
+FALLING = ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5))
+#: Schedules by code point of the source name, repeating. Each integrates to 1, so that weights mean the same.
+CURRICULUM = (FALLING, LEVEL, RISING)
 
 PLAN = ("doc_id", "source", "size", "source_size", "target", "taken", "position")
 
@@ -27,7 +31,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
-    """Weight and target of every row (source, source_size).
+    """Rank, weight and target of every row (source, source_size).
 
     Targets share the sum of all sizes by weight. A source stops at ``most``
     times its size, and what it cannot give is shared again by weight among the
@@ -56,7 +60,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES) -
     free = F.min(F.when(F.col("ratio") >= F.col("unit"), F.struct(F.col("ratio"), (-F.col("unit")).alias("less")))).over(one)
     ranked = ranked.withColumn("level", -free["less"])
     target = F.when(F.col("ratio") < F.col("level"), limit).otherwise(F.col("weight") * F.col("level"))
-    return ranked.select(*sizes.columns, "weight", F.coalesce(F.least(target, limit), limit).alias("target"))
+    return ranked.select(*sizes.columns, "rank", "weight", F.coalesce(F.least(target, limit), limit).alias("target"))
 
 
 def training_position(share: Column, schedule) -> Column:
@@ -81,7 +85,7 @@ def training_position(share: Column, schedule) -> Column:
     return position
 
 
-def plan(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_PASSES, schedules: dict | None = None,
+def plan(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_PASSES, schedules: dict | tuple | None = None,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
          keep: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of every document: one row each, the ``keep`` columns last.
@@ -91,7 +95,9 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_PASSES, schedules
     floor(p) times whole, and once more up to the word where the target is
     reached: the document at that place gives its first words only. ``position``
     is when training first meets the document (null: never). ``schedules`` maps
-    a source to its (time, weight) points; others stay level.
+    a source to its (time, weight) points, others stay level; or it is a tuple
+    of schedules dealt to the sources by rank, repeating. Only the order depends
+    on it: a source's demand is its target, spread as its schedule's integral.
 
     Order sums are taken in two steps, per run of a source's order and over the
     runs' totals, so the largest source is spread like any other.
@@ -115,7 +121,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_PASSES, schedules
     totals = materialized(sized.groupBy("key", "run").agg(F.sum("size").alias("run_size")))
     sources = totals.groupBy("key").agg(F.sum("run_size").alias("source_size")).withColumn(
         "source", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)))
-    goals = source_targets(sources, weights, most).select("key", "source", "source_size", "target")
+    goals = source_targets(sources, weights, most).select("key", "source", "rank", "source_size", "target")
     over_runs = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("key", "run", F.coalesce(F.sum("run_size").over(over_runs), F.lit(0)).alias("run_start"))
     starts = materialized(starts.join(goals, "key"))
@@ -130,16 +136,20 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_PASSES, schedules
     partial = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - F.col("before")))
     mixed = mixed.withColumn("passes", whole).withColumn("partial", F.when(F.col("passes") >= most, 0).otherwise(partial).cast("bigint"))
     mixed = mixed.withColumn("taken", F.col("passes") * F.col("size") + F.col("partial"))
-    position = F.when(F.col("taken") > 0, stream_position(F.col("source"), F.col("before") / goal, schedules))
+    position = F.when(F.col("taken") > 0, stream_position(F.col("source"), F.col("rank"), F.col("before") / goal, schedules))
     return mixed.withColumn("position", position).select(
-        *PLAN, "passes", "partial", "before", *[F.col(f"kept_{i}") for i in range(len(keep))])
+        *PLAN, "passes", "partial", "before", "rank", *[F.col(f"kept_{i}") for i in range(len(keep))])
 
 
-def stream_position(source: Column, share: Column, schedules: dict | None) -> Column:
+def stream_position(source: Column, rank: Column, share: Column, schedules: dict | tuple | None) -> Column:
     """Training position of a share of a source's token stream, by the source's own schedule."""
+    if isinstance(schedules, tuple):
+        own = [(rank % len(schedules) == i, s) for i, s in enumerate(schedules)]
+    else:
+        own = [(source.eqNullSafe(F.lit(name)), s) for name, s in (schedules or {}).items()]
     position = training_position(share, LEVEL)
-    for name, schedule in (schedules or {}).items():
-        position = F.when(source.eqNullSafe(F.lit(name)), training_position(share, schedule)).otherwise(position)
+    for mine, schedule in own:
+        position = F.when(mine, training_position(share, schedule)).otherwise(position)
     return position
 
 
@@ -165,7 +175,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     at = columns.index(text_col)
     cut = F.when(words < F.col("size"), first_words(F.col(f"kept_{at}"), words)).otherwise(F.col(f"kept_{at}"))
     rows = every.select(
-        stream_position(F.col("source"), share, options.get("schedules")).alias("mix_position"),
+        stream_position(F.col("source"), F.col("rank"), share, options.get("schedules")).alias("mix_position"),
         *[(cut if i == at else F.col(f"kept_{i}")).alias(f"kept_{i}") for i in range(len(columns))])
     ordered = rows.repartitionByRange("mix_position", F.xxhash64(f"kept_{columns.index(id_col)}"))
     return ordered.sortWithinPartitions("mix_position").select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(columns)])

@@ -94,7 +94,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_curriculum_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    planned = mixing.plan(table(spark, sf_dir, "documents"), schedules=mixing.CURRICULUM)
     return planned.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange(
         F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last())
 

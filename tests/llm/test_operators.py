@@ -397,6 +397,37 @@ def test_schedule_orders_the_mix(spark):
     assert mean["late"] == pytest.approx(2 / 3, abs=0.02) and mean["even"] == pytest.approx(0.5, abs=0.02)
 
 
+def test_curriculum_is_the_inverse_of_the_demand(docs, rows):
+    """Position and share of the stream agree with the numeric integral; targets stay; a late source comes late."""
+    def integral(schedule, t):
+        times = np.linspace(0, t, 2001)
+        return np.trapezoid(np.interp(times, *zip(*schedule)), times)
+
+    assert all(integral(s, 1.0) == pytest.approx(1) for s in mixing.CURRICULUM)
+    planned = mixing.plan(docs, schedules=mixing.CURRICULUM).collect()
+    check_mixture(planned, rows)
+    names = sorted({r["source"] for r in planned}, key=lambda s: (s is None, (s or "").encode()))
+    place = {s: i for i, s in enumerate(names)}
+    seen = set()
+    for r in planned:
+        assert r["rank"] == place[r["source"]] and (r["position"] is None) == (r["taken"] == 0)
+        if r["taken"]:
+            schedule = mixing.CURRICULUM[place[r["source"]] % 3]
+            assert integral(schedule, r["position"]) == pytest.approx(r["before"] / round(r["target"]), abs=1e-6)
+            seen.add(place[r["source"]] % 3)
+    assert seen == {0, 1, 2}
+    mixed = mixing.mix(docs, schedules=mixing.CURRICULUM).collect()
+    words = [(place[r["source"]] % 3, len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in mixed]
+    half, total, early = sum(n for _, n in words) / 2, 0, Counter()
+    for kind, n in words:
+        early[kind] += n if total < half else 0
+        total += n
+    whole = Counter()
+    for kind, n in words:
+        whole[kind] += n
+    assert early[0] / whole[0] > 0.55 and early[2] / whole[2] < 0.45
+
+
 # ---------------------------------------------------------------- quality and language
 
 def test_quality(spark, docs, rows, empty):
