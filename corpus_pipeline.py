@@ -43,8 +43,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus in training order: documents repeated, cut or left out by their source's share."""
-    mixed = mixing.mix(docs)
+    """The corpus in training order: documents repeated, cut or left out by their source's share and schedule."""
+    mixed = mixing.mix(docs, schedules=mixing.CURRICULUM)
     return mixed.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
