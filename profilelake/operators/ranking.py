@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profilelake.session import materialized
 
 SALTS = 64                 # parts of a key in the first step
+ACCURACY = 1_000           # of quantile sketches: ranks are right to a thousandth of the rows
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], ascending: Sequence[Column]) -> DataFrame:
@@ -101,22 +102,77 @@ def pick_evenly_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Co
     return ordered.join(picks, "_rid").drop("_rid")
 
 
+def bracket(value: str, q: float, accuracy: int = ACCURACY) -> Column:
+    """Aggregate: two values of a mergeable quantile sketch between which the exact quantile should lie.
+
+    The sketch errs by 1 / ``accuracy`` of the rows at most; the bracket is twice
+    that to each side. Whoever uses it checks that the quantile is inside.
+    """
+    ends = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    return F.percentile_approx(value, ends, accuracy)
+
+
 def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float = 0.5, *,
-                   out: str = "quantile") -> DataFrame:
+                   out: str = "quantile", brackets: DataFrame | None = None, sketch: bool = True) -> DataFrame:
     """Exact linearly interpolated quantile of ``value`` per group.
 
-    ``percentile`` gathers all distinct values of a group in one buffer. Here
-    they are counted, range-sorted by (group, value) and written once; block
-    totals locate the one or two sorted blocks that hold the wanted ranks, and
-    only those blocks are scanned in order.
+    ``percentile`` gathers all distinct values of a group in one buffer. Here a
+    sketch gives a bracket per group, the values below and above it are only
+    counted, and those inside (some thousandths of a large group) are counted by
+    value, range-sorted and written. Block totals locate the one or two sorted
+    blocks that hold the wanted ranks. A group whose rank turns out to lie
+    outside its bracket is done again with all its values, so the result never
+    rests on the sketch. ``brackets`` are the groups with a column ``bracket``,
+    for callers that aggregate anyway. With very many small groups a sketch of
+    each costs more than it saves: ``sketch=False`` counts and sorts all their
+    values, the result is the same. Null groups are groups; null values are left
+    out, and a group of nulls has no row.
     """
     keys = [f"_g{i}" for i in range(len(groups))]
-    renamed = df.where(F.col(value).isNotNull()).select(
-        *[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).alias("_v"))
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys)]
+    values = df.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("_v"))
+    if brackets is not None:
+        brackets = brackets.select(*named, F.col("bracket").alias("_bracket"))
     if not keys:
-        keys, renamed = ["_g"], renamed.withColumn("_g", F.lit(0))
-    counted = renamed.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = materialized(counted.orderBy(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
+        keys, values = ["_g"], values.withColumn("_g", F.lit(0))
+        brackets = brackets.withColumn("_g", F.lit(0)) if brackets is not None else None
+    if brackets is None and not sketch:
+        return _named(_at_rank(values.withColumn("_side", F.lit(1)), keys, q), groups, keys, out)
+    if brackets is None:
+        # written, so that the join knows the size of this table
+        brackets = materialized(values.groupBy(*keys).agg(bracket("_v", q).alias("_bracket")))
+    low, high = F.col("_bracket")[0], F.col("_bracket")[1]
+    side = F.when(F.col("_v") < low, 0).when(F.col("_v") > high, 2).otherwise(1)
+    sided = _same_group(values, brackets, keys, "inner").withColumn("_side", side)
+    found = materialized(_at_rank(sided, keys, q))
+    missed = found.where("NOT _inside").select(*keys)
+    if not missed.isEmpty():
+        again = _same_group(values, missed, keys, "left_semi").withColumn("_side", F.lit(1))
+        found = found.where("_inside").unionByName(_at_rank(again, keys, q))
+    return _named(found, groups, keys, out)
+
+
+def _named(found: DataFrame, groups: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """The quantile between the two values found, under the caller's names."""
+    result = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_w")
+    return found.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], result.alias(out))
+
+
+def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left`` joined with a row per group; null groups meet."""
+    right = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return left.join(right, same, how).drop(*[f"_r{k}" for k in keys])
+
+
+def _at_rank(sided: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
+    """The values around rank q * (n - 1) of each group, and whether they were inside (side 1).
+
+    Values of sides 0 and 2 are below and above all others and only counted.
+    """
+    kept = F.when(F.col("_side") == 1, F.col("_v")).alias("_v")
+    counted = sided.groupBy(*keys, "_side", kept).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = materialized(counted.orderBy(*keys, "_side", "_v").withColumn("_pid", F.spark_partition_id()))
 
     per_group = Window.partitionBy(*keys)
     blocks = ordered.groupBy(*keys, "_pid").agg(F.sum("_n").alias("_size"))
@@ -128,24 +184,18 @@ def exact_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float =
     )
     end = F.col("_before") + F.col("_size")
     holds = lambda r: (F.col(r) >= F.col("_before")) & (F.col(r) < end)
-    blocks = blocks.where(holds("_lo") | holds("_hi"))
-
-    cond = (F.col("o._pid") == F.col("b._pid"))
-    for k in keys:
-        cond = cond & F.col(f"o.{k}").eqNullSafe(F.col(f"b.{k}"))
-    rows = ordered.alias("o").join(blocks.alias("b"), cond).select(
-        *[F.col(f"o.{k}").alias(k) for k in keys], F.col("o._pid").alias("_pid"), "_v", "_n",
-        "_before", "_pos", "_lo", "_hi")
-    in_block = Window.partitionBy(*keys, "_pid").orderBy("_v")
+    blocks = blocks.where(holds("_lo") | holds("_hi")).drop("_size")
+
+    rows = _same_group(ordered, blocks, [*keys, "_pid"], "inner")
+    in_block = Window.partitionBy(*keys, "_pid").orderBy("_side", "_v")
     rows = rows.withColumn("_end", F.col("_before") + F.sum("_n").over(in_block))
     covers = lambda r: (F.col(r) >= F.col("_end") - F.col("_n")) & (F.col(r) < F.col("_end"))
-    found = rows.where(covers("_lo") | covers("_hi")).groupBy(*keys).agg(
+    return rows.where(covers("_lo") | covers("_hi")).groupBy(*keys).agg(
         F.max(F.when(covers("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(covers("_hi"), F.col("_v"))).alias("_vhi"),
         F.first(F.col("_pos") - F.col("_lo")).alias("_w"),
+        F.every(F.col("_side") == 1).alias("_inside"),
     )
-    result = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_w")
-    return found.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], result.alias(out))
 
 
 def merged_row(*rows: DataFrame) -> DataFrame:

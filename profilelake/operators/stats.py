@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.operators.fetch import find_column
-from profilelake.operators.ranking import exact_quantile, merged_row
+from profilelake.operators.ranking import bracket, exact_quantile, merged_row
+from profilelake.session import materialized
 
 # Variables summarised, in this order.
 STAT_VARIABLES = ("TEMP", "PSAL", "PRES", "TEMP_ADJUSTED", "PSAL_ADJUSTED", "PRES_ADJUSTED")
@@ -28,10 +29,10 @@ def six_statistics(df: DataFrame, variables: Sequence[str] = STAT_VARIABLES, gro
     long = values.unpivot(list(groups), present, "variable", "value")
     long = long.withColumn("value", F.nullif("value", F.lit(float("nan"))))
     keys = [*groups, "variable"]
-    stats = long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"))
-    medians = exact_quantile(long, keys, "value", 0.5, out="median").select(
+    stats = materialized(long.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.stddev_samp("value").alias("std"), bracket("value", 0.5).alias("bracket")))
+    medians = exact_quantile(long, keys, "value", 0.5, out="median", brackets=stats).select(
         *[F.col(k).alias(f"_m_{k}") for k in keys], "median")
     same = None
     for k in keys:
@@ -102,14 +103,14 @@ def surface_median_deep(df: DataFrame, keys: Sequence[str] = PROFILE, value: str
     """Per profile the rows with the smallest, most central and largest value.
 
     Ties go to the lowest level. A profile without any value gives its first
-    and last level. A row picked twice appears once. The picks are partial
-    aggregates and the median is exact, so no task holds a whole profile.
+    and last level. A row picked twice appears once. Picks are partial
+    aggregates; a profile's median joins its rows as one value.
     """
     known = df.where(F.col(value).isNotNull())
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*rest)
     order = [F.col(level), *[F.col(t) for t in tie]]
-    med = exact_quantile(known, keys, value, 0.5, out="_median").select(
+    med = exact_quantile(known, keys, value, 0.5, out="_median", sketch=False).select(
         *[F.col(k).alias(f"_m_{k}") for k in keys], "_median")
     same = None
     for k in keys:

@@ -52,6 +52,32 @@ def test_exact_quantile(skewed, q):
     assert got == {k: pytest.approx(np.quantile(v, q)) for k, v in values.items()}
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_quantile_with_sketched_brackets(spark, q):
+    """A hot group, ties, small groups, a null group; and brackets that miss are noticed and made good."""
+    rng = np.random.default_rng(11)
+    groups = {"hot": rng.normal(size=30_000).round(4), "ties": np.repeat([1.0, 2.0, 3.0], [5000, 1, 5000]), "one": np.array([4.0]),
+              "few": np.array([1.0, 9.0, 10.0]), None: np.array([5.0, -5.0])}
+    frame = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("nulls", None)], "g string, v double").repartition(6)
+    wrong = spark.createDataFrame([(g, [-1e9, -1e8] if i % 2 else [1e8, 1e9]) for i, g in enumerate(groups)], "g string, bracket array<double>")
+    for options in ({}, {"brackets": wrong}, {"sketch": False}):
+        got = {r["g"]: r["quantile"] for r in ranking.exact_quantile(frame, ["g"], "v", q, **options).collect()}
+        assert got == pytest.approx({g: float(np.quantile(v, q)) for g, v in groups.items()})
+    assert ranking.exact_quantile(frame.limit(0), ["g"], "v", q).count() == 0
+    whole = ranking.exact_quantile(frame, [], "v", q).collect()
+    assert [r["quantile"] for r in whole] == pytest.approx([float(np.quantile(np.concatenate(list(groups.values())), q))])
+
+
+def test_bracketed_values_are_few(spark):
+    """Only values inside the bracket reach the sort; all others are two counts."""
+    frame = spark.range(200_000).select(F.lit(0).alias("g"), F.xxhash64("id").cast("double").alias("v"))
+    low, high = frame.agg(ranking.bracket("v", 0.5)).first()[0]
+    inside = frame.where((F.col("v") >= low) & (F.col("v") <= high)).count()
+    below = frame.where(F.col("v") < low).count()
+    assert inside < 0.01 * 200_000 and below <= 99_999 and 100_000 < below + inside
+
+
+
 @pytest.mark.parametrize("points", [1, 2, 200, 5000])
 def test_pick_evenly(skewed, points):
     picked, total = ranking.pick_evenly(skewed, [F.col("v"), F.col("i")], points)
