@@ -42,7 +42,7 @@ def knn(spark, d):
     return near.withColumn("distance", F.round("distance", 6))
 
 
-# the route for query tables too large to broadcast, forced by small blocks
+# the same search in many small blocks of queries and documents
 @query("knn_exact_blocks", f"""WITH {DIST} SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dist) WHERE rank <= 20""")
 def knn_blocks(spark, d):

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.functions.text import integer, lookup, metadata_matches, row_map, row_text
-from profilelake.operators.ranking import first_per_key, ranked_top_n, salts_for, top_n_per_key
-from profilelake.session import materialized
+from profilelake.operators.query_blocks import block_reader, written_blocks
+from profilelake.operators.ranking import first_per_key, ranked_top_n, top_n_per_key
 
 LOCAL_QUERIES = 4_096        # queries one task may hold as a matrix ...
-LOCAL_VALUES = 8_000_000     # ... and the numbers in it, or in the distances from it (64 MB)
+LOCAL_VALUES = 8_000_000     # ... and the numbers in it, in a block of documents, or in the distances (64 MB)
 DOCS_PER_BLOCK = 50_000
 
 # Metadata keys naming a hit's platform and profile.
@@ -143,14 +143,16 @@ def nearest_documents(docs: DataFrame, queries: DataFrame, k: int, *, id_col: st
 
     ``match`` = (document column, query column) restricts a query to documents
     with that number; a null query value restricts nothing. Result: query id,
-    document id, distance, rank; ties go to the smaller id.
+    document id, distance, rank; ties go to the smaller id. A vector with a null
+    or non-finite component is compared with nothing.
 
     A query is compared with the documents of its own vector length;
-    :func:`vector_lengths` counts what has no counterpart. Queries of one length
-    are broadcast in chunks of about ``local_queries``, fewer where they are
-    long. For each chunk the documents are scanned where they lie, at most
-    ``docs_per_block`` at once, and each task emits at most k rows per query, so
-    documents are never shuffled.
+    :func:`vector_lengths` counts what has no counterpart. Queries are written
+    to the shared folder by length. Documents are scanned once, where they lie:
+    a task takes at most ``docs_per_block`` of them at once, reads the queries
+    in blocks of at most ``local_queries`` against them, and emits at most k
+    rows per query and block of documents. Neither side is shuffled, broadcast
+    or brought to the driver.
     """
     doc_tag, query_tag = match or (None, None)
     d = docs.where(F.col(vector_col).isNotNull()).select(
@@ -162,20 +164,8 @@ def nearest_documents(docs: DataFrame, queries: DataFrame, k: int, *, id_col: st
     schema = T.StructType([
         T.StructField("q", q.schema["q"].dataType), T.StructField("id", d.schema["id"].dataType),
         T.StructField("distance", T.DoubleType())])
-    use_tags = match is not None
-
-    q = materialized(q)
-    partial = None
-    for n, count in sorted(tuple(r) for r in q.groupBy(F.size("v")).count().collect()):
-        chunks = salts_for(count, max(1, min(local_queries, LOCAL_VALUES // max(1, n))))
-        for c in range(chunks):
-            rows = q.where((F.size("v") == n) & (F.pmod(F.xxhash64("q", "v"), F.lit(chunks)) == c)).collect()
-            if rows:
-                part = _scan_with_matrix(d, rows, k, schema, use_tags, docs_per_block)
-                partial = part if partial is None else partial.unionByName(part)
-    if partial is None:
-        partial = d.sparkSession.createDataFrame([], schema)
-    ranked = top_n_per_key(partial, ["q"], [F.col("distance"), F.col("id")], k)
+    found = _scan_blocks(d, written_blocks(q, "v"), k, schema, match is not None, local_queries, docs_per_block)
+    ranked = top_n_per_key(found, ["q"], [F.col("distance"), F.col("id")], k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "distance", "rank")
 
 
@@ -187,36 +177,56 @@ def vector_lengths(docs: DataFrame, queries: DataFrame, *, vector_col: str = "em
     return counts.withColumn("compared", F.col("length").isNotNull() & (F.col("documents") > 0) & (F.col("queries") > 0))
 
 
-def _scan_with_matrix(d: DataFrame, rows: list, k: int, schema: T.StructType, use_tags: bool, docs_at_once: int) -> DataFrame:
-    """Best k of queries of one length in each task."""
-    import numpy as np
+def _scan_blocks(d: DataFrame, files: dict[int, list[str]], k: int, schema: T.StructType, use_tags: bool,
+                 local_queries: int, docs_at_once: int) -> DataFrame:
+    """Best k of every query in each block of documents of a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    dim = len(rows[0]["v"])
-    step = max(1, min(docs_at_once, LOCAL_VALUES // len(rows)))     # bounds the distances in memory
-    shared = d.sparkSession.sparkContext.broadcast((
-        [r["q"] for r in rows],
-        np.array([r["v"] for r in rows], dtype="float64"),
-        np.array([np.nan if r["tag"] is None else r["tag"] for r in rows]) if use_tags else None))
     arrow_schema, top_k = to_arrow_schema(schema), _kernel()
+    read, most_values, lengths = block_reader(files, LOCAL_VALUES, local_queries), LOCAL_VALUES, set(files)
 
     def scan(batches):
         import numpy as np
         import pyarrow as pa
-
-        query_ids, matrix, wanted = shared.value
-        absorb, result = top_k(query_ids, matrix, wanted, k)
+        import pyarrow.compute as pc
+
+        def compared(docs):
+            """Results of one block of documents, length by length."""
+            size = pc.list_value_length(docs.column("v"))
+            for dim in sorted(set(pc.unique(size).to_pylist()) & lengths):
+                own = docs.filter(pc.equal(size, dim)).combine_chunks()
+                ids, tags = np.array(own.column("id").to_pylist()), own.column("tag").to_numpy()
+                vectors = pc.list_flatten(own.column("v")).to_numpy().reshape(len(ids), dim)
+                ok = np.isfinite(vectors).all(axis=1)
+                ids, tags, vectors = ids[ok], tags[ok], vectors[ok]
+                for asked in read(dim):
+                    matrix = pc.list_flatten(asked.column("v")).to_numpy().reshape(asked.num_rows, dim)
+                    ok = np.isfinite(matrix).all(axis=1)
+                    names, matrix = [x for x, fine in zip(asked.column("q").to_pylist(), ok) if fine], matrix[ok]
+                    if not len(names) or not len(ids):
+                        continue
+                    wanted = asked.column("tag").cast(pa.float64()).to_numpy()[ok] if use_tags else None
+                    absorb, result = top_k(names, matrix, wanted, k)
+                    step = max(1, most_values // len(names))        # bounds the distances in memory
+                    for s in range(0, len(ids), step):
+                        absorb(ids[s:s + step], vectors[s:s + step], tags[s:s + step])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, type=f.type) for x, f in zip(result(), arrow_schema)], schema=arrow_schema)
+
+        held, rows, values = [], 0, 0
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                vectors = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
-                tags = part.column("tag").to_numpy(zero_copy_only=False)
-                absorb(np.array(part.column("id").to_pylist()), vectors, tags)
-        qs, ids, ds = result()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, type=f.type) for x, f in zip((qs, ids, ds), arrow_schema)], schema=arrow_schema)
-
-    return d.where(F.size("v") == dim).mapInArrow(scan, schema)
+            for start in range(0, batch.num_rows, docs_at_once):
+                part = batch.slice(start, docs_at_once)
+                more = len(part.column("v").flatten())
+                if held and (rows + part.num_rows > docs_at_once or values + more > most_values):
+                    yield from compared(pa.Table.from_batches(held))
+                    held, rows, values = [], 0, 0
+                held.append(part)
+                rows, values = rows + part.num_rows, values + more
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return d.mapInArrow(scan, schema)
 
 
 def score(distance):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilelake.operators import fetch, layers, quality, ranking, stats, vectors
+from profilelake.operators import fetch, layers, quality, query_blocks, ranking, stats, vectors
 from profilelake.plans import context, visuals
 from profilelake.plans.gate import region_hits
 from profilelake.plans.retrieval import visual_for
@@ -147,6 +147,29 @@ def test_nearest_documents_of_mixed_lengths(spark, local):
     assert lengths == {4: (60, 4, True), 7: (50, 3, True), 3: (5, 0, False), 9: (0, 1, False), None: (1, 0, False)}
 
 
+def test_nearest_documents_without_usable_vectors(spark):
+    docs = [("a", [1.0, 2.0]), ("b", [float("nan"), 2.0]), ("c", [None, 1.0]), ("d", [float("inf"), 0.0]), ("e", []), ("f", None), ("g", [3.0, 2.0])]
+    d = spark.createDataFrame(docs, "id string, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 0.0]), (3, None), (4, [])], "query_id int, embedding array<double>")
+    got = vectors.nearest_documents(d, q, 5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["distance"]) for r in got] == [(1, "a", 0.0), (1, "g", 4.0), (4, "e", 0.0)]
+    assert vectors.nearest_documents(d, q.limit(0), 5).count() == 0
+    assert vectors.nearest_documents(d.limit(0), q, 5).count() == 0
+
+
+def test_query_blocks_hold_every_query_once(spark):
+    q = spark.createDataFrame([(i, [float(i)] * (2 + i % 3)) for i in range(200)], "q long, v array<double>").repartition(7)
+    files = query_blocks.written_blocks(q, "v")
+    assert set(files) == {2, 3, 4}
+    for values, most in ((40, None), (40, 3), (1, None), (10 ** 6, None)):
+        read = query_blocks.block_reader(files, values, most)
+        for length in (2, 3, 4, 2):
+            tables = list(read(length))
+            assert all(t.num_rows <= max(1, min(values // length, most or values)) for t in tables)
+            assert sorted(x for t in tables for x in t.column("q").to_pylist()) == [i for i in range(200) if 2 + i % 3 == length]
+        assert list(read(9)) == []
+
+
 def test_upsert_partitions_twice_is_once(spark, tmp_path):
     path = str(tmp_path / "docs")
     schema = "id string, document string, version int, year string, month string"
