@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilelake.llm.common import arrow_schema
+from profilelake.operators.query_blocks import block_reader, written_blocks
 
 TILE = 16_384               # candidates of one index in a task
-QUERY_BYTES = 32 << 20      # queries that are broadcast at once
+TILES = 4                   # indexes a task holds while it goes through the queries
+QUERY_BYTES = 32 << 20      # queries a task holds at once
 LEVELS = 32                 # segments of a dimension, about
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
@@ -112,75 +114,128 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id"
     with one id and score count once each. Of several query rows with one id,
     the one with the smallest vector asks. Fewer candidates give fewer rows;
     vectors of unequal length are compared over their common part; a null id
-    takes no part. Scores beyond 64 bits are cut to the ends of the range.
+    takes no part, a null component counts as 0. Scores beyond 64 bits are cut
+    to the ends of the range.
 
-    Queries are taken in blocks of ``query_bytes``, each broadcast in its turn;
-    candidates are read where they lie, without a shuffle, and each task sends
-    at most k rows of a query.
+    Queries are written to the shared folder. A task indexes a few tiles of the
+    candidates that lie in it, reads the queries in blocks of ``query_bytes``,
+    and sends at most k rows of each for these tiles. Candidates are scanned
+    once, without a shuffle; the driver and a broadcast hold no vector.
     """
-    spark = rows.sparkSession
     q = queries.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull())
     q = q.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(F.col(vec).cast("array<bigint>")).alias("v"))
-    size = q.agg(F.sum(F.size("v") * 8 + 8).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // query_bytes))
-    found = None
-    for b in range(blocks):
-        asked = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()     # at most about query_bytes
-        part = _scan(rows, spark.sparkContext.broadcast([(r["id"], r["v"]) for r in asked]), k, id_col, vec, tile)
-        found = part if found is None else found.unionByName(part)
+    wanted = rows.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<bigint>").alias("v"))
+    found = _scan(wanted, written_blocks(q, "v"), k, tile, query_bytes)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(rows: DataFrame, asked, k: int, id_col: str, vec: str, tile: int) -> DataFrame:
+def integer_matrix(lists, width: int | None = None):
+    """Rows of an Arrow list column as int64, cut or filled with zeros to ``width`` (the longest row's)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(pc.list_flatten(lists), 0).to_numpy(zero_copy_only=False)
+    width = int(size.max(initial=0)) if width is None else width
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    inside = column < width
+    out[row[inside], column[inside]] = flat[inside]
+    return out
+
+
+def largest(values) -> float:
+    """The largest magnitude in an integer matrix, 1 at least."""
+    import numpy as np
+
+    return float(max(1, np.abs(values.astype(np.float64)).max(initial=0)))
+
+
+class Tile:
+    """Some candidates, indexed when first asked: in 64 bits where no product or sum can pass them, else in exact Python numbers."""
+
+    def __init__(self, ids, values):
+        import numpy as np
+
+        self.ids, self.values, self.most = ids, values, largest(values)
+        self.sorted_ids, self.indexes = np.sort(ids), {}
+
+    def index_for(self, asks):
+        """(index, queries) in one kind of numbers."""
+        import numpy as np
+
+        kind = np.int64 if max(1, self.values.shape[1]) * self.most * largest(asks) < 2 ** 61 else object
+        if kind not in self.indexes:
+            self.indexes[kind] = ImpactIndex(self.values.astype(kind, copy=False))
+        return self.indexes[kind], asks.astype(kind, copy=False)
+
+    def rows_of(self, query_ids):
+        """How many candidates have each query's own id."""
+        import numpy as np
+
+        return np.searchsorted(self.sorted_ids, query_ids, "right") - np.searchsorted(self.sorted_ids, query_ids, "left")
+
+
+def best_of_tiles(tiles: list[Tile], query_ids, vectors, k: int):
+    """(query, candidate, score) arrays: each query's k best among the candidates of some tiles."""
+    import numpy as np
+
+    best: dict[int, list] = {}          # place of the query -> (score, -id), best first, at most k
+    for tile in tiles:
+        index, asks = tile.index_for(integer_matrix(vectors, tile.values.shape[1]))
+        own = tile.rows_of(query_ids).tolist()
+        for i, query in enumerate(query_ids.tolist()):
+            kept = best.get(i, [])
+            # the query's own rows may stand among the best and fall out again
+            members, scores = index.top(asks[i], k + own[i], kept[-1][0] if len(kept) == k else None)
+            hits = [(min(max(int(s), -2 ** 63), 2 ** 63 - 1), -c) for c, s in zip(tile.ids[members].tolist(), scores.tolist()) if c != query]
+            best[i] = sorted(kept + hits, reverse=True)[:k]
+    counts = [len(best.get(i, ())) for i in range(len(query_ids))]
+    flat = [x for hits in best.values() for x in hits]
+    return (np.repeat(query_ids, counts), np.array([-c for _, c in flat], np.int64), np.array([s for s, _ in flat], np.int64))
+
+
+def _scan(wanted: DataFrame, files: dict[int, list[str]], k: int, tile: int, query_bytes: int) -> DataFrame:
     schema = arrow_schema(HITS)
-    wanted = rows.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<bigint>").alias("v"))
+    read, lengths = block_reader(files, max(1, query_bytes // 8)), sorted(files)
 
     def scan(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        pending = asked.value
-        best: dict[int, list] = {}          # query -> (score, -id), best first, at most k
-
-        def matrix(vectors: list, width: int):
-            out = np.zeros((len(vectors), width), object)
-            for i, v in enumerate(vectors):
-                out[i, :len(v)] = v[:width]
-            top = max((abs(int(x)) for x in (out.max(initial=0), out.min(initial=0))), default=0)
-            return out, top
-
-        def absorb(ids, vectors):
-            width = max((len(v) for v in vectors), default=0)
-            values, top = matrix(vectors, width)
-            asks, top_q = matrix([v for _, v in pending], width)
-            small = width * max(top, 1) * max(top_q, 1) < 2 ** 62
-            kind = np.int64 if small else object
-            index, asks = ImpactIndex(values.astype(kind)), asks.astype(kind)
-            for (query, _), ask in zip(pending, asks):
-                kept = best.get(query, [])
-                # the query's own rows may stand among the best and fall out again
-                own = int((ids == query).sum())
-                members, scores = index.top(ask, k + own, kept[-1][0] if len(kept) == k else None)
-                hits = [(min(max(int(s), -2 ** 63), 2 ** 63 - 1), -int(i)) for i, s in zip(ids[members], scores) if i != query]
-                if len(hits) > k:
-                    hits = sorted(hits, reverse=True)[:k]
-                best[query] = sorted(kept + hits, reverse=True)[:k]
-
-        ids, vectors = [], []
+        def answered(tiles):
+            for length in lengths:
+                for asked in read(length):
+                    columns = best_of_tiles(tiles, asked.column("id").to_numpy(), asked.column("v"), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        def made(parts):
+            t = pa.Table.from_batches(parts)
+            return Tile(t.column("id").to_numpy(), integer_matrix(t.column("v")))
+
+        tiles, parts, n = [], [], 0
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            vectors += batch.column(1).to_pylist()
-            while len(ids) >= tile:
-                absorb(np.array(ids[:tile]), vectors[:tile])
-                ids, vectors = ids[tile:], vectors[tile:]
-        if ids and pending:
-            absorb(np.array(ids), vectors)
-        flat = [(query, -i, s) for query, hits in best.items() for s, i in hits]
-        for start in range(0, len(flat), 100_000):
-            columns = list(zip(*flat[start:start + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, tile - n)
+                parts.append(part)
+                at, n = at + part.num_rows, n + part.num_rows
+                if n == tile:
+                    tiles.append(made(parts))
+                    parts, n = [], 0
+                    if len(tiles) == TILES:
+                        yield from answered(tiles)
+                        tiles = []
+        if parts:
+            tiles.append(made(parts))
+        if tiles:
+            yield from answered(tiles)
 
     return wanted.mapInArrow(scan, HITS)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,7 +144,7 @@ def test_top_k_against_brute_force(spark):
     vectors = [(i, [rng.randint(-9, 9) for _ in range(6)]) for i in range(450)]
     vectors += [(1000 + i, vectors[3][1]) for i in range(40)]       # ties
     frame = spark.createDataFrame(vectors + [(700, None), (None, [1] * 6)], "vec_id bigint, vector array<bigint>").withColumn("id", F.lit(1)).repartition(3)
-    for tile, query_bytes in ((64, 1 << 20), (16_384, 100)):
+    for tile, query_bytes in ((64, 1 << 20), (16, 300), (16_384, 100)):
         found = topk.top_k(frame, frame.where("vec_id % 100 = 0"), 10, tile=tile, query_bytes=query_bytes)
         assert sorted(map(tuple, found.collect())) == brute_top(vectors, 10)
     few = topk.top_k(frame.limit(0), frame.where("vec_id = 0"), 10)
@@ -158,6 +159,15 @@ def test_top_k_large_values_and_lengths(spark):
     assert found == {1: 2 ** 63 - 1, 2: -2 ** 63, 3: 0}
 
 
+def test_top_k_null_components_and_repeated_rows(spark):
+    frame = spark.createDataFrame([(0, [2, None, 3]), (1, [5, 9, None]), (2, [1, 1, 1]), (2, [1, 1, 1]), (0, [2, None, 3]), (4, [None])],
+                                  "vec_id bigint, vector array<bigint>").coalesce(1)
+    found = topk.top_k(frame, frame.where("vec_id = 0"), 10).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 10), (2, 5), (2, 5), (4, 0)]
+    wide = topk.integer_matrix(pa.array([[1, None, 3], [], [4], [5, 6, 7, 8]], pa.list_(pa.int64())), 3)
+    assert wide.tolist() == [[1, 0, 3], [0, 0, 0], [4, 0, 0], [5, 6, 7]]
+
+
 def test_impact_index_stops_on_proof():
     rng = np.random.default_rng(0)
     values = rng.integers(-300, 300, (4000, 16))
