@@ -12,12 +12,41 @@ from profilelake.session import materialized, scratch_path
 from profilelake.sources import layer_csv, tables
 
 
-def _put(spark, path, data):
-    """One small file with these bytes."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    stream.write(bytearray(data))
-    stream.close()
+def _place_text(spark, header, lines, staged, target, *, last="", one=False, **options):
+    """Lines below ``header`` as text files that tasks write; ``target`` has a place for their numbers.
+
+    Each partition is a file with the header before its first line, beside a
+    file with the header and ``last``. With ``one``, a single file holds it all.
+    """
+    ends = spark.range(0, 1, 1, 1)
+    if one:
+        rows = lines.select(F.lit(1).alias("_o"), "value").unionByName(ends.select(F.lit(0).alias("_o"), F.lit(header).alias("value")))
+        if last:
+            rows = rows.unionByName(ends.select(F.lit(2).alias("_o"), F.lit(last).alias("value")))
+        rows = rows.repartition(1).sortWithinPartitions("_o").select("value")
+    else:
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        rows = lines.select(F.when(first, F.concat(F.lit(f"{header}\n"), "value")).otherwise(F.col("value")).alias("value"))
+        rows = rows.unionByName(ends.select(F.lit(f"{header}\n{last}" if last else header).alias("value")))
+    rows.write.options(**options).text(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target).getParent())
+    for i, status in enumerate(s for s in fs.listStatus(path(staged)) if s.getPath().getName().startswith("part-")):
+        fs.rename(status.getPath(), path(target.format(i)))
+
+
+def _place_half(spark, source, target):
+    """The first half of a file, copied piece by piece."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    half, piece = fs.getFileStatus(path(source)).getLen() // 2, 1 << 20
+    fs.mkdirs(path(target).getParent())
+    read, written = fs.open(path(source)), fs.create(path(target))
+    for at in range(0, half, piece):
+        written.write(read.readNBytes(min(piece, half - at)))
+    read.close()
+    written.close()
 
 
 @query("reconcile_bad_files", """WITH n AS (SELECT count(*) AS n FROM supplier)
@@ -29,20 +58,29 @@ UNION ALL SELECT 'qc_profile', '2025', '04', 0, NULL, false, 'parquet_missing,ar
 UNION ALL SELECT 'qc_profile', '2025', '05', n, n, true, '' FROM n)""")
 def reconcile_bad_files(spark, d):
     """Files of three layers, sound ones and one of each fault; every fault is named and nothing else is lost."""
-    import gzip
-
-    suppliers = [(r["s_suppkey"], r["s_name"]) for r in table(spark, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey").collect()]
     root = scratch_path(spark, "bad-files")
     csv_root, table_root = f"{root}/csv", f"{root}/tables"
-    calibration = "profile_index,variable,value\n" + "".join(f"{k},TEMP,{name}\n" for k, name in suppliers)
-    flags = "profile_index,DATA_MODE,DATA_STATE_INDICATOR,EXTRA\n" + "".join(f"{k},R,2B,{name}\n" for k, name in suppliers)
-    clean = ",".join(f.name for f in layer_csv.LAYERS["metadata_clean"].fields) + "\n" + "".join(f"{k},,,,{name},,,,,,\n" for k, name in suppliers)
-    packed = gzip.compress(calibration.encode(), mtime=0)
-    for month, name, data in (
-            ("01", "calibration.csv", calibration), ("01", "calibration_cut.csv.gz", packed[:len(packed) // 2]),
-            ("02", "calibration.csv.gz", calibration), ("03", "calibration.csv", calibration + "1,2\n"), ("01", "metadata_clean.csv", clean),
-            ("04", "qc_profile.csv", flags + '9,R,"2\nB",x\n'), ("05", "qc_profile.csv", flags)):
-        _put(spark, f"{csv_root}/2025/{month}/argo_{name}", data if isinstance(data, bytes) else data.encode())
+    suppliers = table(spark, d, "supplier")
+    key, name = (F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("s_suppkey", "s_name"))
+    texts = {
+        "calibration": ("profile_index,variable,value", F.concat(key, F.lit(",TEMP,"), name)),
+        "qc_profile": ("profile_index,DATA_MODE,DATA_STATE_INDICATOR,EXTRA", F.concat(key, F.lit(",R,2B,"), name)),
+        "metadata_clean": (",".join(f.name for f in layer_csv.LAYERS["metadata_clean"].fields), F.concat(key, F.lit(",,,,"), name, F.lit(",,,,,,")))}
+
+    def place(layer, month, ending, **how):
+        header, line = texts[layer]
+        target = f"{csv_root}/2025/{month}/argo_{layer}{ending}"
+        _place_text(spark, header, suppliers.select(line.alias("value")), f"{root}/staged/{layer}-{month}", target, **how)
+
+    place("calibration", "01", "_{}.csv")
+    place("calibration", "02", "_{}.csv.gz")        # plain text under a .gz name
+    place("calibration", "03", "_{}.csv", last="1,2")
+    place("metadata_clean", "01", "_{}.csv")
+    place("qc_profile", "04", ".csv", last='9,R,"2\nB",x', one=True)
+    place("qc_profile", "05", "_{}.csv")
+    header, line = texts["calibration"]
+    _place_text(spark, header, suppliers.select(line.alias("value")), f"{root}/staged/cut", f"{root}/whole.gz", one=True, compression="gzip")
+    _place_half(spark, f"{root}/whole.gz", f"{csv_root}/2025/01/argo_calibration_cut.csv.gz")
     layers = ("calibration", "metadata_clean", "qc_profile")
     tables.convert_layers(spark, csv_root, table_root, layers)
     report = None

@@ -64,7 +64,6 @@ def _named_values(lines: DataFrame) -> DataFrame:
 
 # What can be wrong with a file as a whole.
 MISLABELLED, UNREADABLE, QUOTED_BREAK = "mislabelled_gzip", "read_error", "quoted_line_break"
-PROBE = "path string, kind string, records bigint"
 
 
 def listed_files(spark: SparkSession, root: str, layer: str) -> DataFrame:
@@ -74,74 +73,105 @@ def listed_files(spark: SparkSession, root: str, layer: str) -> DataFrame:
     return files.where(wanted_file(F.col("path"))).select("path")
 
 
+# The codec that hands on all bytes takes the place of gzip; its setting has another name where Hadoop is shaded.
+PASS_THROUGH = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+                "io.compress.passthrough.extension": ".gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz"}
+
+
+def _packed_lines(spark: SparkSession, files: list[str] | str, layer: str) -> DataFrame:
+    """(uri, size, value) of files named .gz as they are stored, not unpacked, cut at each \\n.
+
+    A file is in one task, in order, and only some of it at a time: the text
+    reader streams what a codec hands on, and this one hands on all bytes.
+    """
+    return (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz")
+        .options(**PASS_THROUGH).option("lineSep", "\n").text(files)
+        .select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size"), "value"))
+
+
 def probe_gzip(spark: SparkSession, root: str, layer: str) -> DataFrame:
     """(path, kind, records) of the files named .gz.
 
     ``kind`` is null for a sound file, else what is wrong: content that is not
     gzip, a truncated or damaged stream, or (in text that must be split into
     lines here) line breaks inside quotes. Every file is unpacked to its end by
-    the task that reads it; only a full pass can tell a truncated one. Files
-    above 2 GB packed stop the job rather than being left out.
+    the task that reads it; only a full pass can tell a truncated one. A task
+    holds a batch of a file's bytes, never the file.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(T._parse_datatype_string(PROBE))
+    schema = "uri string, kind string, records bigint"
+    out = to_arrow_schema(T._parse_datatype_string(schema))
     by_lines = layer in OPEN_LAYERS
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root).where(wanted_file(F.col("path"))).select("path", "content")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root).where(wanted_file(F.col("path"))).select(
+        "path", F.col("_metadata.file_path").alias("uri"))
+    stored = _packed_lines(spark, root, layer).where(wanted_file(F.col("uri")))
 
     def probe(batches):
         import zlib
+        from itertools import chain, groupby
 
         import pyarrow as pa
 
-        def lines_of(data):
-            if data[:2] != b"\x1f\x8b":
-                yield from data.split(b"\n")
-                return
-            unpack, rest, tail = zlib.decompressobj(31), data, b""
-            while rest:
-                piece = unpack.decompress(rest, 1 << 20)
-                *whole, tail = (tail + piece).split(b"\n")
-                yield from whole
-                rest = unpack.unconsumed_tail
-                if unpack.eof:
-                    rest = unpack.unused_data
-                    unpack = zlib.decompressobj(31) if rest else unpack
-                elif not rest:
-                    break
+        def chunks():
+            seen = {}       # of the file at hand
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                sizes, values = batch.column(1), batch.column(2)
+                edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+                for s, e in zip(edges[:-1], edges[1:]):
+                    if s == e:
+                        continue
+                    data = b"\n".join(values[s:e].to_pylist()) + b"\n"
+                    seen = {names[s]: seen.get(names[s], 0) + len(data)}
+                    # no line break at the end of the file
+                    yield names[s], data[:-1] if seen[names[s]] > sizes[s].as_py() else data
+
+        def unpacked(parts):
+            unpack, tail = zlib.decompressobj(31), b""
+            for rest in parts:
+                while rest:
+                    if unpack.eof:
+                        unpack = zlib.decompressobj(31)
+                    piece = unpack.decompress(rest, 1 << 20)
+                    *whole, tail = (tail + piece).split(b"\n")
+                    yield from whole
+                    rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
             if not unpack.eof:
                 raise zlib.error("truncated")
             yield tail
 
-        for batch in batches:
-            kinds, counts = [], []
-            for content in batch.column(1):
-                data, records, broken = content.as_py(), 0, False
-                plain = data[:2] != b"\x1f\x8b"
-                try:
-                    for line in lines_of(data):
-                        records += bool(line.strip(b"\r"))
-                        broken |= line.count(b'"') % 2 == 1
-                    kind = QUOTED_BREAK if broken and (plain or by_lines) else MISLABELLED if plain else None
-                except zlib.error:
-                    kind, records = UNREADABLE, None
-                kinds.append(kind)
-                counts.append(records)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(counts, pa.int64())], schema=out)
-
-    return files.mapInArrow(probe, PROBE)
+        for uri, parts in groupby(chunks(), key=lambda c: c[0]):
+            data = (c for _, c in parts)
+            first, records, broken = next(data), 0, False
+            plain, data = first[:2] != b"\x1f\x8b", chain([first], data)
+            try:
+                for line in (x for c in data for x in c.split(b"\n")) if plain else unpacked(data):
+                    records += bool(line.strip(b"\r"))
+                    broken |= line.count(b'"') % 2 == 1
+                kind = QUOTED_BREAK if broken and (plain or by_lines) else MISLABELLED if plain else None
+            except zlib.error:
+                kind, records = UNREADABLE, None
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([kind], pa.string()), pa.array([records], pa.int64())], schema=out)
+
+    found = stored.select("uri", "size", F.col("value").cast("binary")).mapInArrow(probe, schema)
+    return listed.join(found, "uri").select("path", "kind", "records")
 
 
 def mislabelled_lines(spark: SparkSession, root: str, layer: str, probed: DataFrame) -> DataFrame:
     """Lines of files named .gz whose content is plain text: (path, header, line, _block, _seq)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", f"*{LAYER_FILE_PREFIX}{layer}*.csv.gz").load(root)
-    plain = files.join(probed.where(F.col("kind") == MISLABELLED).select("path"), "path", "left_semi")
-    lines = plain.select("path", F.split(utf8(F.col("content")), "\r?\n").alias("_lines"))
-    return lines.select("path", F.get("_lines", F.lit(0)).alias("header"), F.posexplode("_lines").alias("_seq", "line")).where(
-        (F.col("_seq") > 0) & (F.col("line") != "")).select(
-        "path", "header", "line", F.lit(0).cast("bigint").alias("_block"), F.col("_seq").cast("bigint").alias("_seq"))
+    plain = probed.where((F.col("kind") == MISLABELLED) & (F.col("records") > 0)).select("path")
+    paths = sorted(r["path"] for r in plain.collect())     # names only
+    if not paths:
+        return spark.createDataFrame([], "path string, header string, line string, _block bigint, _seq bigint")
+    names = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("uri"))
+    line = F.regexp_replace(utf8(F.col("value")), r"\r\z", "")
+    lines = _packed_lines(spark, paths, layer).select("uri", line.alias("line"), F.monotonically_increasing_id().alias("_seq"))
+    headers = materialized(lines.groupBy("uri").agg(F.min_by("line", "_seq").alias("header"), F.min("_seq").alias("_first")).join(names, "uri"))
+    return lines.join(headers, "uri").where((F.col("_seq") > F.col("_first")) & (F.col("line") != "")).select(
+        "path", "header", "line", F.lit(0).cast("bigint").alias("_block"), "_seq")
 
 
 def _odd_quotes(line: Column) -> Column:
@@ -302,7 +332,7 @@ def source_counts(spark: SparkSession, root: str, layer: str) -> DataFrame:
     months = ["year", "month"]
     listed = listed_files(spark, root, layer).withColumns(path_columns(F.col("path")))
     files = listed.groupBy(*months).agg(F.count(F.lit(1)).alias("files"))
-    probed = probe_gzip(spark, root, layer)
+    probed = materialized(probe_gzip(spark, root, layer))
     lines = _text_lines(spark, root, layer, sound_files(spark, root, layer, probed)).where("line <> ''")
     issues = file_issues(spark, root, layer)
     sound = lines.groupBy("path").agg(F.count(F.lit(1)).alias("records")).unionByName(

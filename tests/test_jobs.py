@@ -252,6 +252,28 @@ def test_damaged_files_are_named_and_left_out(spark, csv_root, tmp_path):
         "parquet_missing", "argo_core_measurements.csv.gz: read_error", "argo_core_measurements_q.csv.gz: quoted_line_break"]
 
 
+def test_packed_files_are_read_in_pieces(spark, tmp_path):
+    """No row of the probe or of a mislabelled file's lines holds a file or all of its lines."""
+    folder = tmp_path / "csv" / "2025" / "01"
+    folder.mkdir(parents=True)
+    text = "profile_index,variable,value\n" + "".join(f"{i},TEMP,{i * 7919 % 10007}\n" for i in range(30_000))
+    packed = gzip.compress(text.encode(), mtime=0)
+    breaks = [i + 1 for i, b in enumerate(packed) if b == 10]
+    files = {"a": text.encode(), "b": packed, "c": packed[:breaks[3]], "d": packed[:-1], "e": packed + packed, "f": b"x,y\r\n1,2\r\n\r\n3,4"}
+    for name, data in files.items():
+        (folder / f"argo_calibration_{name}.csv.gz").write_bytes(data)
+    root = str(tmp_path / "csv")
+    probed = layer_csv.probe_gzip(spark, root, "calibration")
+    got = {r["path"][-8]: (r["kind"], r["records"]) for r in probed.collect()}
+    assert got == {"a": ("mislabelled_gzip", 30_001), "b": (None, 30_001), "c": ("read_error", None), "d": ("read_error", None),
+                   "e": (None, 60_002), "f": ("mislabelled_gzip", 3)}
+    lines = layer_csv.mislabelled_lines(spark, root, "calibration", probed)
+    assert [r["line"] for r in lines.where("path like '%_f.csv.gz'").orderBy("_seq").collect()] == ["1,2", "3,4"]
+    assert lines.where("path like '%_a.csv.gz' and header = 'profile_index,variable,value'").count() == 30_000
+    for df in (probed, lines):
+        assert "content" not in plan(df) and "posexplode" not in plan(df)
+
+
 def test_row_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path):
     def put(month, rows):
         folder = tmp_path / "csv" / "2025" / month
