@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilelake.operators.fetch import in_box
+from profilelake.operators.ranking import salts_for
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -81,20 +82,30 @@ def flag_distribution(df: DataFrame, column: str = "PSAL_QC") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), F.col(column))
 
 
+ROWS_PER_TASK = 1 << 20
+
+
 def profile_exists(requests: DataFrame, core: DataFrame) -> DataFrame:
     """``found`` for each request (platform_number, profile_index or null).
 
-    The core table is first reduced to the platforms asked for, so only their
-    rows are aggregated; without a profile any non-null one of the platform counts.
+    Without a profile any non-null one of the platform counts. The profiles are
+    dealt over as many parts as the table's row count asks for, so that a task's
+    share does not grow with the table; what is not asked for goes no further.
     """
-    asked = requests.select("platform_number").where(F.col("platform_number").isNotNull()).distinct()
-    rows = core.select("platform_number", "profile_index").where(F.col("profile_index").isNotNull())
-    pairs = rows.join(asked, "platform_number", "left_semi").distinct()
-    hit = F.lit(True).alias("_hit")
-    exact = pairs.select("platform_number", F.col("profile_index").alias("_profile"), hit)
-    whole = pairs.select("platform_number").distinct().select("*", F.lit(None).cast("bigint").alias("_profile"), hit)
-    known = exact.unionByName(whole)
-    same = (requests["platform_number"] == known["platform_number"]) & requests["profile_index"].eqNullSafe(known["_profile"])
+    spark = core.sparkSession
+    keys = ["platform_number", "profile_index"]
+    rows = core.select(*keys).where(F.col("platform_number").isNotNull() & F.col("profile_index").isNotNull())
+    parts = salts_for(core.count(), ROWS_PER_TASK)
+    dealt = rows.repartition(parts, *keys) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+    asked = requests.select(*keys).where(F.col("platform_number").isNotNull())
+    pairs = asked.where(F.col("profile_index").isNotNull()).distinct()
+    alone = asked.where(F.col("profile_index").isNull()).select("platform_number").distinct()
+    exact = pairs.join(dealt.distinct(), keys, "left_semi")
+    whole = alone.join(rows.select("platform_number").distinct(), "platform_number", "left_semi")
+    known = exact.select(F.col("platform_number").alias("_platform"), F.col("profile_index").alias("_profile")).unionByName(
+        whole.select(F.col("platform_number").alias("_platform"), F.lit(None).cast(requests.schema["profile_index"].dataType).alias("_profile")))
+    known = known.withColumn("_hit", F.lit(True))
+    same = (F.col("platform_number") == F.col("_platform")) & F.col("profile_index").eqNullSafe(F.col("_profile"))
     return requests.join(known, same, "left").select(
         *[requests[c] for c in requests.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("found"))
 

@@ -326,6 +326,20 @@ def test_run_log(spark, tmp_path):
     assert sorted(r[0] for r in fetch.unprocessed(files, log, skip_errors=True).collect()) == ["c"]
 
 
+def test_profile_exists_deals_a_large_table_over_more_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    some = lambda n: rng.choice([None, *range(n)])      # noqa: E731
+    have = [(some(40), some(9)) for _ in range(300)]
+    asked = [(some(50), some(12)) for _ in range(200)]
+    schema = "platform_number long, profile_index long"
+    monkeypatch.setattr(quality, "ROWS_PER_TASK", 300 // 29, raising=False)
+    found = quality.profile_exists(spark.createDataFrame(asked, schema), spark.createDataFrame(have, schema))
+    assert ", REPARTITION_BY_NUM" in plan(found) and "30), REPARTITION_BY_NUM" in plan(found)
+    want = [(p, i, p is not None and any(p == q and j is not None and i in (None, j) for q, j in have)) for p, i in asked]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+
+
 def test_null_summary_covers_all_layers(spark):
     layers = {n: spark.createDataFrame([], s) for n, s in LAYERS.items()}
     rows = quality.null_summary(layers, CRITICAL_COLUMNS).collect()
