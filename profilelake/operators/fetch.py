@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import integer, text_number
-from profilelake.operators.ranking import first_per_key, top_n_per_key
+from profilelake.operators.ranking import first_per_key, salts_for, top_n_per_key
 from profilelake.schemas import FETCH_CAP, FETCH_COLUMNS, METADATA_ALIASES
+from profilelake.session import materialized
 
 
 # --- columns ---------------------------------------------------------------
@@ -196,6 +197,33 @@ def fetch_in_windows(core: DataFrame, asked: DataFrame, *, cap: int = FETCH_CAP)
     return top_n_per_key(found, keys, [F.col("juld").desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in lead + rest], cap)
 
 
+ROWS_PER_FILE = 1 << 18
+
+
+def rows_of_questions(capped: DataFrame, asked: DataFrame, on: Sequence[str], key: str = "query_id", *,
+                      per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Fetched rows joined with the questions (``asked``: key and the columns ``on``, distinct), written.
+
+    Few fetched rows may become very many, since questions share them, and they
+    pack so well that one file, and so one task, would hold them all. Their
+    number is counted beforehand: the join and the files written are dealt over
+    as many parts. A question lies in one file, so that a task's partial
+    aggregates meet it once; one of more than ``per_file`` rows is cut into pieces.
+    """
+    capped, spark = materialized(capped), capped.sparkSession
+    shares = capped.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialized(asked.join(shares, list(on)).groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_n")))
+    total, fetched = sizes.agg(F.sum("_n")).first()[0] or 0, capped.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), salts_for(total, per_file))
+    # every fetched row is repeated at most as often as questions take it on average
+    copies = max(1, min(parts, total // max(1, fetched)))
+    copied = capped.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    taken = asked.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_copy", F.pmod(F.xxhash64(key), F.lit(copies)).cast("int"))
+    joined = copied.repartition(parts, *on, "_copy").join(taken.repartition(parts, *on, "_copy"), [*on, "_copy"])
+    piece = F.pmod(F.xxhash64("platform_number", "profile_index"), F.ceil(F.col("_n") / per_file)).alias("_piece")
+    return materialized(joined.repartition(parts, F.col(key), piece).drop("_copy", "_key", "_n"))
+
+
 def choose_metadata(full: DataFrame, clean: DataFrame, year: str) -> DataFrame:
     """Metadata rows to read for a year: full of that year, else clean of that
     year, else any full, else any clean. Each probe reads one row."""

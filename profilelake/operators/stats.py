@@ -26,12 +26,14 @@ def six_statistics(df: DataFrame, variables: Sequence[str] = STAT_VARIABLES, gro
     (and group), rounded; missing values are skipped."""
     present = [v for v in variables if v in df.columns]
     values = df.select(*groups, *[F.col(v).cast("double").alias(v) for v in present])
+    values = values.withColumns({v: F.nullif(v, F.lit(float("nan"))) for v in present})
     long = values.unpivot(list(groups), present, "variable", "value")
-    long = long.withColumn("value", F.nullif("value", F.lit(float("nan"))))
     keys = [*groups, "variable"]
-    stats = materialized(long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.stddev_samp("value").alias("std"), bracket("value", 0.5).alias("bracket")))
+    # all variables of a row at once: with many groups the rows are sorted for the sketches
+    wide = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), *[F.struct(
+        F.lit(v).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.stddev_samp(v).alias("std"), bracket(v, 0.5).alias("bracket")).alias(f"_{i}") for i, v in enumerate(present)])
+    stats = materialized(wide.where("_rows > 0").select(*groups, F.inline(F.array(*[f"_{i}" for i in range(len(present))]))))
     medians = exact_quantile(long, keys, "value", 0.5, out="median", brackets=stats).select(
         *[F.col(k).alias(f"_m_{k}") for k in keys], "median")
     same = None

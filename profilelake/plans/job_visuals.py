@@ -15,6 +15,7 @@ from profilelake.plans.context import KEY
 from profilelake.plans.retrieval import Retrieval
 from profilelake.plans.triage import visual_intent
 from profilelake.schemas import MAX_CHART_POINTS, MAX_TABLE_ROWS
+from profilelake.session import materialized
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 TIES = ("platform_number", "profile_index", "level_index")
@@ -76,16 +77,31 @@ def aggregates(rows: DataFrame, column: str) -> DataFrame:
     return tables(agg, f"Aggregates for {column}")
 
 
-def maps(places: DataFrame, title: str, label: str | None = "PLATFORM_NUMBER", n: int = MAX_TABLE_ROWS) -> DataFrame | None:
-    """Valid positions among each question's first ``n`` places, and why the others are left out; None without position columns."""
+def maps(places: DataFrame, title: str, label: str | None = "PLATFORM_NUMBER", n: int = MAX_TABLE_ROWS,
+         asked: DataFrame | None = None, by: str | None = None) -> DataFrame | None:
+    """Valid positions among each question's first ``n`` places, and why the others are left out; None without position columns.
+
+    With ``asked`` (query_id, _p) the places are those whose column ``by`` is a
+    question's ``_p``, distinct. A question's first places are among the first of
+    each of its ``_p``, so only these meet the questions, however many places there are.
+    """
     lat, lon = find_column(places, "LATITUDE"), find_column(places, "LONGITUDE")
     named = find_column(places, label) if label else None
     if lat is None or lon is None:
         return None
     stored = [c for c in ("year", "month", "source_file", "row_ordinal") if c in places.columns]
     kept = list(dict.fromkeys([*stored, lat, lon, *([named] if named else [])]))
-    narrow = places.select(KEY, *kept)
     order = [F.col(c).asc_nulls_last() for c in kept] if stored else [F.xxhash64(*kept), *[F.col(c).asc_nulls_last() for c in kept]]
+    if asked is None:
+        narrow, counts = places.select(KEY, *kept), places.groupBy(KEY).agg(F.count(F.lit(1)).alias("row_count"))
+    else:
+        asked = materialized(asked)
+        met = F.col("_by") == F.col("_p")
+        own = places.select(*kept, F.col(by).alias("_by")).join(asked.select("_p").distinct(), met, "left_semi")
+        best = materialized(top_n_per_key(own, ["_by"], order, n, rank="_nth").drop("_nth"))
+        narrow = best.join(asked, met).select(KEY, *kept)
+        sizes = own.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
+        counts = sizes.join(asked, met).groupBy(KEY).agg(F.sum("_n").alias("row_count"))
     first = top_n_per_key(narrow, [KEY], order, n, rank="_nth")
 
     def absent(c):
@@ -99,7 +115,6 @@ def maps(places: DataFrame, title: str, label: str | None = "PLATFORM_NUMBER", n
     both = _gathered(first, "_nth", F.struct(point.alias("p"), omitted.alias("o")), "_all")
     points = F.array_compact(F.transform("_all", lambda c: c["p"]))
     left_out = F.array_compact(F.transform("_all", lambda c: c["o"]))
-    counts = places.groupBy(KEY).agg(F.count(F.lit(1)).alias("row_count"))
     return both.join(counts, KEY).select(KEY, F.lit("map").alias("visual_kind"), _payload(
         "map", title, points.alias("points"), "row_count", F.size(points).alias("returned_count"), F.size(left_out).alias("omitted_count"),
         left_out.alias("omitted_reasons")).alias("visual_json"))
@@ -130,7 +145,8 @@ def job_visuals(run: Retrieval, questions: DataFrame, positions: DataFrame | Non
             plan = plan.when((F.col("_intent") == kind) & rows, kind)
     if variable:
         plan = plan.when((F.col("_intent") == "aggregate") & rows, "aggregate")
-    asked = asked.withColumn("_plan", plan.when(about, "metadata").when(rows, "numeric").otherwise("none"))
+    # written, since each kind reads it and its size decides how its questions' rows are found
+    asked = materialized(asked.withColumn("_plan", plan.when(about, "metadata").when(rows, "numeric").otherwise("none")))
 
     def wanting(df: DataFrame, kind: str) -> DataFrame:
         return df.join(asked.where(F.col("_plan") == kind).select(KEY), KEY, "left_semi")
@@ -146,10 +162,9 @@ def job_visuals(run: Retrieval, questions: DataFrame, positions: DataFrame | Non
     if positions is not None:
         column = find_column(positions, "platform_number")
         own = run.metadata.select(KEY, F.col("platform_number").alias("_p")).distinct()
-        places = positions.join(wanting(own, "map"), F.col(column) == F.col("_p")).drop("_p")
+        drawn = maps(positions, "Profiles: geographic sample", asked=wanting(own, "map"), by=column)
     else:
-        places = wanting(run.metadata, "map")
-    drawn = maps(places, "Profiles: geographic sample")
+        drawn = maps(wanting(run.metadata, "map"), "Profiles: geographic sample")
     if drawn is not None:
         parts.append(drawn)
     made = parts[0].select(*OUT)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.candidates import build_candidates, ranked_candidates
-from profilelake.operators.fetch import LIMITS, fetch_in_windows, fetch_measurements, fetch_metadata, find_column, for_platforms, with_window
+from profilelake.operators.fetch import LIMITS, fetch_in_windows, fetch_measurements, fetch_metadata, find_column, for_platforms, rows_of_questions, with_window
 from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
@@ -64,10 +64,10 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
         limited = with_window(questions.select(KEY, *[c for c in LIMITS if c in questions.columns]))
         asked = wanted.join(limited, KEY)
         capped = fetch_in_windows(core, asked, cap=cap).drop("rank")
-        rows = materialized(capped.join(asked.select(KEY, "window", "platform_number"), ["window", "platform_number"]).drop("window"))
+        rows = rows_of_questions(capped, asked.select(KEY, "window", "platform_number"), ["window", "platform_number"]).drop("window")
     else:
         capped = fetch_measurements(core, platforms, months=months, date_from=date_from, date_to=date_to, cap=cap).drop("rank")
-        rows = materialized(capped.join(wanted, "platform_number"))
+        rows = rows_of_questions(capped, wanted, ["platform_number"])
     about = fetch_metadata(metadata, platforms).join(wanted, "platform_number")
     texts = questions.select(KEY, "text")
     full = assemble(texts.join(candidates.select(KEY), KEY, "left_semi"), hits, rows, about)

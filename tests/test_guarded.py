@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from profilelake.operators.fetch import fetch_in_windows, with_window
+from profilelake.operators.fetch import fetch_in_windows, rows_of_questions, with_window
 from profilelake.operators.ranking import evenly_spaced, pick_evenly_per_group
+from profilelake.operators.stats import six_statistics
+from profilelake.plans import job_visuals as visuals_module
 from profilelake.plans.gate import region_hits, summed_area
 from profilelake.plans.job_visuals import job_visuals
 from profilelake.plans.retrieval import Retrieval, result_rows, visual_for
@@ -116,3 +118,53 @@ def test_job_visuals_agree_with_those_of_single_questions(spark, core):
             assert got[q][1] == want
     filled = {r["query_id"]: json.loads(r["value"]) for r in result_rows(run, job_visuals(run, questions, places)).collect()}
     assert json.loads(filled[0]["visual_json"])["xKey"] == "juld" and len(filled) == len(texts)
+
+
+def test_maps_meet_questions_with_the_first_places_only(spark, core, monkeypatch):
+    rnd = random.Random(5)
+    spots = [(rnd.choice([None, *range(300)]), rnd.randrange(3), rnd.choice([None, 1.5, NAN, 2.5]), float(rnd.randrange(5))) for _ in range(3000)]
+    places = spark.createDataFrame(spots, "row_ordinal bigint, PLATFORM_NUMBER int, LATITUDE double, LONGITUDE double").repartition(3)
+    wants = {q: rnd.sample([0, 1, 2, 9], rnd.randint(1, 4)) for q in range(12)}
+    about = spark.createDataFrame([(q, p) for q, ps in wants.items() for p in ps + ps[:1]], "query_id bigint, platform_number bigint")
+    questions = spark.createDataFrame([(q, "map near the equator") for q in wants], "query_id bigint, text string")
+    met, real = [], visuals_module.top_n_per_key
+
+    def counted(df, keys, *rest, **named):
+        met.append((keys, df.count()))
+        return real(df, keys, *rest, **named)
+
+    monkeypatch.setattr(visuals_module, "top_n_per_key", counted)
+    run = Retrieval(None, None, core.limit(0).withColumn("query_id", F.lit(0).cast("bigint")), about, None)
+    got = {r["query_id"]: json.loads(r["visual_json"]) for r in job_visuals(run, questions, places).collect() if r["visual_kind"] == "map"}
+    assert 0 < max(n for keys, n in met if keys == ["query_id"]) <= sum(len(ps) for ps in wants.values()) * 200
+    assert set(got) == {q for q, ps in wants.items() if ps != [9]}
+    for q, v in got.items():
+        own = sorted((s for s in spots if s[1] in wants[q]), key=lambda s: (s[0] is None, s[0] or 0, s[2] is None, s[2] != s[2], s[2] or 0, s[3], s[1]))
+        shown = [(s[2], s[3], str(s[1])) for s in own[:200] if s[2] is not None and s[2] == s[2]]
+        assert v["row_count"] == len(own) and v["returned_count"] == len(shown) and v["omitted_count"] == len(own[:200]) - len(shown)
+        assert [(p["lat"], p["lon"], p["label"]) for p in v["points"]] == shown
+
+
+def test_rows_of_questions_are_dealt_over_files(spark):
+    rows = spark.range(3000).select((F.col("id") % 10).alias("platform_number"), (F.col("id") % 7).alias("profile_index"), "id").union(
+        spark.sql("SELECT CAST(NULL AS BIGINT), 1L, 5000L UNION ALL SELECT 3L, NULL, 5001L UNION ALL SELECT 3L, NULL, 5001L")).coalesce(1)
+    pairs = [(q, p) for q in range(60) for p in {q % 10, (q + 3) % 10}] + [(q, 77) for q in (1, 500)] + [(99, p) for p in range(10)] + [(None, 1), (None, None)]
+    asked = spark.createDataFrame(pairs, "query_id bigint, platform_number bigint").coalesce(1)
+    got = rows_of_questions(rows, asked, ["platform_number"], per_file=700)
+    want = rows.join(asked, "platform_number")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    dealt = got.groupBy("query_id", F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(sum(r["n"] for r in dealt if r["f"] == f) for f in {r["f"] for r in dealt}) <= 5 * 700      # 39,000 rows
+    files = {q: sum(r["query_id"] == q for r in dealt) for q in (*range(60), 99)}
+    assert all(files[q] == 1 for q in range(60)) and files[99] > 1
+    assert rows_of_questions(rows, asked.limit(0), ["platform_number"]).count() == rows_of_questions(rows.limit(0), asked, ["platform_number"]).count() == 0
+
+
+def test_six_statistics_sort_each_row_once_for_all_variables(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (1, 3.0, NAN), (1, None, 6.0), (None, NAN, 2.0)], "query_id bigint, TEMP double, PSAL double")
+    made = []
+    monkeypatch.setattr("profilelake.operators.stats.materialized", lambda d: made.append(d) or d)
+    got = {(r["query_id"], r["variable"]): tuple(r)[2:6] for r in six_statistics(df, ("TEMP", "PSAL"), ["query_id"]).collect()}
+    assert got == {(1, "TEMP"): (2, 2.0, 2.0, 1.0), (1, "PSAL"): (2, 5.5, 5.5, 5.0), (None, "TEMP"): (0, None, None, None), (None, "PSAL"): (1, 2.0, 2.0, 2.0)}
+    assert "Expand" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert six_statistics(df.limit(0), ("TEMP", "PSAL")).count() == 0
