@@ -214,10 +214,11 @@ def rows_of_questions(capped: DataFrame, asked: DataFrame, on: Sequence[str], ke
     shares = capped.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     sizes = materialized(asked.join(shares, list(on)).groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_n")))
     total, fetched = sizes.agg(F.sum("_n")).first()[0] or 0, capped.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), salts_for(total, per_file))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(few, salts_for(total, per_file))
     # every fetched row is repeated at most as often as questions take it on average
     copies = max(1, min(parts, total // max(1, fetched)))
-    copied = capped.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    copied = capped.repartition(few, "platform_number", "profile_index").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     taken = asked.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_copy", F.pmod(F.xxhash64(key), F.lit(copies)).cast("int"))
     joined = copied.repartition(parts, *on, "_copy").join(taken.repartition(parts, *on, "_copy"), [*on, "_copy"])
     piece = F.pmod(F.xxhash64("platform_number", "profile_index"), F.ceil(F.col("_n") / per_file)).alias("_piece")

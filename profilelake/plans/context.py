@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import csv_line, json_safe, lookup, shorten, tokens_estimate
-from profilelake.operators.ranking import ranked_top_n, top_n_per_key
+from profilelake.operators.ranking import ranked_top_n, salts_for
 from profilelake.operators.stats import PROFILE, row_budget, six_statistics, surface_median_deep
 from profilelake.schemas import CONTEXT_TOKENS
+from profilelake.session import materialized
 
 KEY = "query_id"
 TOP_HITS = 10
 COMPACT_HITS = 5
 METADATA_ROWS = 20
+ROWS_PER_TASK = 1 << 18     # of all questions, where a task's memory grows with its rows
 
 # Columns of a sample line and metadata of a hit line, in order.
 SAMPLE_COLUMNS = ("platform_number", "profile_index", "juld", "level_index", "PRES", "TEMP", "PSAL",
@@ -56,16 +58,27 @@ def metadata_only_context(questions: DataFrame, hits: DataFrame, candidates: Dat
 
 def sample_rows(rows: DataFrame) -> DataFrame:
     """Surface, median and deep rows of each question's latest profiles, as many
-    as its row budget has room for. Adds ``budget`` and ``profile_rank``."""
-    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    budgets = counts.select(KEY, row_budget(F.col("_n")).alias("budget"))
+    as its row budget has room for. Adds ``budget`` and ``profile_rank``.
+
+    The work is dealt over as many parts as the rows ask for.
+    """
+    counts = materialized(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                salts_for(counts.agg(F.sum("_n")).first()[0] or 0, ROWS_PER_TASK))
     known = rows.where(F.col("platform_number").isNotNull() & F.col("profile_index").isNotNull())
-    profiles = known.groupBy(KEY, *PROFILE).agg(F.max("juld").alias("latest_juld"))
+    # a question's profiles meet in one task, those of a question of over ROWS_PER_TASK rows in several
+    piece = F.pmod(F.xxhash64(*PROFILE), F.ceil(F.col("_n") / ROWS_PER_TASK)).alias("_piece")
+    dealt = known.select(KEY, *PROFILE, "juld").join(counts, KEY).select(KEY, *PROFILE, "juld", piece).repartition(parts, KEY, "_piece")
+    profiles = dealt.groupBy(KEY, "_piece", *PROFILE).agg(F.max("juld").alias("latest_juld"))
     order = [F.col("latest_juld").desc_nulls_last(), *[F.col(p) for p in PROFILE]]
     # the largest budget is 500 rows, three per profile
-    latest = top_n_per_key(profiles, [KEY], order, 500 // 3, rank="profile_rank").join(budgets, KEY)
+    most = 500 // 3
+    local = ranked_top_n(profiles, [KEY, "_piece"], order, most, "profile_rank").drop("_piece", "profile_rank")
+    budgets = counts.select(KEY, row_budget(F.col("_n")).alias("budget"))
+    latest = ranked_top_n(local.repartition(parts, KEY), [KEY], order, most, "profile_rank").join(budgets, KEY)
     latest = latest.where(F.col("profile_rank") <= F.floor(F.col("budget") / 3)).drop("latest_juld")
-    chosen = known.join(latest, [KEY, *PROFILE])
+    place = [KEY, *PROFILE]
+    chosen = known.repartition(parts, *place).join(latest.repartition(parts, *place), place)
     return surface_median_deep(chosen, (KEY, *PROFILE))
 
 

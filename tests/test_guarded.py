@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from profilelake.operators.fetch import fetch_in_windows, rows_of_questions, with_window
 from profilelake.operators.ranking import evenly_spaced, pick_evenly_per_group
 from profilelake.operators.stats import six_statistics
+from profilelake.plans import context
 from profilelake.plans import job_visuals as visuals_module
 from profilelake.plans.gate import region_hits, summed_area
 from profilelake.plans.job_visuals import job_visuals
@@ -168,3 +170,21 @@ def test_six_statistics_sort_each_row_once_for_all_variables(spark, monkeypatch)
     assert got == {(1, "TEMP"): (2, 2.0, 2.0, 1.0), (1, "PSAL"): (2, 5.5, 5.5, 5.0), (None, "TEMP"): (0, None, None, None), (None, "PSAL"): (1, 2.0, 2.0, 2.0)}
     assert "Expand" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
     assert six_statistics(df.limit(0), ("TEMP", "PSAL")).count() == 0
+
+
+def test_sample_rows_are_dealt_by_the_number_of_rows(spark, core, monkeypatch):
+    rows = core.join(spark.createDataFrame([(q, p) for q in range(5) for p in range(4) if q % 2 or p == q], "query_id bigint, platform_number bigint"), "platform_number")
+    rows = rows.unionByName(rows.where("query_id = 1").withColumns({"profile_index": F.col("level_index") + 10, "query_id": F.lit(7).cast("bigint")}))
+    whole = sorted(map(str, context.sample_rows(rows).collect()))
+    monkeypatch.setattr(context, "ROWS_PER_TASK", 100)
+    picked = context.sample_rows(rows)
+    assert sorted(map(str, picked.collect())) == whole
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    parts = -(-rows.count() // 100)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and re.search(rf"RepartitionByExpression \[query_id[^]]*\], {parts}", plan)
+    profiles = {}
+    for r in rows.where("query_id = 7").collect():
+        profiles[(r["platform_number"], r["profile_index"])] = r["juld"]
+    latest = sorted(profiles, key=lambda k: (-profiles[k].timestamp(), k))[:200 // 3]
+    got = {(r["platform_number"], r["profile_index"]): r["profile_rank"] for r in picked.where("query_id = 7").collect()}
+    assert got == {k: i for i, k in enumerate(latest, 1)}
