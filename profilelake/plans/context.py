@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import csv_line, json_safe, lookup, shorten, tokens_estimate
-from profilelake.operators.ranking import ranked_top_n, salts_for
-from profilelake.operators.stats import PROFILE, row_budget, six_statistics, surface_median_deep
+from profilelake.operators.ranking import ranked_top_n, salts_for, top_n_per_key
+from profilelake.operators.shares import Shares
+from profilelake.operators.stats import PROFILE, STAT_VARIABLES, row_budget, surface_median_deep
 from profilelake.schemas import CONTEXT_TOKENS
 from profilelake.session import materialized
 
@@ -46,7 +49,7 @@ def hit_lines(hits: DataFrame, limit: int = TOP_HITS) -> DataFrame:
 
 def metadata_only_context(questions: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataFrame:
     """Questions without any candidate: their ten best hits as text."""
-    alone = questions.join(candidates.select(KEY), KEY, "left_anti")
+    alone = questions.join(candidates.select(KEY).distinct(), KEY, "left_anti")
     top = hits.where(F.col("hit_rank") <= TOP_HITS).join(alone.select(KEY), KEY, "left_semi")
     line = F.concat_ws(" ", F.concat(F.lit("DOC_ID="), F.col("id").cast("string")),
                        F.concat(F.lit("SCORE="), F.round("score", 6).cast("string")),
@@ -56,34 +59,44 @@ def metadata_only_context(questions: DataFrame, hits: DataFrame, candidates: Dat
     return alone.join(lines, KEY, "left").select(*questions.columns, text.alias("context"))
 
 
-def sample_rows(rows: DataFrame) -> DataFrame:
+def sample_rows(rows: DataFrame, shares: Shares | None = None) -> DataFrame:
     """Surface, median and deep rows of each question's latest profiles, as many
     as its row budget has room for. Adds ``budget`` and ``profile_rank``.
 
-    The work is dealt over as many parts as the rows ask for.
+    A question's latest profiles are among the latest of each of its shares, so
+    the rows of these are picked once for all questions. The work is dealt over
+    as many parts as the rows ask for. ``shares``: the same rows as questions share them.
     """
-    counts = materialized(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    shares = shares or Shares.of(rows, KEY)
+    if {"platform_number"} < set(shares.on):
+        # a profile that a question takes from several shares is one profile with the rows of all
+        twice = shares.asked.distinct().groupBy(KEY, "platform_number").count().where("count > 1").select(KEY).distinct()
+        if not twice.isEmpty():
+            alone = replace(shares, asked=shares.asked.join(twice, KEY, "left_anti"))
+            return sample_of(alone).unionByName(sample_of(Shares.of(shares.of_questions(twice).joined(), KEY)))
+    return sample_of(shares)
+
+
+def sample_of(shares: Shares) -> DataFrame:
+    """:func:`sample_rows` of questions that take each of their profiles from one share."""
+    on, most = list(shares.on), 500 // 3        # the largest budget is 500 rows, three per profile
+    counts = materialized(shares.ranges(count="_n"), plain=True)
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 salts_for(counts.agg(F.sum("_n")).first()[0] or 0, ROWS_PER_TASK))
-    known = rows.where(F.col("platform_number").isNotNull() & F.col("profile_index").isNotNull())
-    # a question's profiles meet in one task, those of a question of over ROWS_PER_TASK rows in several
-    piece = F.pmod(F.xxhash64(*PROFILE), F.ceil(F.col("_n") / ROWS_PER_TASK)).alias("_piece")
-    dealt = known.select(KEY, *PROFILE, "juld").join(counts, KEY).select(KEY, *PROFILE, "juld", piece).repartition(parts, KEY, "_piece")
-    profiles = dealt.groupBy(KEY, "_piece", *PROFILE).agg(F.max("juld").alias("latest_juld"))
+    known = shares.rows.where(F.col("platform_number").isNotNull() & F.col("profile_index").isNotNull())
+    place = list(dict.fromkeys([*on, *PROFILE]))
     order = [F.col("latest_juld").desc_nulls_last(), *[F.col(p) for p in PROFILE]]
-    # the largest budget is 500 rows, three per profile
-    most = 500 // 3
-    local = ranked_top_n(profiles, [KEY, "_piece"], order, most, "profile_rank").drop("_piece", "profile_rank")
+    profiles = top_n_per_key(known.groupBy(*place).agg(F.max("juld").alias("latest_juld")), on, order, most, rank="_nth").drop("_nth")
+    picked = surface_median_deep(known.join(profiles.select(*place), place, "left_semi"), place)
     budgets = counts.select(KEY, row_budget(F.col("_n")).alias("budget"))
-    latest = ranked_top_n(local.repartition(parts, KEY), [KEY], order, most, "profile_rank").join(budgets, KEY)
+    met = shares.asked.distinct().repartition(parts, KEY).join(profiles, on)
+    latest = ranked_top_n(met, [KEY], order, most, "profile_rank").join(budgets, KEY)
     latest = latest.where(F.col("profile_rank") <= F.floor(F.col("budget") / 3)).drop("latest_juld")
-    place = [KEY, *PROFILE]
-    chosen = known.repartition(parts, *place).join(latest.repartition(parts, *place), place)
-    return surface_median_deep(chosen, (KEY, *PROFILE))
+    return picked.join(latest, place).select(KEY, *shares.columns, "profile_rank", "budget")
 
 
-def sample_lines(rows: DataFrame) -> DataFrame:
-    picked = sample_rows(rows)
+def sample_lines(rows: DataFrame, shares: Shares | None = None) -> DataFrame:
+    picked = sample_rows(rows, shares)
     shown = [c for c in SAMPLE_COLUMNS if c in picked.columns]
     order = F.struct("profile_rank", F.coalesce(F.col("PRES"), F.lit(0.0)), "level_index")
     header = F.lit(",".join(shown))
@@ -91,9 +104,9 @@ def sample_lines(rows: DataFrame) -> DataFrame:
     return lines.select(KEY, F.concat(F.array(header), "_body").alias("sample_lines"))
 
 
-def statistics_text(rows: DataFrame, variables=("TEMP", "PSAL", "PRES", "TEMP_ADJUSTED", "PSAL_ADJUSTED", "PRES_ADJUSTED")) -> DataFrame:
+def statistics_text(shares: Shares, variables=STAT_VARIABLES) -> DataFrame:
     """JSON of the six statistics per variable (at most six small rows per question)."""
-    stats = six_statistics(rows, variables, [KEY])
+    stats = shares.statistics(variables)
     values = F.struct("count", "mean", "median", "min", "max", "std")
     return stats.groupBy(KEY).agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable", values.alias("v")))))).alias("stats_json"))
@@ -120,21 +133,22 @@ def _budget_steps(start: Column) -> Column:
 
 
 def assemble(questions: DataFrame, hits: DataFrame, rows: DataFrame, metadata: DataFrame, *,
-             token_limit: int = CONTEXT_TOKENS) -> DataFrame:
+             token_limit: int = CONTEXT_TOKENS, shares: Shares | None = None) -> DataFrame:
     """Context of each question (query_id, text), within the token limit.
 
     Too long a text first loses its metadata and shrinks its sample, then falls
     back to hit ids and statistics. Everything gathered into one text is bounded
     per question: ten hits, twenty metadata rows, at most 500 sample rows.
+    ``shares``: the same rows as questions share them.
     """
+    shares = shares or Shares.of(rows, KEY)
     n_hits = hits.groupBy(KEY).agg(F.count(F.lit(1)).alias("retrieved_count"))
-    ids = rows.select(KEY, *PROFILE).unionByName(hits.select(KEY, *PROFILE))
+    ids = shares.distinct(*PROFILE).unionByName(hits.select(KEY, *PROFILE))
     distinct = ids.groupBy(KEY).agg(
         F.countDistinct("platform_number").alias("platforms"), F.countDistinct("profile_index").alias("profiles"))
-    ranges = rows.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("numeric_rows"), F.min("juld").alias("juld_min"), F.max("juld").alias("juld_max"))
+    ranges = shares.ranges("juld", count="numeric_rows")
     joined = questions
-    for part in (n_hits, distinct, ranges, hit_lines(hits), sample_lines(rows), metadata_lines(metadata), statistics_text(rows)):
+    for part in (n_hits, distinct, ranges, hit_lines(hits), sample_lines(rows, shares), metadata_lines(metadata), statistics_text(shares)):
         joined = joined.join(part, KEY, "left")
     for name in ("retrieved_count", "platforms", "profiles", "numeric_rows"):
         joined = joined.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.functions.text import json_cell
 from profilelake.operators.fetch import find_column
-from profilelake.operators.ranking import pick_evenly_per_group, top_n_per_key
+from profilelake.operators.ranking import salts_for, top_n_per_key
+from profilelake.operators.shares import PER_TASK, Shares
 from profilelake.operators.stats import first_variable
 from profilelake.plans.context import KEY
 from profilelake.plans.retrieval import Retrieval
@@ -40,28 +42,33 @@ def _gathered(rows: DataFrame, place: str, cell: Column, out: str) -> DataFrame:
     return both.select(KEY, F.transform("_a", lambda x: x["_c"]).alias(out))
 
 
-def charts(rows: DataFrame, x: str, y: str, title: str, ties: Sequence[str] = TIES, points: int = MAX_CHART_POINTS) -> DataFrame:
-    """A chart for each question of ``rows`` (query_id, x, y, ties): evenly spaced points, ranges, row count."""
-    ties = [t for t in ties if t in rows.columns]
-    narrow = rows.select(KEY, *dict.fromkeys([x, y, *ties]))
+def charts(shares: Shares, x: str, y: str, title: str, ties: Sequence[str] = TIES, points: int = MAX_CHART_POINTS) -> DataFrame:
+    """A chart for each question of ``shares`` (rows with x, y, ties): evenly spaced points, ranges, row count."""
+    ties = [t for t in ties if t in shares.columns]
     order = [F.col(c).asc_nulls_last() for c in dict.fromkeys([x, *ties, y])]
-    picked = pick_evenly_per_group(narrow, [KEY], order, points)
-    data = _gathered(picked, "ordinal", F.struct(_cell(rows, x).alias(x), _cell(rows, y).alias(y)), "data")
-    ranges = narrow.groupBy(KEY).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"),
-                                     F.count(F.lit(1)).alias("row_count"))
+    picked = shares.evenly(order, [x, y, *ties], points)
+    data = _gathered(picked, "ordinal", F.struct(_cell(picked, x).alias(x), _cell(picked, y).alias(y)), "data")
+    ranges = shares.ranges(x, y).select(KEY, "row_count", *[F.col(f"{c}_{end}").alias(f"{a}_{end}") for a, c in (("x", x), ("y", y)) for end in ("min", "max")])
     limits = [_cell(ranges, c).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")]
     return data.join(ranges, KEY).select(KEY, F.lit("chart").alias("visual_kind"), _payload(
         "chart", title, F.lit("line").alias("chartType"), F.lit(x).alias("xKey"), F.lit(y).alias("yKey"), "data", *limits, "row_count",
         (F.col("row_count") > points).alias("downsampled")).alias("visual_json"))
 
 
-def tables(rows: DataFrame, title: str, order: Sequence[str] = (), n: int = MAX_TABLE_ROWS) -> DataFrame:
-    """A table for each question of ``rows``: its first ``n`` rows by ``order``, then all columns."""
+def _sorting(df: DataFrame, shown: Sequence[str], order: Sequence[str] = ()) -> list[Column]:
+    sortable = [f.name for f in df.schema.fields if f.name in shown and f.dataType.typeName() not in ("map", "variant")]
+    return [F.col(c).asc_nulls_last() for c in dict.fromkeys([*order, *sortable])]
+
+
+def tables(rows: DataFrame, title: str, order: Sequence[str] = (), n: int = MAX_TABLE_ROWS, counts: DataFrame | None = None) -> DataFrame:
+    """A table for each question of ``rows``: its first ``n`` rows by ``order``, then all columns.
+
+    ``counts`` (query_id, row_count): the questions' rows, where ``rows`` are not all of them.
+    """
     shown = [f.name for f in rows.schema.fields if f.name != KEY]
-    sortable = [f.name for f in rows.schema.fields if f.name in shown and f.dataType.typeName() not in ("map", "variant")]
-    first = top_n_per_key(rows, [KEY], [F.col(c).asc_nulls_last() for c in dict.fromkeys([*order, *sortable])], n, rank="_nth")
+    first = top_n_per_key(rows, [KEY], _sorting(rows, shown, order), n, rank="_nth")
     line = F.array(*[_cell(rows, c).cast("variant") for c in shown])
-    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("row_count"))
+    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("row_count")) if counts is None else counts
     return _gathered(first, "_nth", F.to_json(line), "_lines").join(counts, KEY).select(KEY, F.lit("table").alias("visual_kind"), _with_lines(
         _payload("table", title, F.array(*[F.lit(c) for c in shown]).alias("headers"), "row_count")).alias("visual_json"))
 
@@ -71,10 +78,14 @@ def _with_lines(payload: Column) -> Column:
     return F.concat(F.substring(payload, F.lit(1), F.length(payload) - 1), F.lit(',"rows":['), F.array_join("_lines", ","), F.lit("]}"))
 
 
-def aggregates(rows: DataFrame, column: str) -> DataFrame:
+def samples(shares: Shares, title: str, n: int = MAX_TABLE_ROWS) -> DataFrame:
+    """A table of each question's first rows: they are among the first of each of its shares."""
+    return tables(shares.first_rows(_sorting(shares.rows, shares.columns), n), title, n=n, counts=shares.ranges())
+
+
+def aggregates(shares: Shares, column: str) -> DataFrame:
     """One line with count, mean, min and max of a variable for each question."""
-    agg = rows.groupBy(KEY).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-    return tables(agg, f"Aggregates for {column}")
+    return tables(shares.averages(column), f"Aggregates for {column}")
 
 
 def maps(places: DataFrame, title: str, label: str | None = "PLATFORM_NUMBER", n: int = MAX_TABLE_ROWS,
@@ -95,11 +106,12 @@ def maps(places: DataFrame, title: str, label: str | None = "PLATFORM_NUMBER", n
     if asked is None:
         narrow, counts = places.select(KEY, *kept), places.groupBy(KEY).agg(F.count(F.lit(1)).alias("row_count"))
     else:
-        asked = materialized(asked)
+        asked = materialized(asked, plain=True)
+        parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), salts_for(asked.count() * n, PER_TASK))
         met = F.col("_by") == F.col("_p")
         own = places.select(*kept, F.col(by).alias("_by")).join(asked.select("_p").distinct(), met, "left_semi")
         best = materialized(top_n_per_key(own, ["_by"], order, n, rank="_nth").drop("_nth"))
-        narrow = best.join(asked, met).select(KEY, *kept)
+        narrow = best.join(asked.repartition(parts, KEY), met).select(KEY, *kept)     # a question's places meet in one task
         sizes = own.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
         counts = sizes.join(asked, met).groupBy(KEY).agg(F.sum("_n").alias("row_count"))
     first = top_n_per_key(narrow, [KEY], order, n, rank="_nth")
@@ -130,15 +142,17 @@ def job_visuals(run: Retrieval, questions: DataFrame, positions: DataFrame | Non
     is one plan over all questions that want it; a question without rows of any
     kind has the kind ``none``.
     """
-    has = run.rows.select(KEY).distinct().withColumn("_rows", F.lit(True))
+    shares = run.shares or Shares.of(run.rows, KEY)
+    has = shares.ranges().select(KEY).withColumn("_rows", F.lit(True))
     told = run.metadata.select(KEY).distinct().withColumn("_about", F.lit(True))
     asked = questions.select(KEY, visual_intent(F.coalesce("text", F.lit(""))).alias("_intent")).join(has, KEY, "left").join(told, KEY, "left")
     rows, about = F.col("_rows").isNotNull(), F.col("_about").isNotNull()
-    numeric = run.rows.drop("rank")
+    shares = replace(shares, rows=shares.rows.drop("rank"))
+    numeric = shares.rows.select(*shares.columns)
     columns = {"time_series": (_named(numeric, ("juld", "date", "time")), _named(numeric, ("TEMP", "PSAL", "PRES", "TEMP_ADJUSTED", "PSAL_ADJUSTED"))),
                "profile": (_named(numeric, ("PRES", "pressure", "depth")), _named(numeric, ("TEMP", "TEMP_ADJUSTED", "temperature"))
                            or _named(numeric, ("PSAL", "PSAL_ADJUSTED", "salinity")))}
-    variable = first_variable(numeric.drop(KEY))
+    variable = first_variable(numeric)
     plan = F.when((F.col("_intent") == "map") & (F.lit(positions is not None) | about), "map")
     for kind, (x, y) in columns.items():
         if x and y:
@@ -146,19 +160,22 @@ def job_visuals(run: Retrieval, questions: DataFrame, positions: DataFrame | Non
     if variable:
         plan = plan.when((F.col("_intent") == "aggregate") & rows, "aggregate")
     # written, since each kind reads it and its size decides how its questions' rows are found
-    asked = materialized(asked.withColumn("_plan", plan.when(about, "metadata").when(rows, "numeric").otherwise("none")))
+    asked = materialized(asked.withColumn("_plan", plan.when(about, "metadata").when(rows, "numeric").otherwise("none")), plain=True)
 
     def wanting(df: DataFrame, kind: str) -> DataFrame:
         return df.join(asked.where(F.col("_plan") == kind).select(KEY), KEY, "left_semi")
 
-    parts = [tables(wanting(run.metadata, "metadata"), "Metadata sample"), tables(wanting(numeric, "numeric"), "Numeric sample")]
+    def taking(kind: str) -> Shares:
+        return shares.of_questions(asked.where(F.col("_plan") == kind))
+
+    parts = [tables(wanting(run.metadata, "metadata"), "Metadata sample"), samples(taking("numeric"), "Numeric sample")]
     for kind, title in (("time_series", "{} over time"), ("profile", "{} profile (sample)")):
         x, y = columns[kind]
         if x and y:
             name = y if kind == "time_series" else ("Salinity" if "SAL" in y.upper() else "Temperature")
-            parts.append(charts(wanting(numeric, kind), x, y, title.format(name)))
+            parts.append(charts(taking(kind), x, y, title.format(name)))
     if variable:
-        parts.append(aggregates(wanting(numeric, "aggregate"), variable))
+        parts.append(aggregates(taking("aggregate"), variable))
     if positions is not None:
         column = find_column(positions, "platform_number")
         own = run.metadata.select(KEY, F.col("platform_number").alias("_p")).distinct()

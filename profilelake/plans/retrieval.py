@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilelake.operators.candidates import build_candidates, ranked_candidates
-from profilelake.operators.fetch import LIMITS, fetch_in_windows, fetch_measurements, fetch_metadata, find_column, for_platforms, rows_of_questions, with_window
+from profilelake.operators.fetch import LIMITS, fetch_in_windows, fetch_measurements, fetch_metadata, find_column, for_platforms, with_window
+from profilelake.operators.shares import Shares
 from profilelake.operators.vectors import retrieve
 from profilelake.plans.context import KEY, assemble, metadata_only_context
 from profilelake.plans.triage import platform_filter
@@ -20,11 +21,14 @@ from profilelake.session import materialized
 
 @dataclass
 class Retrieval:
+    """``rows``: the fetched rows of every question; ``shares``: the same, each row once for all questions that take it."""
+
     hits: DataFrame
     candidates: DataFrame
     rows: DataFrame
     metadata: DataFrame
     contexts: DataFrame
+    shares: Shares | None = None
 
 
 def question_platforms(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -45,7 +49,8 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
     (query_id, text, embedding).
 
     Measurements are filtered and capped once for the platforms of all
-    questions together, then matched to the questions that asked for them.
+    questions together, then written once for all questions that asked for
+    them; a question's rows are joined, counted and ranked from there.
     A question that names a platform searches only that platform's documents
     (``doc_platform``: the documents' numeric platform column). With
     ``own_windows`` each question has limits of its own in the columns year,
@@ -58,22 +63,24 @@ def run_questions(questions: DataFrame, docs: DataFrame, core: DataFrame, metada
     serials = metadata[0]
     for m in metadata[1:]:
         serials = serials.unionByName(m, allowMissingColumns=True)
-    wanted = materialized(question_platforms(candidates, serials))
+    wanted = materialized(question_platforms(candidates, serials), plain=True)
     platforms = wanted.select("platform_number").distinct()
     if own_windows:
         limited = with_window(questions.select(KEY, *[c for c in LIMITS if c in questions.columns]))
         asked = wanted.join(limited, KEY)
         capped = fetch_in_windows(core, asked, cap=cap).drop("rank")
-        rows = rows_of_questions(capped, asked.select(KEY, "window", "platform_number"), ["window", "platform_number"]).drop("window")
+        taken = materialized(asked.select(KEY, "window", "platform_number"), plain=True)
+        shares = Shares(materialized(capped), taken, ("window", "platform_number"), KEY, ("window",))
     else:
         capped = fetch_measurements(core, platforms, months=months, date_from=date_from, date_to=date_to, cap=cap).drop("rank")
-        rows = rows_of_questions(capped, wanted, ["platform_number"])
+        shares = Shares(materialized(capped), wanted, ("platform_number",), KEY)
+    rows = shares.joined()
     about = fetch_metadata(metadata, platforms).join(wanted, "platform_number")
     texts = questions.select(KEY, "text")
-    full = assemble(texts.join(candidates.select(KEY), KEY, "left_semi"), hits, rows, about)
+    full = assemble(texts.join(candidates.select(KEY).distinct(), KEY, "left_semi"), hits, rows, about, shares=shares)
     alone = metadata_only_context(texts, hits, candidates)
     contexts = full.unionByName(alone, allowMissingColumns=True)
-    return Retrieval(hits, candidates, rows, about, contexts)
+    return Retrieval(hits, candidates, rows, about, contexts, shares)
 
 
 def visual_for(run: Retrieval, query_id, text: str, positions: DataFrame | None = None) -> Visual:

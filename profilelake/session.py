@@ -49,13 +49,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, *, plain: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Several consumers then share one computation, read only the columns they
-    need, and a lost executor costs nothing upstream.
+    need, and a lost executor costs nothing upstream. The planner takes the size
+    of the files for that of the table when it decides what the driver builds
+    and broadcasts. Keys pack to a small part of that, so tables with rows for
+    each question are written ``plain``: their size is then that of their values.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "step")
-    df.write.parquet(path)
+    writer = df.write
+    if plain:
+        writer = writer.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
