@@ -11,6 +11,7 @@ from profilelake.plans.context import KEY
 from profilelake.plans.guarded import guarded_run
 from profilelake.plans.job_visuals import job_visuals
 from profilelake.plans.retrieval import result_rows, run_questions
+from profilelake.session import materialized
 
 
 @query("row_documents", """SELECT 'metadata_clean.parquet-2025-' || printf('%02d', s_nationkey % 12 + 1) || '-' || s_suppkey AS id,
@@ -200,7 +201,7 @@ _LIMITS = {
 
 
 def _guarded(spark, d):
-    centres = centroids(spark, d).withColumnRenamed("query_id", "label")
+    centres = materialized(centroids(spark, d).withColumnRenamed("query_id", "label"), plain=True)     # so that not the questions are broadcast
     asked = table(spark, d, "supplier").select(
         F.col("s_suppkey").cast("bigint").alias("query_id"), F.expr(_ASKED).alias("text"), (F.col("s_suppkey") % 10).cast("bigint").alias("label"),
         *[F.expr(e.format("array")).alias(c) for c, e in _LIMITS.items()]).join(centres, "label").drop("label")
@@ -249,7 +250,7 @@ _WISHES = """CASE s_suppkey % 5 WHEN 0 THEN 'temperature trend over time' WHEN 1
 
 def _drawn(spark, d):
     """The retrieval job over one question per supplier, its questions and visuals."""
-    centres = centroids(spark, d).withColumnRenamed("query_id", "label")
+    centres = materialized(centroids(spark, d).withColumnRenamed("query_id", "label"), plain=True)     # so that not the questions are broadcast
     asked = table(spark, d, "supplier").select(
         F.col("s_suppkey").cast("bigint").alias("query_id"), F.expr(_WISHES).alias("text"),
         (F.col("s_suppkey") % 10).cast("bigint").alias("label")).join(centres, "label").drop("label")

@@ -167,6 +167,7 @@ def fetch_in_windows(core: DataFrame, asked: DataFrame, *, cap: int = FETCH_CAP)
     asked = asked.where("platform_number IS NOT NULL").select(
         F.col("window"), F.col("platform_number").cast(core.schema["platform_number"].dataType).alias("platform_number"),
         *[x.alias(f"_{c}") for x, c in zip(limits, LIMITS)]).dropDuplicates(["window", "platform_number"])
+    asked = materialized(asked, plain=True)
     dated = F.col("_date_from").isNotNull() & F.col("_date_to").isNotNull()
     month_of = lambda c: F.year(c) * 12 + F.month(c)
     short = F.coalesce(dated & (month_of("_date_to") - month_of("_date_from") < WIDEST), F.lit(False))
@@ -181,12 +182,13 @@ def fetch_in_windows(core: DataFrame, asked: DataFrame, *, cap: int = FETCH_CAP)
 
     rows = core.select(*dict.fromkeys(["year", "month", *[c for c in ("row_ordinal",) if c in core.columns],
                                        *[c for c in FETCH_COLUMNS if c in core.columns]]))
-    by_month = asked.where(short & (F.col("_date_from") <= F.col("_date_to"))).withColumn(
-        "_key", F.explode(F.sequence(month_of("_date_from"), month_of("_date_to"))))
+    # written, so that their size decides whether the table's rows are shuffled to them
+    by_month = materialized(asked.where(short & (F.col("_date_from") <= F.col("_date_to"))).withColumn(
+        "_key", F.explode(F.sequence(month_of("_date_from"), month_of("_date_to")))), plain=True)
     first = rows.withColumn("_key", month_of("juld")).join(by_month, ["platform_number", "_key"]).where(
         F.col("juld").between(F.col("_date_from"), F.col("_date_to")) & allowed(F.col("year"), F.col("month")))
-    by_folder = asked.where(~short).withColumn("_f", F.explode(F.filter(listed, lambda f: allowed(f["y"], f["m"])))).withColumns(
-        {"year": F.col("_f.y"), "month": F.col("_f.m")}).drop("_f")
+    by_folder = materialized(asked.where(~short).withColumn("_f", F.explode(F.filter(listed, lambda f: allowed(f["y"], f["m"])))).withColumns(
+        {"year": F.col("_f.y"), "month": F.col("_f.m")}).drop("_f"), plain=True)
     second = rows.join(by_folder, ["platform_number", "year", "month"]).where(
         ~dated | F.col("juld").between(F.col("_date_from"), F.col("_date_to")))
     names = ["window", *rows.columns]

@@ -39,10 +39,10 @@ def guarded_run(questions: DataFrame, docs: DataFrame, core: DataFrame, metadata
     decision and no counts.
     """
     given = [KEY, "text", "embedding", *[c for c in LIMITS if c in questions.columns]]
-    questions = materialized(questions.select(*given))
-    decisions = materialized(gate(analyze(questions.select(KEY, "text"), as_of=as_of), positions, core))
+    questions = materialized(questions.select(*given), plain=True)
+    decisions = materialized(gate(analyze(questions.select(KEY, "text"), as_of=as_of), positions, core), plain=True)
     passed = questions.join(decisions.where(F.col("decision") == PROCEED).select(KEY), KEY, "left_semi")
-    run = run_questions(materialized(passed), docs, core, metadata, top_k=top_k, cap=cap, doc_platform=doc_platform, own_windows=True)
+    run = run_questions(materialized(passed, plain=True), docs, core, metadata, top_k=top_k, cap=cap, doc_platform=doc_platform, own_windows=True)
     candidates = run.candidates.groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates_count"))
     found = run.contexts.select(KEY, "retrieved_count", "numeric_rows", "juld_min", "juld_max", "tokens")
     proceeds = F.col("decision") == PROCEED

@@ -54,6 +54,7 @@ def test_a_job_writes_no_rows_for_each_question(spark):
     assert run.rows.count() == 60 * 900
     written = {d.name: sum(pq.ParquetFile(f).metadata.num_rows for f in d.glob("*.parquet")) for d in _steps(spark) - before}
     assert max(written.values()) <= 900 * 4
+    assert int(str(run.shares.asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 60 * 4 * 16
     for q in range(3):
         assert got[q] == json.loads(payload_json(visual_for(run, q, texts[q])))
     assert run.contexts.select("numeric_rows").distinct().collect() == [(900,)]
