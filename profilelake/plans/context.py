@@ -67,16 +67,43 @@ def sample_rows(rows: DataFrame, shares: Shares | None = None) -> DataFrame:
     the rows of these are picked once for all questions. The work is dealt over
     as many parts as the rows ask for. ``shares``: the same rows as questions share them.
     """
-    shares = shares or Shares.of(rows, KEY)
+    if shares is None:
+        return sample_of_rows(rows)
     if {"platform_number"} < set(shares.on):
         # a profile that a question takes from several shares is one profile with the rows of all
         twice = shares.asked.distinct().groupBy(KEY, "platform_number").count().where("count > 1").select(KEY).distinct()
         if not twice.isEmpty():
             alone = replace(shares, asked=shares.asked.join(twice, KEY, "left_anti"))
-            return sample_of(alone).unionByName(sample_of(Shares.of(shares.of_questions(twice).joined(), KEY)))
+            return sample_of(alone).unionByName(sample_of_rows(shares.of_questions(twice).joined()))
     return sample_of(shares)
 
 
+def sample_of_rows(rows: DataFrame) -> DataFrame:
+    """Surface, median and deep rows of each question's latest profiles, as many
+    as its row budget has room for. Adds ``budget`` and ``profile_rank``.
+
+    The work is dealt over as many parts as the rows ask for.
+    """
+    counts = materialized(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                salts_for(counts.agg(F.sum("_n")).first()[0] or 0, ROWS_PER_TASK))
+    known = rows.where(F.col("platform_number").isNotNull() & F.col("profile_index").isNotNull())
+    # a question's profiles meet in one task, those of a question of over ROWS_PER_TASK rows in several
+    piece = F.pmod(F.xxhash64(*PROFILE), F.ceil(F.col("_n") / ROWS_PER_TASK)).alias("_piece")
+    dealt = known.select(KEY, *PROFILE, "juld").join(counts, KEY).select(KEY, *PROFILE, "juld", piece).repartition(parts, KEY, "_piece")
+    profiles = dealt.groupBy(KEY, "_piece", *PROFILE).agg(F.max("juld").alias("latest_juld"))
+    order = [F.col("latest_juld").desc_nulls_last(), *[F.col(p) for p in PROFILE]]
+    # the largest budget is 500 rows, three per profile
+    most = 500 // 3
+    local = ranked_top_n(profiles, [KEY, "_piece"], order, most, "profile_rank").drop("_piece", "profile_rank")
+    budgets = counts.select(KEY, row_budget(F.col("_n")).alias("budget"))
+    latest = ranked_top_n(local.repartition(parts, KEY), [KEY], order, most, "profile_rank").join(budgets, KEY)
+    latest = latest.where(F.col("profile_rank") <= F.floor(F.col("budget") / 3)).drop("latest_juld")
+    place = [KEY, *PROFILE]
+    chosen = known.repartition(parts, *place).join(latest.repartition(parts, *place), place)
+    return surface_median_deep(chosen, (KEY, *PROFILE))
+
+
 def sample_of(shares: Shares) -> DataFrame:
     """:func:`sample_rows` of questions that take each of their profiles from one share."""
     on, most = list(shares.on), 500 // 3        # the largest budget is 500 rows, three per profile
@@ -87,7 +114,10 @@ def sample_of(shares: Shares) -> DataFrame:
     place = list(dict.fromkeys([*on, *PROFILE]))
     order = [F.col("latest_juld").desc_nulls_last(), *[F.col(p) for p in PROFILE]]
     profiles = top_n_per_key(known.groupBy(*place).agg(F.max("juld").alias("latest_juld")), on, order, most, rank="_nth").drop("_nth")
-    picked = surface_median_deep(known.join(profiles.select(*place), place, "left_semi"), place)
+    # rows alike in value and level are told apart by all their columns, so that one of them is picked
+    chosen = known.join(profiles.select(*place), place, "left_semi").repartition(parts, *place)
+    ties = [f.name for f in chosen.schema.fields if f.name not in (*place, "level_index") and f.dataType.typeName() not in ("map", "variant")]
+    picked = surface_median_deep(chosen, place, tie=ties)
     budgets = counts.select(KEY, row_budget(F.col("_n")).alias("budget"))
     met = shares.asked.distinct().repartition(parts, KEY).join(profiles, on)
     latest = ranked_top_n(met, [KEY], order, most, "profile_rank").join(budgets, KEY)
@@ -141,6 +171,7 @@ def assemble(questions: DataFrame, hits: DataFrame, rows: DataFrame, metadata: D
     per question: ten hits, twenty metadata rows, at most 500 sample rows.
     ``shares``: the same rows as questions share them.
     """
+    sample = sample_lines(rows, shares)
     shares = shares or Shares.of(rows, KEY)
     n_hits = hits.groupBy(KEY).agg(F.count(F.lit(1)).alias("retrieved_count"))
     ids = shares.distinct(*PROFILE).unionByName(hits.select(KEY, *PROFILE))
@@ -148,7 +179,7 @@ def assemble(questions: DataFrame, hits: DataFrame, rows: DataFrame, metadata: D
         F.countDistinct("platform_number").alias("platforms"), F.countDistinct("profile_index").alias("profiles"))
     ranges = shares.ranges("juld", count="numeric_rows")
     joined = questions
-    for part in (n_hits, distinct, ranges, hit_lines(hits), sample_lines(rows, shares), metadata_lines(metadata), statistics_text(shares)):
+    for part in (n_hits, distinct, ranges, hit_lines(hits), sample, metadata_lines(metadata), statistics_text(shares)):
         joined = joined.join(part, KEY, "left")
     for name in ("retrieved_count", "platforms", "profiles", "numeric_rows"):
         joined = joined.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
